@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from tessera.llm.packing import op5_packing
 from tessera.llm.sentencepiece_codec import op1_sentencepiece
+from tessera.llm.simhash import op7_simhash
 from tessera.llm.token_files import op6_token_files
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op5_packing": op5_packing,
     "op6_token_files": op6_token_files,
+    "op7_simhash": op7_simhash,
 }
 #: DuckDB SQL of those queries that SQL can express on whole tables; the others have brute-force tests.
 ORACLE_SQL: dict[str, str] = {}
