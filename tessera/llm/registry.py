@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessera.llm.chat_format import OP3_SQL, op3_chat_format
 from tessera.llm.packing import op5_packing
 from tessera.llm.pivot_search import OP4_SQL, op4_pivot_topk
+from tessera.llm.repeats import op8_suffix_dedup
 from tessera.llm.sentencepiece_codec import op1_sentencepiece
 from tessera.llm.simhash import op7_simhash
 from tessera.llm.token_files import op6_token_files
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_token_files": op6_token_files,
     "op7_simhash": op7_simhash,
+    "op8_suffix_dedup": op8_suffix_dedup,
 }
 #: DuckDB SQL of those queries that SQL can express on whole tables; the others have brute-force tests.
 ORACLE_SQL: dict[str, str] = {"op3_chat_format": OP3_SQL, "op4_pivot_topk": OP4_SQL}
