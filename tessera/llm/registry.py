@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.chat_format import OP3_SQL, op3_chat_format
+from tessera.llm.language_id import op2_language_id
 from tessera.llm.packing import op5_packing
 from tessera.llm.pivot_search import OP4_SQL, op4_pivot_topk
 from tessera.llm.repeats import op8_suffix_dedup
@@ -12,6 +13,7 @@ from tessera.llm.token_files import op6_token_files
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_language_id": op2_language_id,
     "op3_chat_format": op3_chat_format,
     "op4_pivot_topk": op4_pivot_topk,
     "op5_packing": op5_packing,
