@@ -88,13 +88,13 @@ def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class WordIds:
-    """Id sequences of words, encoded once per task for words seen again.
+    """Id sequences of words, each encoded once for as long as it is remembered.
 
     ``encode`` turns a list of new words into (flat ids, lengths). At ``limit`` words the memory is emptied, so a
-    task's memory is bounded; results don't depend on it.
+    worker's memory is bounded; results don't depend on it.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 600_000):
         self.encode, self.limit = encode, limit
         self._clear()
 

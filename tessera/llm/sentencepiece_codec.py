@@ -253,6 +253,12 @@ def model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+@functools.lru_cache(maxsize=2)
+def _memory(path: str) -> WordIds:
+    """Ids of words met before, kept while the worker lives."""
+    return WordIds(model(path).encode_words)
+
+
 def encode_decode(df: DataFrame, model_path: str, text_col: str = "text", end_id: int | None = None, decoded: bool = True) -> DataFrame:
     """Adds ``ids`` array<int> of each whole text, with ``end_id`` last if given, and ``decoded``, the text that
     decoding those ids gives.
@@ -261,8 +267,7 @@ def encode_decode(df: DataFrame, model_path: str, text_col: str = "text", end_id
     """
 
     def make():
-        m = model(model_path)
-        memory = WordIds(m.encode_words)
+        m, memory = model(model_path), _memory(model_path)
 
         def run(texts: list[str]) -> dict[str, pa.Array]:
             lists = [m.words(t) for t in texts]

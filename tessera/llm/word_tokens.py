@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import re
@@ -13,6 +14,13 @@ import numpy as np
 from tessera.llm.common import WordIds, sums_by
 
 BLANKS = re.compile(r"[ \t\n\r]+")
+#: Latin letters, all of them letters to Unicode as well, and texts of nothing but these and ASCII.
+_LATIN = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_OTHER = re.compile(f"[^\\x00-\\x7f{_LATIN}]|<\\|")
+#: Runs of letters, runs of others with an apostrophe and the letters after them, runs of others.
+_UNITS = re.compile(f"[{_LATIN}]+|[^{_LATIN} \\t\\n\\r']*'[^{_LATIN} \\t\\n\\r]*[{_LATIN}]*|[^{_LATIN} \\t\\n\\r']+")
+#: Fixed value: the pattern of the tokenizers whose tokens end where a run of letters ends.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def splits_at_blanks(spec: dict) -> bool:
@@ -36,34 +44,62 @@ def splits_at_blanks(spec: dict) -> bool:
     )
 
 
+def lower_cases_runs(spec: dict) -> bool:
+    """Whether a Latin text without control strings may be lower-cased in ASCII and cut at runs of letters."""
+    norm = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    return splits_at_blanks(spec) and "Lowercase" in norm and pre[0].get("pattern", {}).get("Regex") == _PATTERN and all(t["content"].startswith("<|") for t in spec.get("added_tokens", []))
+
+
+def units(text: str) -> list[str]:
+    """The text cut where a token ends whatever stands around: fewer distinct units than words with their marks.
+
+    Composition changes nothing below U+0300, so such texts may be lower-cased in ASCII first.
+    """
+    if _OTHER.search(text):
+        return [c for c in BLANKS.split(text) if c]
+    return _UNITS.findall(text.encode().lower().decode())
+
+
 @functools.lru_cache(maxsize=2)
 def _load(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
-        by_chunk = splits_at_blanks(json.load(f))
-    return Tokenizer.from_file(path), by_chunk
+        spec = json.load(f)
+    if lower_cases_runs(spec):
+        cut = units
+    else:
+        cut = (lambda text: [c for c in BLANKS.split(text) if c]) if splits_at_blanks(spec) else None
+    return Tokenizer.from_file(path), cut
 
 
-def make_encoder(path: str, end_id: int | None) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
-    """A function from whole texts to their flat ids, ``end_id`` after each if given, and each text's number of ids."""
-    tokenizer, by_chunk = _load(path)
+@functools.lru_cache(maxsize=2)
+def _memory(path: str) -> WordIds:
+    """Ids of units met before, kept while the worker lives."""
+    tokenizer, _ = _load(path)
 
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)]
+        ids = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum())), lengths
+        return np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(lengths.sum())), lengths
+
+    return WordIds(encode)
 
-    memory = WordIds(encode)
+
+def make_encoder(path: str, end_id: int | None) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """A function from whole texts to their flat ids, ``end_id`` after each if given, and each text's number of ids."""
+    _, cut = _load(path)
+    memory = _memory(path)
 
     def run(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if by_chunk:
-            chunks = [[c for c in BLANKS.split(t) if c] for t in texts]
-            flat, per_chunk = memory([c for x in chunks for c in x])
-            lengths = sums_by(per_chunk, [len(x) for x in chunks])
+        if cut:
+            chunks = [cut(t) for t in texts]
+            flat, per_chunk = memory(list(itertools.chain.from_iterable(chunks)))
+            lengths = sums_by(per_chunk, list(map(len, chunks)))
         else:
-            flat, lengths = encode(texts)
+            flat, lengths = memory.encode(texts)
         if end_id is not None:
             flat, lengths = np.insert(flat, np.cumsum(lengths), end_id), lengths + 1
         return flat.astype(np.int32, copy=False), lengths
