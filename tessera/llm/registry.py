@@ -10,6 +10,7 @@ from tessera.llm.repeats import op8_suffix_dedup
 from tessera.llm.sentencepiece_codec import op1_sentencepiece
 from tessera.llm.simhash import op7_simhash
 from tessera.llm.token_files import op6_token_files
+from tessera.llm.sketches import op9_fingerprints
 from tessera.llm.warc import op10_warc
 
 QUERIES = {
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_token_files": op6_token_files,
     "op7_simhash": op7_simhash,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_fingerprints": op9_fingerprints,
     "op10_warc": op10_warc,
 }
 #: DuckDB SQL of those queries that SQL can express on whole tables; the others have brute-force tests.
