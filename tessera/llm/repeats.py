@@ -237,11 +237,12 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 400) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 400, whole_characters: bool = False) -> DataFrame:
     """Adds ``removed``, array of struct of the maximal removed runs of UTF-8 bytes (start, end), and ``kept``,
     the remaining bytes: each byte goes that a string of ``min_bytes`` covers which also starts anywhere else.
 
-    All strings are judged on the input. Other columns stay as they are.
+    All strings are judged on the input. Other columns stay as they are. With ``whole_characters`` what is left of a
+    character that a run cuts is left out of ``kept`` as well.
     """
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
@@ -266,6 +267,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if runs:
                     ends = [0, *(x for r in runs for x in r), len(value)]
                     value = b"".join(value[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
+                    value = value.decode("utf-8", "ignore").encode() if whole_characters else value
                 kept.append(value)
             arrays = [batch.column(batch.schema.get_field_index(f.name)) for f in keep]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(removed, kind), pa.array(kept, pa.binary())], names=schema.fieldNames())
