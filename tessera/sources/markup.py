@@ -61,7 +61,7 @@ class _Node:
 class _Tree(HTMLParser):
     """A forgiving tree: what is never closed ends with its parent; paragraphs and items end where the next begins."""
 
-    CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}}
+    CLOSES = {**{t: {"p"} for t in ("ul", "ol", "table", "div", "section", "article", "main", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6")}, "p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}}
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
