@@ -41,6 +41,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, dealt into buckets by ``keys``, one file each: joins on these keys move
+    the other side only, however often the table is read."""
+    spark = df.sparkSession
+    path, n = fresh_path(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = f"tessera_{name}_{uuid.uuid4().hex}"
+    df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(at)
+    return spark.table(at)
+
+
 def text_slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts of about ``limit`` characters; a longer text has a range of its own."""
     begin = held = 0

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import stored, table
+from tessera.llm.common import bucketed, stored, table
 
 #: Bytes that a rolling hash covers, and how many of its bits decide.
 GRAM, POSITION_BITS = 8, 22
@@ -175,9 +175,7 @@ def edges(seen: DataFrame, docs: DataFrame, min_bytes: int) -> DataFrame:
     open_ = one.groupBy("key").agg(F.min("n").alias("least")).where("least = 1").select("key")
     one = one.join(open_, "key", "left_semi").select("key", "phrase", "p.*", "n", "kinds")
     text = F.substring(F.col("raw"), F.col("low") + 1, F.col("high") - F.col("low") + min_bytes)
-    source = docs.withColumnsRenamed({"id": "d_id", "th": "d_th"})
-    fetched = one.join(source, (F.col("th") == F.col("d_th")) & F.col("id").eqNullSafe(F.col("d_id")))
-    fetched = fetched.select("key", "phrase", "id", "th", "low", "high", "at", "n", "kinds", text.alias("raw"))
+    fetched = one.join(docs, ["id", "th"]).select("key", "phrase", "id", "th", "low", "high", "at", "n", "kinds", text.alias("raw"))
     at = stored(fetched.dropDuplicates(["key", "phrase"]), "edges")  # a row that is repeated whole would be met twice
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,11 +215,12 @@ def edges(seen: DataFrame, docs: DataFrame, min_bytes: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, min_bytes: int) -> DataFrame:
     """id, th, ``spans``: the repeated stretches of each document that has any, not yet merged."""
     parsed = stored(parse(docs, min_bytes), "phrases")
-    twice = parsed.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
+    # written first, so that the join has plain exchanges on both sides and a frequent key's rows can be split
+    twice = stored(parsed.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"), "keys")
     seen = stored(parsed.join(twice, "key", "left_semi"), "repeated")
     times = stored(seen.groupBy("key", "phrase").agg(F.count("*").alias("n")), "times")
-    kinds = times.groupBy("key").agg(F.count("*").alias("kinds"))
-    counted = seen.join(times.join(kinds, "key"), ["key", "phrase"])
+    kinds = stored(times.groupBy("key").agg(F.count("*").alias("kinds")), "kinds")
+    counted = seen.join(stored(times.join(kinds, "key"), "counts"), ["key", "phrase"])
     whole = counted.where("n > 1").select("id", "th", F.col("low").alias("start"), (F.col("high") + min_bytes).alias("end"))
     return whole.union(edges(counted, docs, min_bytes)).groupBy("id", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
@@ -244,12 +243,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     All strings are judged on the input. Other columns stay as they are. With ``whole_characters`` what is left of a
     character that a run cuts is left out of ``kept`` as well.
     """
-    raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    docs = df.select(F.col(id_col).cast("long").alias("id"), th.alias("th"), raw.alias("raw"))
-    spans = repeated_spans(docs, min_bytes).withColumnsRenamed({"id": "span_id", "th": "span_th", "spans": "all_spans"})
     names = df.columns
-    joined = df.withColumns({"own_raw": raw, "own_th": th}).join(spans, (F.col("own_th") == F.col("span_th")) & F.col(id_col).cast("long").eqNullSafe(F.col("span_id")), "left").select(*names, "own_raw", "all_spans")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = {"_repeat_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "_repeat_th": F.xxhash64(text)}
+    placed = bucketed(df.withColumns(own), list(own), "repeats")
+    raw = text.cast("binary")
+    docs = placed.select(F.col("_repeat_id").alias("id"), F.col("_repeat_th").alias("th"), raw.alias("raw"))
+    spans = repeated_spans(docs, min_bytes).select(F.col("id").alias("_repeat_id"), F.col("th").alias("_repeat_th"), F.col("spans").alias("all_spans"))
+    joined = placed.join(spans, list(own), "left").select(*names, raw.alias("own_raw"), "all_spans")
     added = T._parse_datatype_string("removed array<struct<start:int,end:int>>, kept binary")
     keep = [f for f in df.schema.fields if f.name not in added.fieldNames()]
     schema = T.StructType(keep + added.fields)
