@@ -12,7 +12,7 @@ double's rounding, and scores are integers, so results are exact, ties included
 
 Vectors that are null, or hold null or non-finite components, take no part; neither do rows without an id. Vectors
 are compared within their dimension. Repeated rows are candidates each on its own, other than rows with the query's
-id. An empty table gives no rows.
+id; of several rows with a query's id the one of the smallest vector asks. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -130,7 +130,8 @@ def top_k(df: DataFrame, queries: F.Column, k: int = 20, scale: int = 64, id_col
         x = _matrix(sample.combine_chunks(), dim) if dim else np.zeros((1, 0))
         pivots[dim] = _farthest(np.hstack([x, np.sqrt(np.maximum(0, largest - (x * x).sum(axis=1)))[:, None]]), PIVOTS)
     index = stored(build_index(rows, pivots, top, kind), "index")
-    own = stored(build_index(rows.where(queries), pivots, top, kind, QUERY_BLOCK), "queries").select(
+    asking = rows.where(queries).groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("q")).select("vec_id", "q.*")
+    own = stored(build_index(asking, pivots, top, kind, QUERY_BLOCK), "queries").select(
         F.col("dim"), F.col("pivot").alias("q_pivot"), F.col("ids").alias("q_ids"), F.col("raw").alias("q_raw"), F.col("low").alias("q_low"), F.col("high").alias("q_high"), F.col("block").alias("q_block")
     )
     annuli = index.select("dim", "pivot", "low", "high", "n", "block")
