@@ -131,7 +131,7 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", par
     used, firsts = [r.part for r in least], [r.m.id for r in least]
     if not used:
         return rows.withColumns({"tail": F.lit(False)})
-    to = _before(firsts, used[-1:] + used[:-1])  # a row that begins its range is sent to the range before as well
+    to = _before(len(edges) + 1, used, firsts)  # a row that begins its range is sent to the range before as well
     copies = F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("tail")), F.struct(to.cast("int").alias("part"), F.lit(True).alias("tail")))
     return rows.select("id", "text", F.explode(F.filter(copies, lambda c: c["part"].isNotNull())).alias("c")).select("c.part", "c.tail", "id", "text")
 
@@ -148,12 +148,13 @@ def _bucket(edges: list[float]) -> F.Column:
     return F.when(F.col("id").isNull(), F.lit(0)).otherwise(tree(0, len(edges)))
 
 
-def _before(firsts: list[int | None], before: list[int]) -> F.Column:
-    """For the first ids of ranges the range before, else null."""
-    known = [F.lit(x) for f, p in zip(firsts, before, strict=True) if f is not None for x in (f, p)]
-    of_null = next((p for f, p in zip(firsts, before, strict=True) if f is None), None)
-    found = F.element_at(F.create_map(*known), F.col("id")) if known else F.lit(None).cast("int")
-    return F.when(F.col("id").isNull(), F.lit(of_null).cast("int")).otherwise(found)
+def _before(parts: int, used: list[int], firsts: list[int | None]) -> F.Column:
+    """For rows that begin their range the range before, else null; both are looked up by the row's range."""
+    first, before = [None] * parts, [None] * parts
+    for p, f, b in zip(used, firsts, used[-1:] + used[:-1], strict=True):
+        first[p], before[p] = f, b
+    of = lambda values, kind: F.get(F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>"), F.col("part"))
+    return F.when(F.col("id").eqNullSafe(of(first, "long")), of(before, "int"))
 
 
 def edited(text: str, following: str) -> str:
