@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import text as tx
 from tessera.operators import chunking
@@ -53,6 +55,50 @@ def input_type(chunk_type: Column) -> Column:
     return F.coalesce(F.element_at(known, chunk_type), F.lit("TEXT"))
 
 
+@dataclass(frozen=True)
+class Profile:
+    """A named model: what it is asked by, its dimension and the inputs it takes."""
+
+    name: str
+    provider: str
+    model: str
+    dimension: int
+    inputs: tuple[str, ...] = ("TEXT",)
+
+
+def resolve(profiles: Iterable[Profile], name: str | None = None, provider: str | None = None, model: str | None = None, kind: str = "TEXT") -> Profile:
+    """The profile of a name, or of a provider and model, never of both; it has to take the kind of input."""
+    if (name is None) == (provider is None and model is None):
+        raise ValueError("give a profile, or a provider and a model")
+    found = [p for p in profiles if (p.name == name if name is not None else (provider in (None, p.provider) and model in (None, p.model)))]
+    if not found or kind not in found[0].inputs:
+        raise ValueError(f"no profile takes {kind}")
+    return found[0]
+
+
+def cleaned(df: DataFrame, make: Callable[[], Callable[[list[str]], list[str]]], text: str = "text", most_chars: int = 20_000) -> DataFrame:
+    """Texts as a cleaner returns them, and whether it did; a text beyond the most characters is left to itself, and
+    where the cleaner fails or returns nothing the text stays."""
+    kept = [f for f in df.schema.fields if f.name not in (text, "cleaned")]
+    names = [f.name for f in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clean = make()
+        for batch in batches:
+            texts, done = batch.column(batch.schema.get_field_index(text)).to_pylist(), []
+            for t in texts:
+                try:
+                    new = clean([t])[0] if t and len(t) <= most_chars else None
+                except Exception:  # a cleaner is someone else's service; the text is what matters
+                    new = None
+                done.append(new if new and new.strip() else None)
+            arrays = [batch.column(batch.schema.get_field_index(n)) for n in names]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([n or t for n, t in zip(done, texts, strict=True)], pa.string()), pa.array([n is not None for n in done])], names=[*names, text, "cleaned"])
+
+    schema = T.StructType([*kept, T.StructField(text, T.StringType()), T.StructField("cleaned", T.BooleanType())])
+    return df.mapInArrow(run, schema)
+
+
 def keywords(df: DataFrame, doc: str = "doc_id", text: str = "text", n: int = 10, most_chars: int = 4000) -> DataFrame:
     """The n most frequent terms of each text's first characters, a deterministic stand-in for a model: counts are
     aggregated per term, so texts of any number spread over tasks."""

@@ -39,6 +39,23 @@ class StatementCatalog:
                 self.add(f"{space}.{node.get('id')}" if space else node.get("id"), sql)
         return self
 
+    def add_table(self, namespace: str, table: str, key: str, columns: tuple[str, ...] = ("*",), order: str | None = None, by: tuple[str, ...] = ()) -> StatementCatalog:
+        """The usual statements of a table: ``countAll``, ``findById``, ``findPage``, ``exists``, a ``findBy`` for
+        each other key, and ``search``, whose conditions are those of the parameters that are given."""
+        shown, ordered = ", ".join(columns), f"{order}, {key}" if order else key
+        self.add(f"{namespace}.countAll", f"SELECT count(*) AS total FROM {table}")
+        self.add(f"{namespace}.findById", f"SELECT {shown} FROM {table} WHERE {key} = :{key}")
+        self.add(f"{namespace}.findPage", f"SELECT {shown} FROM {table} ORDER BY {ordered}")
+        self.add(f"{namespace}.exists", f"SELECT count(*) > 0 AS found FROM {table} WHERE {key} = :{key}")
+        for k in by:
+            self.add(f"{namespace}.findBy{k[:1].upper()}{k[1:]}", f"SELECT {shown} FROM {table} WHERE {k} = :{k} ORDER BY {ordered}")
+
+        def search(params: dict) -> str:
+            given = [f"{k} = :{k}" for k in (key, *by) if params.get(k) is not None]
+            return f"SELECT {shown} FROM {table}" + (" WHERE " + " AND ".join(given) if given else "") + f" ORDER BY {ordered}"
+
+        return self.add(f"{namespace}.search", search)
+
     def text(self, name: str, params: dict | None = None) -> str:
         if name not in self.statements:
             raise KeyError(f"no statement {name}")

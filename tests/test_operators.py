@@ -236,6 +236,32 @@ def test_statements(spark):
         catalog.text("missing")
 
 
+def test_table_statements(spark):
+    spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "id int, kind string").createOrReplaceTempView("things")
+    catalog = StatementCatalog().add_table("t", "things", "id", by=("kind",))
+    assert catalog.run(spark, "t.countAll").first().total == 3 and catalog.run(spark, "t.exists", id=9).first().found is False
+    assert [r.id for r in catalog.run(spark, "t.search", kind="a").collect()] == [1, 3] and [r.id for r in catalog.page(spark, "t.findPage", 1, 1).collect()] == [2]
+    assert catalog.run(spark, "t.findByKind", kind="b").count() == 1 and catalog.run(spark, "t.search").count() == 3
+
+
+def test_ports(spark):
+    from tessera.operators import indexing
+
+    profiles = [indexing.Profile("p", "x", "m", 64), indexing.Profile("q", "x", "n", 8, ("TEXT", "OCR"))]
+    assert indexing.resolve(profiles, provider="x", model="n", kind="OCR").name == "q"
+    for bad in ({}, {"name": "p", "model": "m"}, {"name": "p", "kind": "OCR"}, {"name": "z"}):
+        with pytest.raises(ValueError):
+            indexing.resolve(profiles, **bad)
+
+    def make():
+        return lambda texts: [{"up": "UP", "blank": " "}[texts[0]]]
+
+    rows = indexing.cleaned(spark.createDataFrame([("up",), ("blank",), ("fails",), (None,)], "text string"), make).collect()
+    assert [(r.text, r.cleaned) for r in rows] == [("UP", True), ("blank", False), ("fails", False), (None, False)]
+    made = indexing.index_documents(docs(spark, "a b", "a b", ""), indexing.hash_embedding)
+    assert made.count() == 2 and len({tuple(r.embedding) for r in made.collect()}) == 1
+
+
 def test_bounded_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"x\r\ny")
     (tmp_path / "big.txt").write_bytes(b"z" * 50)
