@@ -33,9 +33,12 @@ from tessera.llm.common import map_texts, sums_by, table
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDER = 5
 #: Labelled rows to learn from, about, for each language; half as many more calibrate.
-PER_LANGUAGE = 600
+PER_LANGUAGE = 400
 #: Standard deviations above a language's own texts at which a text is rejected.
 REJECT_AT = 8.0
+#: Bits per character that texts of a language may always differ by (names, quotations, parts in another learned
+#: language): rejection is for texts that no learned language describes.
+LEAST_SPREAD = 0.2
 UNDETERMINED = "und"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _EDGE = 32  # the blank at both ends of a word
@@ -277,7 +280,7 @@ def calibrate(models: Models, texts: dict[str, list[str]]) -> None:
         mean = float(np.median(h))
         long = chars >= np.median(chars)
         models.mean[i] = mean
-        models.spread[i] = max(0.05, float(np.median(abs(h[long] - mean))) * 1.5)
+        models.spread[i] = max(LEAST_SPREAD, float(np.median(abs(h[long] - mean))) * 1.5)
         models.wobble[i] = max(2.0, float(np.median(abs(h - mean) * np.sqrt(chars))) * 1.5)
 
 
