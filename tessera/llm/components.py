@@ -15,6 +15,8 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     else:
         arms = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
     least = arms.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    if large:  # written first: the join then has plain exchanges on both sides, and a hub's arms can be split
+        least = stored(least, "least")
     moved = arms.join(least, "u")
     if large:
         moved = moved.where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))

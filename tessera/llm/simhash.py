@@ -193,8 +193,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     node = F.get("fp", F.lit(0)) if words == 1 else F.xxhash64("fp")
     distinct = stored(prints.groupBy("fp").agg(F.min(id_col).alias("least")).withColumn("node", node), "distinct")
     found = components(links(distinct.select("node", "fp"), max_distance, words))
-    rooted = distinct.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = stored(distinct.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    least = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     of_print = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(of_print, "fp").select(id_col, "fp", "component_id")
 
