@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_texts, sums_by, table
+from tessera.llm.common import list_array, map_texts, sums_by, table
 
 #: Letters and marks of any script.
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -198,6 +198,7 @@ def train(sample: dict[str, tuple[list[str], list[int]]]) -> Models:
         log_back.append(b)
     alone.hashes, alone.log_p, alone.log_back = hashes, log_p, log_back
     _fill(alone, {x: sample[x][0] for x in languages})
+    alone.log_p, alone.log_back = ([x.astype(np.float32) for x in y] for y in (log_p, log_back))  # every worker holds them
     return alone
 
 
@@ -265,18 +266,15 @@ class Scorer:
         return bits, chars, counts_
 
 
-def calibrate(models: Models, texts: dict[str, list[str]]) -> None:
-    """Means and spreads of the entropy per character of held-back texts in their own language. The spread of a text
-    of n characters is sqrt(spread^2 + wobble^2 / n)."""
-    scorer = Scorer(models)
+def calibrate(models: Models, own: dict[str, list[tuple[float, int]]]) -> None:
+    """Means and spreads of the entropy per character of held-back texts in their own language, from each text's
+    entropy and number of characters n. The spread of a text is sqrt(spread^2 + wobble^2 / n)."""
     k = len(models.languages)
     models.mean, models.spread, models.wobble = np.full(k, 3.0), np.full(k, 1.0), np.full(k, 10.0)
     for i, name in enumerate(models.languages):
-        own = [t for t in texts.get(name, []) if LETTERS.search(t)]
-        if len(own) < 5:
+        if len(own.get(name, [])) < 5:
             continue
-        bits, chars, _ = scorer(own)
-        h = bits[:, i] / chars
+        h, chars = (np.array(x, float) for x in zip(*own[name], strict=True))
         mean = float(np.median(h))
         long = chars >= np.median(chars)
         models.mean[i] = mean
@@ -284,6 +282,25 @@ def calibrate(models: Models, texts: dict[str, list[str]]) -> None:
         models.wobble[i] = max(2.0, float(np.median(abs(h - mean) * np.sqrt(chars))) * 1.5)
 
 
+def own_entropies(rows: DataFrame, models: Models) -> DataFrame:
+    """``lang``, ``h`` and ``chars``: the entropy per character of each whole text (columns lang, text) in its own
+    language, and its length. Texts without letters and those of languages without a model are left out."""
+    handle, k = rows.sparkSession.sparkContext.broadcast(models), len(models.languages)
+
+    def make() -> Callable[[list[str]], dict[str, pa.Array]]:
+        scorer = Scorer(handle.value)
+
+        def run(texts: list[str]) -> dict[str, pa.Array]:
+            bits, chars, _ = scorer(texts)
+            return {"bits": list_array(bits.reshape(-1), np.full(len(texts), k), pa.float64()), "chars": pa.array(chars)}
+
+        return run
+
+    at = F.array_position(F.array(*[F.lit(x) for x in models.languages]), F.col("lang"))
+    scored = map_texts(rows.select("lang", "text"), "text", make, "bits array<double>, chars long").where((F.col("chars") > 0) & (at > 0))
+    return scored.select("lang", (F.get("bits", at.cast("int") - 1) / F.col("chars")).alias("h"), "chars")
+
+
 def learn(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> Models:
     """Models learned from about ``per_language`` labelled rows of each language, calibrated with half as many more.
 
@@ -315,9 +332,9 @@ def learn(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
     if not sample:
         return Models([], [], [], [], np.empty(0))
     models = train({lang: tuple(map(list, zip(*sorted(zip(*x, strict=True)), strict=True))) for lang, x in sample.items()})
-    held: dict[str, list[str]] = {}
-    for r in part.where(F.col("draw") >= 2 / 3).select("lang", F.substring("text", 1, 20_000).alias("text")).collect():  # calibration: about half of per_language rows each
-        held.setdefault(r.lang, []).append(r.text or "")
+    held: dict[str, list[tuple[float, int]]] = {}
+    for lang, h, chars in own_entropies(part.where(F.col("draw") >= 2 / 3), models).collect():  # two numbers for each of about half of per_language rows
+        held.setdefault(lang, []).append((h, chars))
     calibrate(models, held)
     return models
 
