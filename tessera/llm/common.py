@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -125,8 +126,11 @@ class WordIds:
         """Flat ids of all words in order, and each word's number of ids."""
         if len(self.index) > self.limit:
             self._clear()
-        new = list(set(words).difference(self.index))
-        if new:
+        codes = np.fromiter(map(self.index.get, words, itertools.repeat(-1)), np.int64, len(words))
+        miss = np.flatnonzero(codes < 0)
+        if len(miss):
+            missed = [words[i] for i in miss]
+            new = list(dict.fromkeys(missed))
             flat, lengths = self.encode(new)
             n = len(self.index)
             self.flat = self._room(self.flat, self.used, len(flat))
@@ -136,7 +140,7 @@ class WordIds:
             self.lengths[n : n + len(new)] = lengths
             self.used += len(flat)
             self.index.update(zip(new, range(n, n + len(new)), strict=True))
-        codes = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+            codes[miss] = np.fromiter(map(self.index.__getitem__, missed), np.int64, len(miss))
         lengths = self.lengths[codes]
         return self.flat[expand(self.starts[codes], lengths)], lengths
 
