@@ -7,13 +7,15 @@ import itertools
 import json
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
-from tessera.llm.common import WordIds, sums_by
+from tessera.llm.common import WordIds, expand, sums_by
 
 BLANKS = re.compile(r"[ \t\n\r]+")
+#: Words of letters that are encoded as one text.
+JOINED = 256
 #: Latin letters, all of them letters to Unicode as well, and texts of nothing but these and ASCII.
 _LATIN = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _OTHER = re.compile(f"[^\\x00-\\x7f{_LATIN}]|<\\|")
@@ -56,7 +58,7 @@ def units(text: str) -> list[str]:
 
     Composition changes nothing below U+0300, so such texts may be lower-cased in ASCII first.
     """
-    if _OTHER.search(text):
+    if "<|" in text or (not text.isascii() and _OTHER.search(text)):
         return [c for c in BLANKS.split(text) if c]
     return _UNITS.findall(text.encode().lower().decode())
 
@@ -78,13 +80,37 @@ def _load(path: str):
 @functools.lru_cache(maxsize=2)
 def _memory(path: str) -> WordIds:
     """Ids of units met before, kept while the worker lives."""
-    tokenizer, _ = _load(path)
+    tokenizer, cut = _load(path)
 
-    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def each(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(lengths.sum())), lengths
 
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    if not cut or not suffix:
+        return WordIds(each)
+    closing = np.zeros(tokenizer.get_vocab_size(), bool)
+    closing[[i for token, i in tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+
+    def joined(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Words in texts of many: each has one closing token, unless normalisation parts one of the text's words."""
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        for group, e in zip(groups, tokenizer.encode_batch_fast(list(map(" ".join, groups)), add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.int32)
+            ends = np.flatnonzero(closing[ids])
+            yield (ids, np.diff(ends, prepend=-1)) if len(ends) == len(group) and ends[-1] == len(ids) - 1 else each(group)
+
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        letters = np.fromiter(map(str.isalpha, words), bool, len(words))
+        order = np.concatenate([np.flatnonzero(letters), np.flatnonzero(~letters)])
+        runs = [words[i] for i in order[: letters.sum()]]
+        parts = [*joined(runs), each([words[i] for i in order[len(runs) :]])]
+        flat, lengths = (np.concatenate(x) for x in zip(*parts, strict=True))
+        back = np.argsort(order)
+        starts = np.cumsum(lengths) - lengths
+        return flat[expand(starts[back], lengths[back])], lengths[back]
+
     return WordIds(encode)
 
 
