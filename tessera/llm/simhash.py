@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import list_array, map_texts, stored, table
 from tessera.llm.components import components
+from tessera.llm.near_copies import similar_groups
 
 SEED = 42
 #: Widths of the segments of a 64-bit word. With three of them and radius 1, distances up to 5 are never missed.
@@ -199,9 +200,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(of_print, "fp").select(id_col, "fp", "component_id")
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of their component, whole and with all columns."""
-    stay = near_duplicates(df, id_col, text_col, **options).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("stays")).distinct()
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``df`` whose id is the smallest of their component, whole and with all columns. Links are exact
+    similarities of shingle sets (``near_copies``), as a fingerprint's distance only estimates them."""
+    stay = similar_groups(df, id_col, text_col, k, similarity).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("stays")).distinct()
     return df.join(stay, F.col(id_col).eqNullSafe(F.col("stays")), "left_semi")
 
 

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import components, repeats, simhash
+from tessera.llm import components, near_copies, repeats, simhash
 
 
 def lower(text):
@@ -116,6 +116,39 @@ def test_similar_texts_are_found(spark):
     assert sum(i not in kept for i in range(1, n, 3)) >= 58
 
 
+def test_links_are_exact_similarities(spark):
+    """Groups at similarity 0.8 are those of brute force, with pairs on both sides of it and chains."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    texts = []
+    for _ in range(40):
+        base = [word() for _ in range(rng.randint(60, 300))]
+        texts.append(" ".join(base))
+        for share in (0.005, 0.01, 0.016, 0.02, 0.025, 0.03, 0.05):
+            base = list(base) if rng.random() < 0.5 else texts[-1].split()
+            texts.append(" ".join(word() if rng.random() < share else w for w in base))
+    sets = [set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 10 * len(x & sets[j]) >= 8 * len(x | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    want = [find(i) for i in range(len(texts))]
+    df = spark.createDataFrame([*enumerate(texts), (900, None), (901, " ")], "doc_id long, text string")
+    for block in (256, 2):
+        got = {r.doc_id: r.component_id for r in near_copies.similar_groups(df.repartition(3), block=block).collect()}
+        assert got == {**dict(enumerate(want)), 900: 900, 901: 900}
+    assert {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} == {*want, 900}
+    assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
+
+
 def brute(texts, size):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(b[i : i + size] for b in raw for i in range(len(b) - size + 1))
