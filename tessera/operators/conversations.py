@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.paging import newest
+from tessera.session import written
 
 
 def last_messages(messages: DataFrame, n: int) -> DataFrame:
@@ -39,17 +40,24 @@ def listed(conversations: DataFrame, owner: str | None, limit: int) -> DataFrame
     return rows.orderBy(F.desc("last_updated_at"), "conv_id").limit(min(100, max(1, limit)))
 
 
-def ancestry(conversations: DataFrame, most: int = 64) -> DataFrame:
-    """conv_id, root and depth in the fork tree, by following parents; a parent that isn't there ends the walk."""
-    rows = conversations.select("conv_id", F.col("parent_conv_id").alias("parent"))
-    out = rows.where("parent is null").select("conv_id", F.col("conv_id").alias("root"), F.lit(0).alias("depth"))
-    front, left = out, rows.where("parent is not null")
-    for depth in range(1, most + 1):
-        front = left.join(front.select(F.col("conv_id").alias("parent"), "root"), "parent").select("conv_id", "root", F.lit(depth).alias("depth"))
-        if front.isEmpty():
-            break
-        out = out.union(front)
-    return out
+def ancestry(conversations: DataFrame) -> DataFrame:
+    """conv_id, root and depth in the fork tree of every conversation; one whose parent isn't there is a root.
+    Conversations that are in a cycle, or come from one, have no root and no depth.
+
+    Each round doubles how far a conversation looks up, so there are about log2 of the largest depth; a round is
+    written to the shared folder and the driver gets the number of conversations that still look up.
+    """
+    rows = conversations.select("conv_id", F.col("parent_conv_id").alias("up"))
+    there = rows.select(F.col("conv_id").alias("up"), F.lit(True).alias("there")).distinct()
+    first = rows.join(there, "up", "left").select("conv_id", F.when(F.col("there"), F.col("up")).alias("up"))
+    now = written(first.select("conv_id", "up", F.when(F.col("up").isNull(), F.col("conv_id")).alias("root"), F.col("up").isNotNull().cast("int").alias("depth")), "ancestry")
+    left, before = now.where("up is not null").count(), None
+    while left and left != before:  # if a round finds no root, none of the others has one
+        above = now.select(F.col("conv_id").alias("up"), F.col("up").alias("next"), F.col("root").alias("top"), F.col("depth").alias("more"))
+        met = now.where("up is not null").join(above, "up").select("conv_id", F.col("next").alias("up"), F.col("top").alias("root"), (F.col("depth") + F.col("more")).alias("depth"))
+        now = written(now.where("up is null").unionByName(met), "ancestry")
+        left, before = now.where("up is not null").count(), left
+    return now.select("conv_id", "root", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
 
 
 def streamed_answers(events: DataFrame) -> DataFrame:

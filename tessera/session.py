@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that the operators assume; all are Spark defaults or safe on any cluster.
@@ -27,3 +29,12 @@ def scan(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     """A base table, pruned to ``columns``."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the folder of ``spark.checkpoint.dir`` (a local default where it is unset) and read back."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    path = f"{base.rstrip('/')}/tessera/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

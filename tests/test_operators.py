@@ -267,3 +267,13 @@ def test_bounded_files(spark, tmp_path):
     (tmp_path / "big.txt").write_bytes(b"z" * 50)
     kept, rejected = files.read_files(spark, str(tmp_path), 10)
     assert [r.text for r in files.text_files(kept).collect()] == ["x\ny"] and [r.name for r in rejected.collect()] == ["big.txt"]
+
+
+def test_ancestry_reaches_every_root(spark):
+    from tessera.operators import conversations
+
+    rows = [(i, i - 1 if i else None) for i in range(150)] + [(200, 999), (201, 200), (300, 301), (301, 300), (302, 301), (400, 400)]
+    got = {r.conv_id: (r.root, r.depth) for r in conversations.ancestry(spark.createDataFrame(rows, "conv_id long, parent_conv_id long")).collect()}
+    want = {i: (0, i) for i in range(150)} | {200: (200, 0), 201: (200, 1)} | dict.fromkeys((300, 301, 302, 400), (None, None))
+    assert got == want
+    assert conversations.ancestry(spark.createDataFrame([], "conv_id long, parent_conv_id long")).count() == 0
