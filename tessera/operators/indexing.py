@@ -99,10 +99,11 @@ def cleaned(df: DataFrame, make: Callable[[], Callable[[list[str]], list[str]]],
     return df.mapInArrow(run, schema)
 
 
-def keywords(df: DataFrame, doc: str = "doc_id", text: str = "text", n: int = 10, most_chars: int = 4000) -> DataFrame:
-    """The n most frequent terms of each text's first characters, a deterministic stand-in for a model: counts are
-    aggregated per term, so texts of any number spread over tasks."""
-    tokens = F.filter(F.split(F.lower(F.substring(text, 1, most_chars)), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 2)
+def keywords(df: DataFrame, doc: str = "doc_id", text: str = "text", n: int = 10, most_chars: int | None = None) -> DataFrame:
+    """The n most frequent terms of each text, a deterministic stand-in for a model: counts are aggregated per term, so
+    texts of any number spread over tasks. ``most_chars`` is for a model that takes only a text's first characters."""
+    read = F.col(text) if most_chars is None else F.substring(text, 1, most_chars)
+    tokens = F.filter(F.split(F.lower(read), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 2)
     counted = df.select(doc, F.explode(tokens).alias("term")).groupBy(doc, "term").agg(F.count("*").alias("n"))
     top = counted.groupBy(doc).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), "term"))), 1, n).alias("t"))
     return top.select(doc, F.transform("t", lambda x: x["term"]).alias("keywords"))

@@ -277,3 +277,12 @@ def test_ancestry_reaches_every_root(spark):
     want = {i: (0, i) for i in range(150)} | {200: (200, 0), 201: (200, 1)} | dict.fromkeys((300, 301, 302, 400), (None, None))
     assert got == want
     assert conversations.ancestry(spark.createDataFrame([], "conv_id long, parent_conv_id long")).count() == 0
+
+
+def test_keywords_count_whole_texts(spark):
+    from tessera.operators import indexing
+
+    text = "early " * 700 + "late " * 900
+    df = docs(spark, text)
+    assert indexing.keywords(df).first().keywords == ["late", "early"]
+    assert indexing.keywords(df, most_chars=3000).first().keywords == ["early"]
