@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in local tests.
+#: Used only where a session in one local process names no shared folder, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints"
 #: Characters of text that a task holds in expanded form (word lists, token ids) at a time.
 SLICE_CHARS = 1_000_000
@@ -23,14 +24,32 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local default where unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a session in one
+    local process has a default; on a cluster that is an error, as no other folder is known to be shared."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (base or LOCAL_SHARED).rstrip("/")
 
 
+def _filesystem(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme that Spark would take it to have."""
+    files, at = _filesystem(spark, path)
+    return files.makeQualified(at).toString()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other run uses. The application's folder goes when it ends."""
+    own = f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
+    files, at = _filesystem(spark, own)
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -39,7 +58,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes what ``stored`` wrote, once nothing will read it again."""
+    files, at = _filesystem(df.sparkSession, df.stored_at)
+    files.delete(at, True)
 
 
 def bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:

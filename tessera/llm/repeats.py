@@ -1,24 +1,30 @@
 """Removal of repeated byte strings by prefix-free parsing.
 
 A rolling hash over every few bytes sets triggers: in each stretch of ``width`` bytes the leftmost position of the
-least hash. Triggers depend on the bytes around them alone, so equal strings are cut into equal phrases wherever they
-stand. Every string of ``min_bytes`` has one trigger that is its own, the first stretch's; the strings of one
-trigger follow each other, and what they span is the trigger's phrase (with its overlap of ``min_bytes`` - 1).
-
-Dictionary: phrases are counted by hash of what follows the trigger in each of its strings (the key) and by hash of
-the whole phrase. A key that occurs once is no repeat. A phrase that occurs twice is repeated as a whole. What
-remains are phrases at the edge of a repeat, which share a key but differ somewhere: their suffixes to both sides
-of the trigger are compared with those of the key's other distinct phrases, each of these once. Keys with many
-distinct phrases are resolved by counting the hashes of their strings instead, which spreads over all tasks.
-So a suffix's neighbours in corpus order are found from dictionary and parse without sorting the corpus.
-
-Null and empty texts and those shorter than ``min_bytes`` have nothing to remove. Repeated rows are documents of
-their own, so a text of ``min_bytes`` or more that stands in two rows goes whole. Matches never cross documents. An
+least hash. Triggers depend on the bytes around them alone, so equal strings are cut at equal places wherever they
+stand. Every string of the least length has one trigger that is its own, the first stretch's; the strings of one
+trigger follow each other. Their phrase is what they span before the trigger, their suffix of the parse what they
+span from it on.
+
+Parse: phrases with their suffixes are counted by the hash of what follows the trigger in each of their strings (the
+key) and by the hash of all that the strings span. A key that occurs once is no repeat. What occurs twice is
+repeated as a whole. What remains stands at the edge of a repeat: it shares a key but differs somewhere.
+
+Suffix arrays: a task orders the distinct phrases of its keys by their suffixes (read backwards from the trigger) and
+the suffixes of the parse by what follows the trigger, each with the lengths of common prefixes. A string that
+begins ``a`` bytes before its trigger stands in corpus order beside those whose phrase ends in the same ``a`` bytes
+and whose parse goes on with the same rest: intervals of the two arrays, so counting the pairs of intervals of all
+strings with the same ``a`` finds the repeats, and no text position is moved or sorted by itself. Keys whose distinct
+phrases are too many for a task are resolved by counting their strings' hashes, which spreads over all tasks.
+
+Null and empty texts and those shorter than the least length have nothing to remove. Repeated rows are documents of
+their own, so a text of that length or more that stands in two rows goes whole. Matches never cross documents. An
 empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import bucketed, stored, table
+from tessera.llm.common import bucketed, discard, stored, table
 
 #: Bytes that a rolling hash covers, and how many of its bits decide.
 GRAM, POSITION_BITS = 8, 22
-#: Distinct phrases of a key that one task compares with each other; keys with more are resolved by hashes.
-COMPARED = 32
+#: Distinct phrases of a key that one task orders together; keys with more are resolved by hashes.
+KINDS = 1024
+#: Phrases, of whole keys, that a task orders at a time.
+ORDERED = 8192
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -94,29 +102,35 @@ def phrases(raw: np.ndarray, bounds: np.ndarray, min_bytes: int) -> tuple[np.nda
     return np.searchsorted(bounds, low, side="right") - 1, low, high, at[low]
 
 
-def parse(df: DataFrame, min_bytes: int) -> DataFrame:
-    """The phrases of all documents (columns id, th, raw): hashes of key and phrase, and where they stand."""
-    follows = min_bytes - min_bytes * 5 // 8 + 1
+def parse(df: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """Where the strings of each trigger stand (low, high: first and last start; at: trigger; end: of what the longest
+    strings span, cut at the document's end), the key, and hashes ``like`` of what the strings of each length span."""
+    base, widest = lengths[0], lengths[-1]
+    follows = base - base * 5 // 8 + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
         for whole in batches:
             for i, j in _slices(_lengths(whole.column(2)), 1 << 20):
                 batch = whole.slice(i, j - i)
                 raw, bounds = binary_buffers(batch.column(2))
-                doc, low, high, at = phrases(raw, bounds, min_bytes)
+                doc, low, high, at = phrases(raw, bounds, base)
                 if not len(doc):
                     continue
-                view = memoryview(raw)
-                digest = xxhash.xxh3_64_intdigest
-                key = np.fromiter((digest(view[a : a + follows]) for a in at.tolist()), np.uint64, len(at)).view(np.int64)
-                phrase = np.fromiter((digest(view[a:b]) for a, b in zip(low.tolist(), (high + min_bytes).tolist(), strict=True)), np.uint64, len(at)).view(np.int64)
-                base, rows = bounds[doc], pa.array(doc)
+                view, size = memoryview(raw), bounds[doc + 1]
+                hashes = [np.fromiter((digest(view[a : a + follows]) for a in at.tolist()), np.uint64, len(at))]
+                for m in lengths:
+                    spans = zip(low.tolist(), np.minimum(high + m, size).tolist(), (high - low).tolist(), strict=True)
+                    hashes.append(np.fromiter((digest(view[a:b], n) for a, b, n in spans), np.uint64, len(at)))
+                base_at, rows = bounds[doc], pa.array(doc)
+                places = (low, high, at, np.minimum(high + widest, size))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(key), pa.array(phrase)] + [pa.array((x - base).astype(np.int32)) for x in (low, high, at)],
-                    names=["id", "th", "key", "phrase", "low", "high", "at"],
+                    [batch.column(0).take(rows), batch.column(1).take(rows)] + [pa.array(h.view(np.int64)) for h in hashes] + [pa.array((x - base_at).astype(np.int32)) for x in places],
+                    names=["id", "th", "key", *(f"like_{m}" for m in lengths), "low", "high", "at", "end"],
                 )
 
-    return df.mapInArrow(run, "id long, th long, key long, phrase long, low int, high int, at int")
+    like = "".join(f"like_{m} long, " for m in lengths)
+    return df.mapInArrow(run, f"id long, th long, key long, {like}low int, high int, at int, end int")
 
 
 def _lengths(column: pa.Array) -> np.ndarray:
@@ -136,99 +150,139 @@ def _slices(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
-def _common(a: bytes, b: bytes) -> int:
-    """Length of the common prefix."""
-    n = min(len(a), len(b))
-    differ = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
-    return n - (differ.bit_length() + 7) // 8
-
-
-def _compare(group: list[tuple], min_bytes: int) -> list[tuple]:
-    """Repeated stretches (id, th, start, end) of a key's phrases that occur once: (id, th, low, high, at, n, raw)."""
-    sides = [(raw[at - low :], raw[: at - low][::-1]) for _, _, low, _, at, _, raw in group]
-    out = []
-    for i, (doc, th, low, high, at, n, _) in enumerate(group):
-        if n > 1:
-            continue
-        for j, (right, left) in enumerate(sides):
-            if i == j:
-                continue
-            most = min(_common(sides[i][1], left), at - low)
-            least = max(min_bytes - _common(sides[i][0], right), at - high)
-            if least <= most:
-                out.append((doc, th, at - most, at - least + min_bytes))
-    return out
-
+def _shared(values: list[bytes], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of ``values`` by key and content, and what each shares with the one before it; -1 at a new key."""
+    order = sorted(range(len(values)), key=lambda i: (keys[i], values[i]))
+    shared = np.full(len(values), -1, np.int64)
+    for n, (i, j) in enumerate(zip(order, order[1:], strict=False), 1):
+        if keys[i] == keys[j]:
+            a, b = values[i], values[j]
+            least = min(len(a), len(b))
+            differ = int.from_bytes(a[:least], "big") ^ int.from_bytes(b[:least], "big")
+            shared[n] = least - (differ.bit_length() + 7) // 8
+    return np.array(order, np.int64), shared
+
+
+def _in_order(group: dict[str, list], lengths: tuple[int, ...]) -> pa.RecordBatch:
+    """Repeated stretches of the phrases of whole keys, by the suffix arrays of dictionary and parse."""
+    keys = np.array(group["key"], np.int64)
+    low, high, at, end = (np.array(group[k], np.int64) for k in ("low", "high", "at", "end"))
+    before = (at - low).tolist()
+    phrase_order, phrase_shared = _shared([r[:n][::-1] for r, n in zip(group["raw"], before, strict=True)], keys)
+    parse_order, parse_shared = _shared([r[n:] for r, n in zip(group["raw"], before, strict=True)], keys)
+    times, found = np.minimum(np.array(group["n"], np.int64), 2), []
+    phrase_class, parse_class = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+    for m in lengths:
+        last = np.minimum(high, end - m)
+        repeated = np.zeros((len(keys), int((at - low).max()) + 1), bool)
+        for a in range(repeated.shape[1]):
+            here = np.flatnonzero((at - a >= low) & (at - a <= last))
+            phrase_class[phrase_order] = np.cumsum(phrase_shared < a)
+            parse_class[parse_order] = np.cumsum(parse_shared < m - a)
+            cells = phrase_class[here] * (len(keys) + 1) + parse_class[here]
+            by = np.argsort(cells, kind="stable")
+            sorted_cells = cells[by]
+            starts = np.flatnonzero(np.r_[True, sorted_cells[1:] != sorted_cells[:-1]][: len(by)])
+            if len(starts):
+                total = np.add.reduceat(times[here[by]], starts)
+                repeated[here[by], a] = np.repeat(total > 1, np.diff(np.r_[starts, len(by)]))
+        repeated[np.array(group[f"n_{m}"]) > 1] = False  # these are repeated as a whole
+        edge = np.diff(np.pad(repeated, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        rows, first = np.nonzero(edge == 1)
+        _, past = np.nonzero(edge == -1)
+        found.append((rows, np.full(len(rows), m), at[rows] - past + 1, at[rows] - first + m))
+    rows, m, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(group["id"], pa.int64()).take(pa.array(rows)), pa.array(group["th"], pa.int64()).take(pa.array(rows))] + [pa.array(x.astype(np.int32)) for x in (m, start, end)],
+        names=["id", "th", "m", "start", "end"],
+    )
 
-SPAN = "id long, th long, start int, end int"
 
+SPAN = "id long, th long, m int, start int, end int"
 
-def _spans(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["id", "th", "start", "end"])
 
+def edges(open_: DataFrame, docs: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """Repeated stretches of phrases that don't occur twice as a whole. ``open_``: all distinct phrases of keys that
+    have such phrases, with one of their places, ``n_`` by length, and ``kinds``, the number of the key's phrases."""
+    widest = lengths[-1]
+    text = F.substring(F.col("raw"), F.col("low") + 1, F.col("end") - F.col("low"))
+    counts = [f"n_{m}" for m in lengths]
+    # the table of documents lies by these columns, so neither grouping nor join moves its texts
+    once = docs.groupBy("id", "th").agg(F.first("raw").alias("raw"))
 
-def edges(seen: DataFrame, docs: DataFrame, min_bytes: int) -> DataFrame:
-    """Repeated stretches of phrases that occur once themselves. ``seen``: phrases whose key occurs twice, with the
-    number ``n`` of each phrase's occurrences and ``kinds`` of its key's distinct phrases."""
-    one = seen.where("kinds > 1").groupBy("key", "phrase").agg(F.min(F.struct("th", "id", "low", "high", "at")).alias("p"), F.max("n").alias("n"), F.max("kinds").alias("kinds"))
-    open_ = one.groupBy("key").agg(F.min("n").alias("least")).where("least = 1").select("key")
-    one = one.join(open_, "key", "left_semi").select("key", "phrase", "p.*", "n", "kinds")
-    text = F.substring(F.col("raw"), F.col("low") + 1, F.col("high") - F.col("low") + min_bytes)
-    fetched = one.join(docs, ["id", "th"]).select("key", "phrase", "id", "th", "low", "high", "at", "n", "kinds", text.alias("raw"))
-    at = stored(fetched.dropDuplicates(["key", "phrase"]), "edges")  # a row that is repeated whole would be met twice
+    def fetched(some: DataFrame) -> DataFrame:
+        return some.join(once, ["id", "th"]).select("key", "id", "th", "low", "high", "at", "end", F.col(f"n_{widest}").alias("n"), *counts, text.alias("raw"))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group = None, []
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
         for batch in batches:
-            out = []
-            for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if k != key:
-                    out += _compare(group, min_bytes)
-                    key, group = k, []
-                group.append(tuple(row))
-            yield _spans(out)
-        yield _spans(_compare(group, min_bytes))
-
-    few = at.where(F.col("kinds") <= COMPARED).select("key", "id", "th", "low", "high", "at", "n", "raw")
-    pairs = few.repartition("key").sortWithinPartitions("key").mapInArrow(compare, SPAN)
+            rows = batch.to_pydict()
+            for name, column in rows.items():
+                held.setdefault(name, []).extend(column)
+            if len(held["key"]) >= ORDERED:  # all but the last key, which may go on
+                cut = bisect.bisect_left(held["key"], held["key"][-1])
+                if cut:
+                    yield _in_order({k: v[:cut] for k, v in held.items()}, lengths)
+                    held = {k: v[cut:] for k, v in held.items()}
+        if held and held["key"]:
+            yield _in_order(held, lengths)
+
+    few = fetched(open_.where(F.col("kinds") <= KINDS))
+    found = few.repartition("key").sortWithinPartitions("key").mapInArrow(ordered, SPAN)
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = (1 << 63) - 1
         for batch in batches:
             for row in batch.to_pylist():
-                view, m = memoryview(row["raw"]), row["high"] - row["low"] + 1
-                h = [xxhash.xxh3_128_intdigest(view[i : i + min_bytes]) for i in range(m)]
-                mask = (1 << 63) - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x >> 64 & mask for x in h], pa.int64()), pa.array([x & mask for x in h], pa.int64()), pa.array([row["id"]] * m, pa.int64()), pa.array([row["th"]] * m, pa.int64())]
-                    + [pa.array(np.arange(row["low"], row["high"] + 1, dtype=np.int32)), pa.array([min(2, row["n"])] * m, pa.int64())],
-                    names=["h1", "h2", "id", "th", "start", "n"],
-                )
-
-    many = at.where(F.col("kinds") > COMPARED)
-    hashed = stored(many.select("id", "th", "low", "high", "n", "raw").mapInArrow(strings, "h1 long, h2 long, id long, th long, start int, n long"), "strings")
-    twice = hashed.groupBy("h1", "h2").agg(F.sum("n").alias("times")).where("times > 1")
-    found = hashed.where("n = 1").join(twice, ["h1", "h2"], "left_semi").select("id", "th", "start", (F.col("start") + min_bytes).alias("end"))
-    return pairs.union(found)
-
-
-def repeated_spans(docs: DataFrame, min_bytes: int) -> DataFrame:
-    """id, th, ``spans``: the repeated stretches of each document that has any, not yet merged."""
-    parsed = stored(parse(docs, min_bytes), "phrases")
-    # written first, so that the join has plain exchanges on both sides and a frequent key's rows can be split
+                view = memoryview(row["raw"])
+                for m in lengths:
+                    n = min(row["high"], row["end"] - m) - row["low"] + 1
+                    if n < 1:
+                        continue
+                    h = [xxhash.xxh3_128_intdigest(view[i : i + m]) for i in range(n)]
+                    places = np.arange(row["low"], row["low"] + n, dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([x >> 64 & mask for x in h], pa.int64()), pa.array([x & mask for x in h], pa.int64()), pa.array([row["id"]] * n, pa.int64()), pa.array([row["th"]] * n, pa.int64())]
+                        + [pa.array(np.full(n, m, np.int32)), pa.array(places), pa.array([min(2, row["n"])] * n, pa.int64()), pa.array([row[f"n_{m}"] == 1] * n)],
+                        names=["h1", "h2", "id", "th", "m", "start", "n", "edge"],
+                    )
+
+    many = fetched(open_.where(F.col("kinds") > KINDS))
+    hashed = stored(many.mapInArrow(strings, "h1 long, h2 long, id long, th long, m int, start int, n long, edge boolean"), "strings")
+    twice = stored(hashed.groupBy("m", "h1", "h2").agg(F.sum("n").alias("times")).where("times > 1").select("m", "h1", "h2"), "twice")
+    counted = hashed.where("edge").join(twice, ["m", "h1", "h2"], "left_semi")
+    return found.union(counted.select("id", "th", "m", "start", (F.col("start") + F.col("m")).cast("int").alias("end")))
+
+
+def repeated_spans(docs: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """id, th, ``spans``: the repeated stretches (m: the strings' length, start, end) of each document that has any,
+    not yet merged. What feeds a join is written first, so that the join has plain exchanges on both sides and a
+    frequent key's rows can be split."""
+    widest, like = lengths[-1], f"like_{lengths[-1]}"
+    parsed = stored(parse(docs, lengths), "phrases")
     twice = stored(parsed.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"), "keys")
     seen = stored(parsed.join(twice, "key", "left_semi"), "repeated")
-    times = stored(seen.groupBy("key", "phrase").agg(F.count("*").alias("n")), "times")
-    kinds = stored(times.groupBy("key").agg(F.count("*").alias("kinds")), "kinds")
-    counted = seen.join(stored(times.join(kinds, "key"), "counts"), ["key", "phrase"])
-    whole = counted.where("n > 1").select("id", "th", F.col("low").alias("start"), (F.col("high") + min_bytes).alias("end"))
-    return whole.union(edges(counted, docs, min_bytes)).groupBy("id", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-
-
-def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
-    """Maximal stretches that the spans cover, in order."""
+    discard(parsed)
+    place = F.min(F.struct("th", "id", "low", "high", "at", "end", *(f"like_{m}" for m in lengths[:-1]))).alias("p")
+    kinds = stored(seen.groupBy("key", like).agg(F.count("*").alias(f"n_{widest}"), place).select("key", like, "p.*", f"n_{widest}"), "kinds")
+    for m in lengths[:-1]:
+        times = stored(kinds.groupBy("key", f"like_{m}").agg(F.sum(f"n_{widest}").alias(f"n_{m}")), f"times-{m}")
+        kinds = stored(kinds.join(times, ["key", f"like_{m}"]), f"kinds-{m}")
+    edge = F.lit(False)
+    for m in lengths:
+        edge = edge | ((F.col(f"n_{m}") == 1) & (F.col("end") - F.col("low") >= m))
+    groups = stored(kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.max(edge).alias("open")).where("open and kinds > 1").select("key", "kinds"), "groups")
+    wide = kinds.where(" or ".join(f"n_{m} > 1" for m in lengths)).select("key", like, *(f"n_{m}" for m in lengths))
+    spans = [F.when((F.col(f"n_{m}") > 1) & (F.col("end") - F.col("low") >= m), F.struct(F.lit(m).alias("m"), F.col("low").alias("start"), F.least(F.col("high") + m, "end").alias("end"))) for m in lengths]
+    whole = seen.join(wide, ["key", like]).select("id", "th", F.inline(F.array_compact(F.array(*spans))))
+    rest = edges(kinds.join(groups, "key"), docs, lengths)
+    return whole.union(rest).groupBy("id", "th").agg(F.collect_set(F.struct("m", "start", "end")).alias("spans"))
+
+
+def merged(spans: list[dict] | None, m: int) -> list[tuple[int, int]]:
+    """Maximal stretches that the spans of strings of length ``m`` cover, in order."""
     out: list[list[int]] = []
-    for a, b in sorted((s["start"], s["end"]) for s in spans or []):
+    for a, b in sorted((s["start"], s["end"]) for s in spans or [] if s["m"] == m):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -240,50 +294,64 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Adds ``removed``, array of struct of the maximal removed runs of UTF-8 bytes (start, end), and ``kept``,
     the remaining bytes: each byte goes that a string of ``min_bytes`` covers which also starts anywhere else.
 
-    All strings are judged on the input. Other columns stay as they are. With ``whole_characters`` what is left of a
-    character that a run cuts is left out of ``kept`` as well.
+    All strings are judged on the input. Other columns stay as they are; of the added names the added ones stay. With
+    ``whole_characters`` what is left of a character that a run cuts is left out of ``kept`` as well.
     """
-    names = df.columns
+    return remove_repeats_of(df, {"": (min_bytes, whole_characters)}, id_col, text_col)
+
+
+def remove_repeats_of(df: DataFrame, cuts: dict[str, tuple[int, bool]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``remove_repeats`` for several lengths at once: adds ``removed`` and ``kept``, followed by the cut's name, for
+    each of ``cuts``, which map names to (``min_bytes``, ``whole_characters``)."""
+    names, lengths = df.columns, tuple(sorted({m for m, _ in cuts.values()}))
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = {"_repeat_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "_repeat_th": F.xxhash64(text)}
     placed = bucketed(df.withColumns(own), list(own), "repeats")
     raw = text.cast("binary")
     docs = placed.select(F.col("_repeat_id").alias("id"), F.col("_repeat_th").alias("th"), raw.alias("raw"))
-    spans = repeated_spans(docs, min_bytes).select(F.col("id").alias("_repeat_id"), F.col("th").alias("_repeat_th"), F.col("spans").alias("all_spans"))
-    joined = placed.join(spans, list(own), "left").select(*names, raw.alias("own_raw"), "all_spans")
-    added = T._parse_datatype_string("removed array<struct<start:int,end:int>>, kept binary")
+    spans = repeated_spans(docs, lengths).select(F.col("id").alias("_repeat_id"), F.col("th").alias("_repeat_th"), F.col("spans").alias("_repeat_spans"))
+    joined = placed.join(spans, list(own), "left").select(*names, raw.alias("_repeat_raw"), "_repeat_spans")
+    added = T._parse_datatype_string(", ".join(f"`removed{k}` array<struct<start:int,end:int>>, `kept{k}` binary" for k in cuts))
     keep = [f for f in df.schema.fields if f.name not in added.fieldNames()]
     schema = T.StructType(keep + added.fields)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column(batch.schema.get_field_index("own_raw"))
-            lists = batch.column(batch.schema.get_field_index("all_spans"))
-            removed, kept = [], []
-            for text, spans in zip(own, lists.to_pylist(), strict=True):
-                runs = merged(spans)
-                removed.append([{"start": a, "end": b} for a, b in runs])
-                value = text.as_py()
-                if runs:
-                    ends = [0, *(x for r in runs for x in r), len(value)]
-                    value = b"".join(value[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
-                    value = value.decode("utf-8", "ignore").encode() if whole_characters else value
-                kept.append(value)
+            own = batch.column(batch.schema.get_field_index("_repeat_raw"))
+            lists = batch.column(batch.schema.get_field_index("_repeat_spans")).to_pylist()
             arrays = [batch.column(batch.schema.get_field_index(f.name)) for f in keep]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(removed, kind), pa.array(kept, pa.binary())], names=schema.fieldNames())
+            for m, whole in cuts.values():
+                removed, kept = [], []
+                for text, spans in zip(own, lists, strict=True):
+                    runs = merged(spans, m)
+                    removed.append([{"start": a, "end": b} for a, b in runs])
+                    value = text.as_py()
+                    if runs:
+                        ends = [0, *(x for r in runs for x in r), len(value)]
+                        value = b"".join(value[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
+                        value = value.decode("utf-8", "ignore").encode() if whole else value
+                    kept.append(value)
+                arrays += [pa.array(removed, kind), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
 
     return joined.mapInArrow(cut, schema)
 
 
+#: Bytes of nearly all passages of over 50 words, as ``text`` of ``op8_suffix_dedup`` and the pipeline leave them out.
+PASSAGE = 250
+
+
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    """What remains of every document without repeated strings of 400 bytes, as counts and a digest."""
+    """What remains of every document without repeated strings of 400 bytes, as counts and a digest. Beside them
+    ``text``, what remains without repeated passages (``PASSAGE`` bytes, about 45 words)."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("n_bytes", F.length(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("long"))
-    out = remove_repeats(docs)
+    out = remove_repeats_of(docs, {"": (400, False), "_passages": (PASSAGE, True)})
     return out.select(
         "doc_id",
         "n_bytes",
         (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        F.col("kept_passages").cast("string").alias("text"),
     )

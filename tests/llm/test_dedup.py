@@ -165,9 +165,10 @@ def brute(texts, size):
     return out
 
 
-@pytest.mark.parametrize("size", [40, 400])
-def test_repeats_are_those_of_brute_force(spark, size, monkeypatch):
-    monkeypatch.setattr(repeats, "COMPARED", 3)
+@pytest.mark.parametrize(("size", "kinds"), [(40, 3), (40, 1024), (400, 3), (400, 1024)])
+def test_repeats_are_those_of_brute_force(spark, size, kinds, monkeypatch):
+    monkeypatch.setattr(repeats, "KINDS", kinds)
+    monkeypatch.setattr(repeats, "ORDERED", 20)
     rng = random.Random(size)
     text = lambda n, letters="abcdefgh é\n": "".join(rng.choice(letters) for _ in range(n))
     shared = [text(rng.randint(size // 2, 3 * size)) for _ in range(6)]
@@ -187,6 +188,10 @@ def test_repeats_are_those_of_brute_force(spark, size, monkeypatch):
     want = [(i, *b) for (i, _), b in zip(rows, brute([t for _, t in rows], size), strict=True)]
     assert Counter((r.doc_id, hashlib.sha256(bytes(r.kept)).hexdigest(), len((r.text or "").encode()) - len(r.kept), len(r.removed)) for r in got) == Counter(want)
     assert repeats.remove_repeats(df.limit(0), min_bytes=size).count() == 0
+    both = repeats.remove_repeats_of(df.repartition(4), {"": (size, False), "_short": (size * 5 // 8, False)}).collect()
+    short = [(i, *b) for (i, _), b in zip(rows, brute([t for _, t in rows], size * 5 // 8), strict=True)]
+    for name, wanted in (("", want), ("_short", short)):
+        assert Counter((r.doc_id, hashlib.sha256(bytes(r[f"kept{name}"])).hexdigest(), len((r.text or "").encode()) - len(r[f"kept{name}"]), len(r[f"removed{name}"])) for r in both) == Counter(wanted)
 
 
 def test_triggers_of_long_texts(monkeypatch):
