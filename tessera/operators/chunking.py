@@ -1,8 +1,8 @@
 """Chunkers: tables of documents to tables of chunks.
 
 Fixed windows and structure are plans of built-in functions. Recursive and overlap packing are greedy in the order of
-the text; there a small function per document runs inside Arrow tasks, one document at a time, and ids, counts and
-links are added by expressions.
+the text; there a small function per document runs inside Arrow tasks, one document at a time. Ids, counts and links
+are added by expressions, without an exchange.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from tessera.functions import text as tx
 SENTENCE = re.compile(r"(?<=[.!?。！？])\s+")
 #: In the order they are tried.
 BREAKS = (re.compile(r"\n[ \t\n\x0b\f\r]*\n"), re.compile(r"\n"), SENTENCE, re.compile(r"[ \t\n\x0b\f\r]+"))
+PARAGRAPHS = BREAKS[0]
 _TRIM = "".join(map(chr, range(33)))
 
 
@@ -38,46 +39,69 @@ class Sizes:
         if self.unit not in ("character", "token"):
             raise ValueError(f"no such unit: {self.unit}")
 
-    def measure(self, text: str) -> int:
-        """Size of a text in the unit, as the expressions of ``functions.text`` have it."""
-        bare = re.sub(tx.ASCII_SPACE, " ", text).strip(_TRIM)
-        if not bare:
-            return 0
-        return max(1, -(-len(bare) // 4)) if self.unit == "token" else len(text)
+    @property
+    def most(self) -> int:
+        """The largest weight of a chunk."""
+        return 4 * self.max_size if self.unit == "token" else self.max_size
+
+    def weight(self, text: str) -> int:
+        """Characters that count: all, but in token units of the squeezed text, four a token; blank texts have none.
+        A space between two texts that begin and end in others adds one."""
+        if self.unit == "character":
+            return len(text) if text.strip(_TRIM) else 0
+        return len(re.sub(tx.ASCII_SPACE, " ", text).strip(_TRIM))
 
 
 def with_ids(chunks: DataFrame, doc: str, strategy: str) -> DataFrame:
-    """Adds chunk ids, counts, hash and links to (doc, chunk_order, content)."""
-    w = Window.partitionBy(doc).orderBy("chunk_order")
-    name = tx.chunk_id(F.col(doc).cast("string"), F.col("chunk_order"))
-    return (
-        chunks.withColumn("chunk_id", name)
-        .withColumns({"prev_chunk_id": F.lag("chunk_id").over(w), "next_chunk_id": F.lead("chunk_id").over(w)})
-        .withColumns({"char_count": F.length("content"), "token_count": tx.token_estimate(F.col("content")), "content_hash": tx.content_hash(F.col("content")), "strategy": F.lit(strategy)})
-    )
+    """Adds chunk ids, counts, hash and links to (doc, chunk_order, last, content). A document's chunks are made in one
+    place and in order, so its links follow from the order alone and nothing is moved; ``last`` goes."""
+    named = lambda by: tx.chunk_id(F.col(doc).cast("string"), F.col("chunk_order") + by)
+    return chunks.withColumns({
+        "chunk_id": named(0),
+        "prev_chunk_id": F.when(F.col("chunk_order") > 0, named(-1)),
+        "next_chunk_id": F.when(~F.col("last"), named(1)),
+        "char_count": F.length("content"),
+        "token_count": tx.token_estimate(F.col("content")),
+        "content_hash": tx.content_hash(F.col("content")),
+        "strategy": F.lit(strategy),
+    }).drop("last")
 
 
 def fixed(df: DataFrame, doc: str = "doc_id", text: str = "text", sizes: Sizes = Sizes(), links: bool = True) -> DataFrame:
-    """Windows of a fixed size: starts are a sequence, so no text is walked. Offsets are those of the untrimmed
-    windows; blank windows are skipped and don't count."""
+    """Windows of a fixed size. Offsets are those of the untrimmed windows; blank windows are skipped and don't count.
+
+    A text is cut into steps in one pass; a window is a step and the beginning of what follows it, so a text of any
+    length takes time in proportion, and its windows get their order where they are made.
+    """
     size, overlap = tx.window_chars(sizes.max_size, sizes.unit), tx.window_chars(sizes.overlap, sizes.unit) if sizes.overlap else 0
     step = max(1, size - overlap)
     source = tx.trimmed(tx.unix_lines(F.coalesce(F.col(text), F.lit(""))))
-    n = F.length("_t")
-    rows = df.select(F.col(doc), source.alias("_t")).where("length(_t) > 0")
-    cut = rows.select(doc, "_t", F.explode(F.sequence(F.lit(0), F.greatest(n - overlap, F.lit(1)) - 1, F.lit(step))).alias("start_offset"))
-    cut = cut.select(doc, "start_offset", F.least(F.col("start_offset") + size, n).alias("end_offset"), tx.trimmed(F.substring("_t", F.col("start_offset") + 1, F.lit(size))).alias("content")).where("content <> ''")
-    ordered = cut.withColumn("chunk_order", (F.row_number().over(Window.partitionBy(doc).orderBy("start_offset")) - 1).cast("int"))
-    return with_ids(ordered, doc, "fixed-size") if links else ordered
-
-
-def pieces(text: str, sizes: Sizes) -> Iterator[str]:
-    """Parts of a text of at most the largest size, by the first kind of break that parts it, again and again."""
+    rows = df.select(F.col(doc), source.alias("_t")).where("_t <> ''")
+    steps = rows.select(doc, F.regexp_extract_all("_t", F.lit(f"(?s).{{1,{step}}}"), F.lit(0)).alias("_p"))
+    windows = F.col("_p")
+
+    def behind(rest: int) -> Callable[[Column, Column], Column]:
+        return lambda w, p: F.concat(w, F.coalesce(F.substring(p, 1, rest), F.lit("")))
+
+    for n in range(1, -(-overlap // step) + 1):  # one, unless the overlap is longer than a step
+        windows = F.zip_with(windows, F.slice("_p", n + 1, F.size("_p")), behind(overlap - (n - 1) * step))
+    windows = F.slice(windows, 1, F.size("_p"))
+    placed = F.transform(windows, lambda w, i: F.struct((i * step).cast("int").alias("start_offset"), (i * step + F.length(w)).cast("int").alias("end_offset"), tx.trimmed(w).alias("content"), ((i == 0) | (F.length(w) > overlap)).alias("new")))
+    listed = steps.select(doc, F.filter(placed, lambda w: w["new"] & (w["content"] != "")).alias("_w"))
+    cut = listed.select(doc, F.size("_w").alias("_n"), "_w").select(doc, "_n", F.posexplode("_w").alias("chunk_order", "_c"))
+    ordered = cut.select(doc, "_c.start_offset", "_c.end_offset", "_c.content", "chunk_order", (F.col("chunk_order") == F.col("_n") - 1).alias("last"))
+    return with_ids(ordered, doc, "fixed-size") if links else ordered.drop("last")
+
+
+def pieces(text: str, sizes: Sizes) -> Iterator[tuple[str, int]]:
+    """Parts of a text of at most the largest size, by the first kind of break that parts it, again and again, each
+    with its weight (``Sizes.weight``)."""
     stack = [text]
     while stack:
         part = stack.pop()
-        if sizes.measure(part) <= sizes.max_size:
-            yield part
+        weight = sizes.weight(part)
+        if weight <= sizes.most:
+            yield part, weight
             continue
         for pattern in BREAKS:
             inner = [p for p in (x.strip(_TRIM) for x in pattern.split(part)) if p]
@@ -86,62 +110,58 @@ def pieces(text: str, sizes: Sizes) -> Iterator[str]:
                 break
         else:
             window = tx.window_chars(sizes.max_size, sizes.unit)
-            yield from (part[i : i + window].strip(_TRIM) for i in range(0, len(part), window))
+            cuts = (part[i : i + window].strip(_TRIM) for i in range(0, len(part), window))
+            yield from ((c, sizes.weight(c)) for c in cuts)
 
 
 def recursive_chunks(text: str, sizes: Sizes) -> Iterator[tuple[int, str]]:
-    """(virtual start, content) of chunks packed from pieces with a space between; each begins with the tail of the
-    one before unless the next piece doesn't fit behind it."""
-    tail_chars = tx.window_chars(sizes.overlap, sizes.unit) if sizes.overlap else 0
-    held, start = "", 0
-    for piece in pieces(text, sizes):
-        if not piece.strip():
-            continue
-        joined = f"{held} {piece}" if held else piece
-        if held and sizes.measure(joined) > sizes.max_size:
-            done = held.strip(_TRIM)
-            yield start, done
-            tail = done[-tail_chars:] if tail_chars else ""
-            start += len(done) - len(tail)
-            joined = f"{tail} {piece}" if tail else piece
-            if sizes.measure(joined) > sizes.max_size:
-                joined = piece
-        held = joined
-    if held:
-        yield start, held.strip(_TRIM)
+    """(virtual start, content) of chunks filled with pieces, a space between. A chunk begins with the tail of the one
+    before, unless its first piece doesn't fit behind it. Weights add up, so no text is measured twice."""
+    carried = tx.window_chars(sizes.overlap, sizes.unit) if sizes.overlap else 0
+    found = [(p, w) for p, w in pieces(text, sizes) if w]
+    start, at, tail = 0, 0, ""
+    while at < len(found):
+        head = sizes.weight(tail) + 1 if tail else 0
+        if head + found[at][1] > sizes.most:
+            head, tail = 0, ""
+        room, begin = sizes.most - head - found[at][1], at
+        at += 1
+        while at < len(found) and 1 + found[at][1] <= room:
+            room -= 1 + found[at][1]
+            at += 1
+        content = " ".join(([tail] if tail else []) + [p for p, _ in found[begin:at]]).strip(_TRIM)
+        yield start, content
+        tail = content[-carried:] if carried else ""
+        start += len(content) - len(tail)
 
 
 def overlap_chunks(text: str, sizes: Sizes) -> Iterator[tuple[int, str]]:
-    """(order, content) of chunks filled with paragraphs up to a number of characters. A paragraph that doesn't fit
-    begins a new chunk; one longer than a chunk is cut where the chunk is full."""
-    size, overlap, order = sizes.max_size, sizes.overlap, 0
-    held, glued = "", False  # glued: what is held ends in the middle of a paragraph, or is a tail
-
-    def close() -> str:
-        return held[-overlap:] if overlap else ""
-
-    for paragraph in re.split(r"\n[ \t\n\x0b\f\r]*\n", text):
-        rest, glued = paragraph, False
-        while rest:
-            gap = "\n\n" if held and not glued else ""
-            room = size - len(held) - len(gap)
-            if len(rest) <= room:
-                held, rest = held + gap + rest, ""
-            elif room <= 0 or (held and not glued):
-                yield order, held.strip(_TRIM)
-                order, held = order + 1, close()
-                glued = bool(held)
-            else:
-                held, rest = held + gap + rest[:room], rest[room:]
-                yield order, held.strip(_TRIM)
-                order, held = order + 1, close()
-                glued = bool(held)
-    if held:
-        yield order, held.strip(_TRIM)
+    """(start, content) of chunks of up to a number of characters, filled with paragraphs.
+
+    Chunks are slices of one string, which only grows: each reaches back into the one before by the overlap. A
+    paragraph that fits the chunk is written behind a blank line; else the chunk ends, the paragraph is written without
+    one, and ends a chunk wherever one is full.
+    """
+    size, overlap, written, slices, begin, end = sizes.max_size, sizes.overlap, [], [], 0, 0
+    for paragraph in filter(None, PARAGRAPHS.split(text)):
+        gap = "\n\n" if end > begin else ""
+        fits = end - begin + len(gap) + len(paragraph) <= size
+        if not fits and end > begin:
+            slices.append((begin, end))
+            begin = max(begin, end - overlap)
+        written += [gap, paragraph] if fits else [paragraph]
+        end += sum(map(len, written[-1 - fits :]))
+        for full in range(begin + size, end, size - overlap):
+            slices.append((begin, full))
+            begin = full - overlap
+    if end > begin:
+        slices.append((begin, end))
+    whole = "".join(written)
+    return ((a, whole[a:b].strip(_TRIM)) for a, b in slices)
 
 
 def _walked(df: DataFrame, doc: str, source: Column, walk: Callable[[str], Iterator[tuple[int, str]]]) -> DataFrame:
-    """doc, chunk_order, start_offset and content of each document's walk."""
+    """doc, chunk_order, last, start_offset and content of each document's walk."""
     rows = df.select(F.col(doc), source.alias("_t")).where("length(_t) > 0")
     kind = rows.schema[doc].dataType.simpleString()
 
@@ -149,30 +169,32 @@ def _walked(df: DataFrame, doc: str, source: Column, walk: Callable[[str], Itera
         for batch in batches:
             for i in range(0, len(batch), 256):
                 part = batch.slice(i, 256)
-                at, out = [], []
+                at, order, last, out = [], [], [], []
                 for row, t in enumerate(part.column(1).to_pylist()):
-                    for order, (start, content) in enumerate(walk(t)):
-                        at.append(row)
-                        out.append((order, start, content))
+                    own = list(walk(t))
+                    at += [row] * len(own)
+                    order += range(len(own))
+                    last += [n == len(own) - 1 for n in range(len(own))]
+                    out += own
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(at, pa.int64())), pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.string())],
-                    names=[doc, "chunk_order", "start_offset", "content"],
+                    [part.column(0).take(pa.array(at, pa.int64())), pa.array(order, pa.int32()), pa.array(last, pa.bool_()), pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.string())],
+                    names=[doc, "chunk_order", "last", "start_offset", "content"],
                 )
 
-    return rows.mapInArrow(run, f"{doc} {kind}, chunk_order int, start_offset int, content string")
+    return rows.mapInArrow(run, f"{doc} {kind}, chunk_order int, last boolean, start_offset int, content string")
 
 
 def recursive(df: DataFrame, doc: str = "doc_id", text: str = "text", sizes: Sizes = Sizes(), links: bool = True) -> DataFrame:
     """Chunks by paragraphs, lines, sentences, words, else windows; offsets are positions in the chunks' own text."""
     cut = _walked(df, doc, tx.chunk_source(F.col(text)), lambda t: recursive_chunks(t, sizes)).withColumn("end_offset", F.col("start_offset") + F.length("content"))
-    return with_ids(cut, doc, "recursive") if links else cut
+    return with_ids(cut, doc, "recursive") if links else cut.drop("last")
 
 
 def overlapping(df: DataFrame, doc: str = "doc_id", text: str = "text", sizes: Sizes = Sizes(500, 50), links: bool = True) -> DataFrame:
     """Chunks filled paragraph by paragraph; ids are deterministic."""
     collapsed = tx.trimmed(F.regexp_replace(tx.unix_lines(F.coalesce(F.col(text), F.lit(""))), r"\n{3,}", "\n\n"))
     cut = _walked(df, doc, collapsed, lambda t: overlap_chunks(t, sizes)).drop("start_offset")
-    return with_ids(cut, doc, "overlap") if links else cut
+    return with_ids(cut, doc, "overlap") if links else cut.drop("last")
 
 
 STANDALONE = ("TABLE", "IMAGE", "IMAGE_CAPTION", "OCR_TEXT")
