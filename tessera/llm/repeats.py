@@ -38,8 +38,9 @@ from tessera.llm.common import bucketed, discard, stored, table
 
 #: Bytes that a rolling hash covers, and how many of its bits decide.
 GRAM, POSITION_BITS = 8, 22
-#: Distinct phrases of a key that one task orders together; keys with more are resolved by hashes.
-KINDS = 1024
+#: Distinct phrases of a key that one task orders together, in about 50 MB and three seconds; keys with more are
+#: resolved by hashes.
+KINDS = 1 << 16
 #: Phrases, of whole keys, that a task orders at a time.
 ORDERED = 8192
 MIX = np.uint64(0x9E3779B97F4A7C15)
