@@ -2,12 +2,17 @@
 
 Each language has a character model of order 5 over its words (the letters between two blanks). All languages' n-gram
 probabilities stand in one sorted array of 64-bit hashes per order, with a row of probabilities and a row of back-off
-weights for each n-gram seen in any language. A text goes to the language of the lowest cross-entropy per character;
-it is rejected where that is further above the language's own texts than calibration allows for its length.
+weights for each n-gram seen in any language. A text goes to the language of the lowest cross-entropy per character.
 
-Training reads a bounded sample of labelled rows, about ``per_language`` of each language, chosen by a hash of the
-id; prediction reads whole texts. Texts are lower-cased, letters of any script form words, everything else parts
-them. A word's entropy is worked out once per task.
+Rejection is for texts that no learned language describes, so it goes by the cross-entropy with each word in the
+language that describes it best: names, quotations and passages in another learned language don't raise it. What a
+text exceeds its language's median by is measured in spreads for its length, and the limit is the quantile of that
+measure over held-back texts which rejects a share of ``FALSE_REJECTION`` of texts like them.
+
+Training reads a bounded sample of labelled rows, about ``per_language`` of each language, and calibration as many more
+as ``calibrating`` says, all chosen by a hash of the id; prediction reads whole texts. Texts are lower-cased, letters
+and marks of any script form words, everything else (digits and other numbers too) parts them. A word's entropy is
+worked out once per task.
 
 Null texts and texts without letters are `und` with score 0 (and rejected). Rows without a label are not learned
 from. Repeated rows and ties are predicted each on its own; of equal entropies the smaller label wins. An empty
@@ -18,27 +23,26 @@ the sample's, not by the table's.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import list_array, map_texts, sums_by, table
+from tessera.llm.common import map_texts, sums_by, table
 
-#: Letters and marks of any script.
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Words: letters of any script, with marks.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 ORDER = 5
-#: Labelled rows to learn from, about, for each language; half as many more calibrate.
-PER_LANGUAGE = 400
-#: Standard deviations above a language's own texts at which a text is rejected.
-REJECT_AT = 8.0
-#: Bits per character that texts of a language may always differ by (names, quotations, parts in another learned
-#: language): rejection is for texts that no learned language describes.
-LEAST_SPREAD = 0.2
+#: Labelled rows to learn from, about, for each language, and to calibrate with.
+PER_LANGUAGE, CALIBRATING = 400, 1000
+#: Share of texts like the learned ones that rejection may take.
+FALSE_REJECTION = 0.002
+#: Bits per character that spreads are never less than: for long texts, and for one of a single character.
+LEAST_SPREAD, LEAST_WOBBLE = 0.02, 1.0
 UNDETERMINED = "und"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _EDGE = 32  # the blank at both ends of a word
@@ -86,6 +90,11 @@ class Models:
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None
     wobble: np.ndarray | None = None
+    limit: float = math.inf  # spreads above the median at which a text is rejected
+
+    def excess(self, best: np.ndarray, h: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """Spreads by which entropies of texts in languages ``best`` exceed the languages' medians."""
+        return (h - self.mean[best]) / np.sqrt(self.spread[best] ** 2 + self.wobble[best] ** 2 / chars)
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Sum over the word's characters of -log2 p, for each word and language."""
@@ -225,20 +234,22 @@ def _fill(models: Models, words: dict[str, list[str]]) -> None:
 
 
 class Scorer:
-    """Sums of word entropies per text, words remembered up to a bound."""
+    """Sums of word entropies per text, words remembered up to a bound of words and of their characters."""
 
-    def __init__(self, models: Models, limit: int = 300_000):
-        self.models, self.limit = models, limit
+    def __init__(self, models: Models, limit: int = 300_000, most_chars: int = 8_000_000):
+        self.models, self.limit, self.most_chars, self.held = models, limit, most_chars, 0
         self.index: dict[str, int] = {}
-        self.values = np.zeros((1 << 12, len(models.languages)))
+        self.values = np.zeros((1 << 12, len(models.languages) + 1))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bits by text and language, and each text's number of characters and words."""
+        """Bits by text and language, in the last column those of each word's best language, and each text's number of
+        characters and words."""
         lists = [LETTERS.findall(t.lower()) for t in texts]
         counts = [len(x) for x in lists]
         words = [w for x in lists for w in x]
-        if len(self.index) > self.limit:
+        if len(self.index) > self.limit or self.held > self.most_chars:
             self.index.clear()
+            self.held = 0
         new = list(set(words).difference(self.index))
         if new:
             n = len(self.index)
@@ -252,7 +263,9 @@ class Scorer:
                 while j < len(new) and (not held or held + len(new[j]) < 200_000):
                     held += len(new[j])
                     j += 1
-                self.values[n + i : n + j] = self.models.word_scores(new[i:j])
+                own = self.models.word_scores(new[i:j])
+                self.values[n + i : n + j] = np.concatenate([own, own.min(axis=1, keepdims=True)], axis=1)
+                self.held += held
                 i = j
             self.index.update(zip(new, range(n, n + len(new)), strict=True))
         codes = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
@@ -266,9 +279,13 @@ class Scorer:
         return bits, chars, counts_
 
 
-def calibrate(models: Models, own: dict[str, list[tuple[float, int]]]) -> None:
-    """Means and spreads of the entropy per character of held-back texts in their own language, from each text's
-    entropy and number of characters n. The spread of a text is sqrt(spread^2 + wobble^2 / n)."""
+def calibrate(models: Models, own: dict[str, list[tuple[float, int]]], false_rejection: float = FALSE_REJECTION) -> None:
+    """Medians, spreads and the limit, from the entropy per character and the number of characters n of held-back texts.
+
+    The spread of a text is sqrt(spread^2 + wobble^2 / n). The limit is the texts' excess of rank (N + 1)(1 - share):
+    of N + 1 exchangeable texts a share of at most ``false_rejection`` is beyond it. With too few texts for such a
+    rank it is half as far again as the largest excess.
+    """
     k = len(models.languages)
     models.mean, models.spread, models.wobble = np.full(k, 3.0), np.full(k, 1.0), np.full(k, 10.0)
     for i, name in enumerate(models.languages):
@@ -279,30 +296,35 @@ def calibrate(models: Models, own: dict[str, list[tuple[float, int]]]) -> None:
         long = chars >= np.median(chars)
         models.mean[i] = mean
         models.spread[i] = max(LEAST_SPREAD, float(np.median(abs(h[long] - mean))) * 1.5)
-        models.wobble[i] = max(2.0, float(np.median(abs(h - mean) * np.sqrt(chars))) * 1.5)
+        models.wobble[i] = max(LEAST_WOBBLE, float(np.median(abs(h - mean) * np.sqrt(chars))) * 1.5)
+    every = [models.excess(np.full(len(x), models.languages.index(name)), *map(np.array, zip(*x, strict=True))) for name, x in own.items() if x]
+    if every:
+        ranked = np.sort(np.concatenate(every))
+        rank = math.ceil((len(ranked) + 1) * (1 - false_rejection))
+        models.limit = max(1.0, float(ranked[rank - 1] if rank <= len(ranked) else ranked[-1] * 1.5))
 
 
 def own_entropies(rows: DataFrame, models: Models) -> DataFrame:
-    """``lang``, ``h`` and ``chars``: the entropy per character of each whole text (columns lang, text) in its own
-    language, and its length. Texts without letters and those of languages without a model are left out."""
-    handle, k = rows.sparkSession.sparkContext.broadcast(models), len(models.languages)
+    """``lang``, ``h`` and ``chars`` of each whole text (columns lang, text): its language, the entropy per character
+    with each word in its best language, and the length. Texts without letters or a language's model are left out."""
+    handle = rows.sparkSession.sparkContext.broadcast(models)
 
     def make() -> Callable[[list[str]], dict[str, pa.Array]]:
         scorer = Scorer(handle.value)
 
         def run(texts: list[str]) -> dict[str, pa.Array]:
             bits, chars, _ = scorer(texts)
-            return {"bits": list_array(bits.reshape(-1), np.full(len(texts), k), pa.float64()), "chars": pa.array(chars)}
+            return {"bits": pa.array(bits[:, -1]), "chars": pa.array(chars)}
 
         return run
 
-    at = F.array_position(F.array(*[F.lit(x) for x in models.languages]), F.col("lang"))
-    scored = map_texts(rows.select("lang", "text"), "text", make, "bits array<double>, chars long").where((F.col("chars") > 0) & (at > 0))
-    return scored.select("lang", (F.get("bits", at.cast("int") - 1) / F.col("chars")).alias("h"), "chars")
+    scored = map_texts(rows.where(F.col("lang").isin(*models.languages)).select("lang", "text"), "text", make, "bits double, chars long")
+    return scored.where("chars > 0").select("lang", (F.col("bits") / F.col("chars")).alias("h"), "chars")
 
 
-def learn(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> Models:
-    """Models learned from about ``per_language`` labelled rows of each language, calibrated with half as many more.
+def learn(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = PER_LANGUAGE, calibrating: int = CALIBRATING) -> Models:
+    """Models learned from about ``per_language`` labelled rows of each language and calibrated with about
+    ``calibrating`` more; where a language has fewer rows, both get their share of them.
 
     A row is taken where a hash of its id falls under its language's share; tasks send each language's word counts,
     which are summed before they come to the driver, so what it gets is bounded by the sample's vocabulary.
@@ -312,8 +334,9 @@ def learn(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
     if not counts:
         return Models([], [], [], [], np.empty(0))
     draw = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.5 * per_language / n))]), F.col("lang"))
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (per_language + calibrating) / n))]), F.col("lang"))
     part = rows.withColumn("draw", draw / share).where("draw < 1")
+    cut = per_language / (per_language + calibrating) if min(counts.values()) > per_language + calibrating else 2 / 3
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, str], int] = {}
@@ -323,7 +346,7 @@ def learn(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
                     seen[lang, w] = seen.get((lang, w), 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
 
-    words = part.where(F.col("draw") < 2 / 3).select("lang", "text").mapInArrow(count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    words = part.where(F.col("draw") < cut).select("lang", "text").mapInArrow(count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
     sample: dict[str, tuple[list, list]] = {lang: ([], []) for lang in counts}
     for lang, word, n in zip(*(words.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
         sample[lang][0].append(word)
@@ -333,7 +356,7 @@ def learn(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
         return Models([], [], [], [], np.empty(0))
     models = train({lang: tuple(map(list, zip(*sorted(zip(*x, strict=True)), strict=True))) for lang, x in sample.items()})
     held: dict[str, list[tuple[float, int]]] = {}
-    for lang, h, chars in own_entropies(part.where(F.col("draw") >= 2 / 3), models).collect():  # two numbers for each of about half of per_language rows
+    for lang, h, chars in own_entropies(part.where(F.col("draw") >= cut), models).collect():  # two numbers for each of about calibrating rows
         held.setdefault(lang, []).append((h, chars))
     calibrate(models, held)
     return models
@@ -353,12 +376,11 @@ def predict(df: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
                 return {"lang_pred": pa.array([UNDETERMINED] * len(texts)), "score": pa.array([0.0] * len(texts)), "rejected": pa.array([True] * len(texts))}
             bits, chars, words = scorer(texts)
             n = np.maximum(chars, 1)
-            h = bits / n[:, None]
+            h, mixed = bits[:, :-1] / n[:, None], bits[:, -1] / n
             best = h.argmin(axis=1)
             away = (h - h.min(axis=1)[:, None]) * np.minimum(n, 100)[:, None]
             score = np.where(words > 0, 1 / np.exp2(-np.minimum(away, 500)).sum(axis=1), 0.0)
-            limit = m.mean[best] + REJECT_AT * np.sqrt(m.spread[best] ** 2 + m.wobble[best] ** 2 / n)
-            rejected = (words == 0) | (h[np.arange(len(h)), best] > limit)
+            rejected = (words == 0) | (m.excess(best, mixed, n) > m.limit)
             names = [m.languages[b] if w else UNDETERMINED for b, w in zip(best.tolist(), words.tolist(), strict=True)]
             return {"lang_pred": pa.array(names, pa.string()), "score": pa.array(score), "rejected": pa.array(rejected)}
 

@@ -81,6 +81,39 @@ def test_language_edge_cases(spark):
     assert language_id.predict(df.limit(0), models).count() == 0
 
 
+FOREIGN = {
+    "it": "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri.",
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych.",
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan.",
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга.",
+}
+
+
+def test_rejection_by_a_stated_rate(spark):
+    """Of the languages' own held-out texts about FALSE_REJECTION go, mixtures of them stay, and junk goes."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    models = language_id.learn(docs.where(~language_id.held_out()))
+    own = docs.where(language_id.held_out()).select("doc_id", "text", "lang")
+    n, gone = language_id.predict(own, models).agg(F.count("*"), F.sum(F.col("rejected").cast("int"))).first()
+    assert n > 1500 and gone <= max(6, 3 * language_id.FALSE_REJECTION * n)
+    long = own.where("length(text) > 400").selectExpr("lang", "substring(text, 1, 300) as text", "row_number() over (partition by lang order by doc_id) as i").where("i <= 60")
+    mixed = long.where("lang = 'en'").join(long.where("lang = 'de'").select(F.col("text").alias("other"), "i"), "i").select(F.concat("text", F.lit(" "), "other").alias("text"))
+    assert language_id.predict(mixed, models).where("rejected").count() <= 1
+    rng = random.Random(3)
+    words = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(n))
+    junk = [words(letters, n) for letters in ("abcdefghijklmnopqrstuvwxyz", "eeeeeaaaaiiioooonnnnrrrsssttttllddcumph") for n in (20, 80) for _ in range(50)]
+    assert language_id.predict(spark.createDataFrame([(t,) for t in junk], "text string"), models).where("rejected").count() >= 0.99 * len(junk)
+    foreign = spark.createDataFrame(list(FOREIGN.items()), "lang string, text string")
+    assert language_id.predict(foreign, models).where("rejected").count() == len(FOREIGN)
+
+
+def test_numbers_are_no_letters(spark):
+    models = language_id.learn(spark.read.parquet(f"{SF}/documents.parquet"))
+    texts = ["½", "² 3", "②", "Ⅷ 12", "_", "\u0301", "the ½ and of ② the"]
+    rows = language_id.predict(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string"), models).collect()
+    assert [r.lang_pred for r in sorted(rows, key=lambda r: r.i)] == ["und"] * 6 + ["en"]
+
+
 def test_chat_escapes_are_reversible(spark):
     rng = random.Random(4)
     marks = ["<", "|", "\\", "im_start", "im_end", "|>", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "[", "/", "s>", "x", "\n", "é"]
@@ -144,6 +177,66 @@ def test_top_k_is_that_of_brute_force(spark, monkeypatch):
     assert pivot_search.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_large_components(spark, monkeypatch):
+    """Scores beyond what a double holds are exact, ties and near ties too."""
+    monkeypatch.setattr(pivot_search, "ANNULUS", 16)
+    monkeypatch.setattr(pivot_search, "PIVOTS", 4)
+    rng = random.Random(9)
+    rows = [(i, [float(rng.randint(-(1 << 30), 1 << 30) >> rng.choice((0, 3, 24))) for _ in range(3)]) for i in range(300)]
+    rows += [(300 + i, list(rows[i][1])) for i in range(40)] + [(400, [0.0] * 3), (401, None)]
+    got = {}
+    for r in pivot_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, k=7, scale=1).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want = {}
+    for q, v in rows:
+        if q % 10 == 0 and v is not None:
+            scored = [(-sum(int(x) * int(y) for x, y in zip(v, w, strict=True)), i) for i, w in rows if w is not None and i != q]
+            want[q] = [(i, -s) for s, i in sorted(scored)[:7]]
+    assert got == want
+
+
+def test_fingerprints_against_plain(spark):
+    """Every column of the query over all of the smallest table, and likenesses against the texts' own shingles."""
+    import xxhash
+
+    sf = "/root/testdata/sf0.001"
+    rows = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+
+    def shingles(text):
+        words = text.encode().lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    def kept(text):
+        hashes = set()
+        for words in shingles(text):
+            h = len(words)
+            for w in words:
+                h = ((h ^ xxhash.xxh64_intdigest(w, 42)) * 0x9E3779B97F4A7C15) % 2**64
+                h ^= h >> 32
+            hashes.add(h)
+        return {h for h in hashes if h < 2**62} or ({min(hashes)} if hashes else set())
+
+    def like(a, b):
+        return 1.0 if not a and not b else len(a & b) / len(a | b)
+
+    off = []
+
+    got = {r.doc_id: r for r in sketches.op9_fingerprints(spark, sf).collect()}
+    assert got.keys() == dict(rows).keys()
+    prints = {}
+    for (i, text), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
+        n = len(text) // 4
+        new = text[: len(text) - n] + after[:n]
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(new.encode()).hexdigest())
+        assert abs(r.near_edited - like(kept(text), kept(new))) < 1e-9 and abs(r.near_next - like(kept(text), kept(after))) < 1e-9
+        if len(shingles(text)) > 200:
+            off.append(abs(r.near_edited - like(shingles(text), shingles(new))))
+        for t, f in ((text, r.fingerprint), (new, r.edited_fingerprint)):
+            assert prints.setdefault(f, kept(t)) == kept(t)
+    assert len(set(prints)) == len({frozenset(x) for x in prints.values()}) and len(off) > 50 and np.mean(off) < 0.05
+
+
 def test_sketches_merge_and_estimate():
     rng = random.Random(7)
     words = [f"w{rng.randrange(10**6)}" for _ in range(4000)]
