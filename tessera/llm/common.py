@@ -128,16 +128,18 @@ def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class WordIds:
     """Id sequences of words, each encoded once for as long as it is remembered.
 
-    ``encode`` turns a list of new words into (flat ids, lengths). At ``limit`` words the memory is emptied, so a
-    worker's memory is bounded; results don't depend on it.
+    ``encode`` turns a list of new words into (flat ids, lengths). At ``limit`` words, or ``most_chars`` characters of
+    them, the memory is emptied, so a worker's memory is bounded also where words are as long as texts; results don't
+    depend on it.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 600_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 600_000, most_chars: int = 12_000_000):
+        self.encode, self.limit, self.most_chars = encode, limit, most_chars
         self._clear()
 
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
+        self.chars = 0
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
         self.starts, self.lengths = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
@@ -151,7 +153,7 @@ class WordIds:
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all words in order, and each word's number of ids."""
-        if len(self.index) > self.limit:
+        if len(self.index) > self.limit or self.chars > self.most_chars:
             self._clear()
         codes = np.fromiter(map(self.index.get, words, itertools.repeat(-1)), np.int64, len(words))
         miss = np.flatnonzero(codes < 0)
@@ -166,6 +168,7 @@ class WordIds:
             self.starts[n : n + len(new)] = self.used + np.cumsum(lengths) - lengths
             self.lengths[n : n + len(new)] = lengths
             self.used += len(flat)
+            self.chars += sum(map(len, new))
             self.index.update(zip(new, range(n, n + len(new)), strict=True))
             codes[miss] = np.fromiter(map(self.index.__getitem__, missed), np.int64, len(miss))
         lengths = self.lengths[codes]

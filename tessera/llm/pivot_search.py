@@ -28,8 +28,10 @@ from tessera.llm.common import stored, table
 
 #: Rows the pivots are chosen from, pivots, vectors of an annulus, queries of a block, annuli of a slice.
 SAMPLE, PIVOTS, ANNULUS, QUERY_BLOCK, SLICE = 2048, 16, 2048, 512, 32
-#: Inner products stay exact in a double below this.
+#: Inner products stay exact in a double below this; beyond it they are computed in 64-bit integers.
 EXACT = 2.0**52
+#: Share of the largest squared norm that rounding of doubles may add to or take from a squared distance.
+ROUNDING = 1e-14
 
 
 def quantised(df: DataFrame, vector_col: str, scale: int) -> DataFrame:
@@ -122,8 +124,8 @@ def top_k(df: DataFrame, queries: F.Column, k: int = 20, scale: int = 64, id_col
     top = {r.dim: float(r.top) for r in most}
     part = max([r.part or 0 for r in most], default=0)
     kind = next(t for t, bits in (("<i1", 7), ("<i2", 15), ("<i4", 31), ("<i8", 63)) if part < 1 << bits)
-    if any(x >= EXACT for x in top.values()):
-        raise ValueError("components are too large for exact scores")
+    whole = any(x >= EXACT for x in top.values())
+    number, least = ("<i8", -(1 << 63)) if whole else ("<f8", -np.inf)
     pivots = {}
     for dim, largest in top.items():
         sample = rows.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow().column(0)
@@ -154,17 +156,18 @@ def top_k(df: DataFrame, queries: F.Column, k: int = 20, scale: int = 64, id_col
                     if state:
                         yield flush()
                     q = np.array(row["q_ids"], np.int64)
-                    none = (np.empty(0, np.int64), np.empty(0))
-                    floor = np.frombuffer(row["floor"], "<f8") if row["floor"] else np.full(len(q), -np.inf)
-                    state = (mark, q, (np.frombuffer(row["q_raw"], kind).reshape(len(q), dim).astype(float), floor.copy()), [none] * len(q))
-                _, q, (x, floor), best = state
+                    none = (np.empty(0, np.int64), np.empty(0, number))
+                    floor = np.frombuffer(row["floor"], number) if row["floor"] else np.full(len(q), least, number)
+                    x = np.frombuffer(row["q_raw"], kind).reshape(len(q), dim).astype(number)
+                    state = (mark, q, (x, (x.astype(float) ** 2).sum(axis=1), floor.copy()), [none] * len(q))
+                _, q, (x, square, floor), best = state
                 # |q|^2 + M - 2 s >= bound^2 for every s in the annulus
-                reach = ((x * x).sum(axis=1) + top[dim] - row["bound"] ** 2) / 2
-                open_ = np.flatnonzero(reach + 1e-6 * (1 + abs(reach)) >= floor)
+                reach = (square + top[dim] - row["bound"] ** 2) / 2
+                open_ = np.flatnonzero(reach + 1e-6 * (1 + abs(reach)) + ROUNDING * top[dim] >= floor)
                 if not len(open_):
                     continue
                 ids = np.array(row["ids"], np.int64)
-                scores = x[open_] @ np.frombuffer(row["raw"], kind).reshape(len(ids), dim).astype(float).T
+                scores = x[open_] @ np.frombuffer(row["raw"], kind).reshape(len(ids), dim).astype(number).T
                 for i, s in zip(open_.tolist(), scores, strict=True):
                     may = np.flatnonzero((s >= floor[i]) & (ids != q[i]))
                     if not len(may):
@@ -199,15 +202,15 @@ def top_k(df: DataFrame, queries: F.Column, k: int = 20, scale: int = 64, id_col
             for row in batch.to_pylist():
                 dim, n = row["dim"], len(row["q_ids"])
                 x = np.frombuffer(row["q_raw"], kind).reshape(n, dim).astype(float)
-                floor = np.array([-np.inf if s is None else float(s) for s in row["kths"]])
-                p = pivots[dim]
+                floor = np.array([least if s is None else s for s in row["kths"]], number)
+                p, off = pivots[dim], np.sqrt(ROUNDING * top[dim])
                 full = np.hstack([x, np.zeros((n, 1))])
                 d = np.sqrt(np.maximum(0, (full * full).sum(axis=1)[:, None] - 2 * full @ p.T + (p * p).sum(axis=1)))
-                radius = np.sqrt(np.maximum(0, (x * x).sum(axis=1) + top[dim] - 2 * floor))
+                radius = np.sqrt(np.maximum(0, (x * x).sum(axis=1) + top[dim] * (1 + ROUNDING) - 2 * floor.astype(float))) + off
                 m = len(p)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["q_block"]] * m), pa.array([dim] * m, pa.int32()), pa.array(range(m), pa.int32()), pa.array(d.min(axis=0)), pa.array(d.max(axis=0))]
-                    + [pa.array((d - radius[:, None]).min(axis=0)), pa.array((d + radius[:, None]).max(axis=0)), pa.array([floor.astype("<f8").tobytes()] * m)],
+                    [pa.array([row["q_block"]] * m), pa.array([dim] * m, pa.int32()), pa.array(range(m), pa.int32()), pa.array(d.min(axis=0) - off), pa.array(d.max(axis=0) + off)]
+                    + [pa.array((d - radius[:, None]).min(axis=0) - off), pa.array((d + radius[:, None]).max(axis=0) + off), pa.array([floor.tobytes()] * m)],
                     names=["q_block", "dim", "pivot", "d_low", "d_high", "inner", "outer", "floor"],
                 )
 

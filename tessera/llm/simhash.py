@@ -202,9 +202,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``df`` whose id is the smallest of their component, whole and with all columns. Links are exact
-    similarities of shingle sets (``near_copies``), as a fingerprint's distance only estimates them."""
-    stay = similar_groups(df, id_col, text_col, k, similarity).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("stays")).distinct()
-    return df.join(stay, F.col(id_col).eqNullSafe(F.col("stays")), "left_semi")
+    similarities of shingle sets (``near_copies``), as a fingerprint's distance only estimates them. Of rows with the
+    same id and text one stays; rows without an id stay unless they have such a copy or a row with an id is near."""
+    stay = similar_groups(df, id_col, text_col, k, similarity).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("stays"))
+    counted = stored(stay.groupBy("stays").agg(F.count("*").alias("n")), "stays")
+    rows = lambda which: df.join(counted.where(which).select("stays"), F.col(id_col).eqNullSafe(F.col("stays")), "left_semi")
+    if counted.where("n > 1").isEmpty():
+        return rows("n = 1")
+    return rows("n = 1").unionByName(rows("n > 1").dropDuplicates([id_col, text_col]))
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

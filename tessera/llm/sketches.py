@@ -31,18 +31,20 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class WordHashes:
-    """XXH64 of words, remembered up to a bound."""
+    """XXH64 of words, remembered up to a bound of words and of their bytes."""
 
-    def __init__(self, limit: int = 600_000):
+    def __init__(self, limit: int = 600_000, most_bytes: int = 12_000_000):
         self.known: dict[bytes, int] = {}
-        self.limit = limit
+        self.limit, self.most_bytes, self.held = limit, most_bytes, 0
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > self.limit:
+        if len(self.known) > self.limit or self.held > self.most_bytes:
             self.known.clear()
+            self.held = 0
         known = self.known
         for w in set(words).difference(known):
             known[w] = xxhash.xxh64_intdigest(w, SEED)
+            self.held += len(w)
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
@@ -191,8 +193,9 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    rows = with_next(df, id_col, text_col).withColumn("mark", F.xxhash64("text"))
-    ordered = rows.repartition(F.col("part")).sortWithinPartitions("part", "tail", F.asc_nulls_first("id"), "mark").select("part", "tail", "id", "text")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = with_next(df, id_col, text_col, parts).withColumn("mark", F.xxhash64("text"))
+    ordered = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "tail", F.asc_nulls_first("id"), "mark").select("part", "tail", "id", "text")
     return ordered.mapInArrow(run, schema)
 
 

@@ -41,7 +41,8 @@ LAYOUT = {
 def write_tokens(df: DataFrame, path: str, tokenizer_path: str, key: str = "doc_id", text_col: str = "text", end_id: int | None = 1, layout: dict | None = None) -> None:
     """Encodes every whole text and writes the files to ``path``, ascending by ``key``.
 
-    Only the raw rows are moved, by ranges of the key; a task encodes and writes its range as it streams by.
+    Only the raw rows are moved, by ranges of the key; a task encodes and writes its range as it streams by. Null keys
+    come first; rows of one key follow each other by text, so every run writes the same.
     """
     schema = T._parse_datatype_string("key long, part int, start_in_part long, n_tokens long, ids array<int>")
 
@@ -57,7 +58,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str, key: str = "doc_
                     [batch.column(0).slice(i, j - i), pa.array(np.full(j - i, part, np.int32)), pa.array(starts), pa.array(n), list_array(flat, n)], names=schema.fieldNames()
                 )
 
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text_col).alias("text")).repartitionByRange("key").sortWithinPartitions("key")
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text_col).alias("text")).repartitionByRange("key").sortWithinPartitions("key", "text")
     rows.mapInArrow(run, schema).write.options(**(layout or LAYOUT)).parquet(path)
 
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh_path, stored, table
+from tessera.llm.common import fresh_path, qualified, stored, table
 
 #: Fixed value: magic number of the skippable frame that holds a file's dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -92,23 +92,26 @@ def build_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> byte
 def _open(uri: str):
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    system, path = fs.FileSystem.from_uri(uri)
     return system, path
 
 
 def plan_records(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """page_id, ``refers_to`` and ``revisit`` of the rows whose payload a row of a smaller id has as well.
 
-    Only ids and digests are grouped; a digest's smallest id is combined before it is moved.
+    Only ids and digests are grouped; a digest's smallest id is combined before it is moved, and written before it is
+    joined, so that a frequent digest's rows can be split.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     marks = stored(pages.select("page_id", F.unhex(F.sha1(payload)).alias("digest"), F.length(payload).alias("size")), "digests")
-    first = marks.where(F.col("size") >= min_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = stored(marks.where(F.col("size") >= min_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
     return marks.where(F.col("size") >= min_revisit_bytes).join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> DataFrame:
-    """Writes page_id, url and html of all rows to files under ``path``; returns the manifest: file, records, bytes."""
+    """Writes page_id, url and html of all rows to files under ``path``, in the file system that Spark takes it to be
+    in; returns the manifest: file, records, bytes."""
+    path = qualified(pages.sparkSession, path)
     revisits = plan_records(pages, min_revisit_bytes).withColumnsRenamed({"page_id": "own_id", "digest": "own_digest"})
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     chosen = [r.page_id for r in pages.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE).collect()]
@@ -173,6 +176,7 @@ def read_archives(spark: SparkSession, path: str, manifest: DataFrame) -> DataFr
     refers_to."""
     schema = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
     kinds = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64())
+    path = qualified(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, top = _open(path)

@@ -84,6 +84,50 @@ def test_pack(spark):
     assert packing.pack(df.limit(0), WORDS).count() == 0
 
 
+def test_every_id_is_packed_once(spark):
+    """All documents of a table: pieces are gapless, hold the document's ids in order, and say how many it has."""
+    t = Tokenizer.from_file(WORDS)
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    pieces, places = {}, {}
+    for r in packing.op5_packing(spark, sf).collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert pieces.keys() == texts.keys()
+    for i, text in texts.items():
+        ids, at = np.array([*t.encode(text, add_special_tokens=False).ids, 2], "<u4"), 0
+        for start, length, crc, total in sorted(pieces[i]):
+            assert start == at and total == len(ids) and crc == zlib.crc32(ids[start : start + length].tobytes())
+            at += length
+        assert at == len(ids)
+    for held in places.values():
+        held.sort()
+        assert [a for a, _ in held] == [sum(n for _, n in held[:k]) for k in range(len(held))] and sum(n for _, n in held) <= 4096
+
+
+def test_remembered_words_are_bounded_by_characters():
+    from tessera.llm.common import WordIds
+
+    made = WordIds(lambda words: (np.array([ord(c) for w in words for c in w], np.int32), np.array([len(w) for w in words])), limit=100, most_chars=50)
+    for n in range(40):
+        words = [chr(97 + n % 26) * (1 + n % 30), "x", "x"]
+        flat, lengths = made(words)
+        assert "".join(map(chr, flat)) == "".join(words) and lengths.tolist() == [len(w) for w in words]
+        assert made.chars <= 50 + 31
+
+
+def test_token_files_of_ties_and_null_ids(spark):
+    rows = [(None, "b"), (None, None), (1, "x y"), (1, "a"), (1, "m n o"), (2, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    starts = []
+    for parts in (1, 5):
+        path = fresh_path(spark, "test-tokens")
+        token_files.write_tokens(df.repartition(parts), path, WORDS)
+        starts.append(sorted((r.key is not None, r.key or 0, r.start, r.n_tokens, r.ids_crc32) for r in token_files.with_ids_crc32(token_files.read_tokens(spark, path)).collect()))
+    assert starts[0] == starts[1] and len(starts[0]) == len(rows)
+    assert [r[2] for r in starts[0]] == [sum(x[3] for x in starts[0][:k]) for k in range(len(rows))]
+
+
 def test_padding_is_little(spark):
     g = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"), WORDS).groupBy("sequence_id").agg(F.sum("length").alias("n")).toPandas().n
     assert sum(4096 - n for n in g if n & (n - 1)) < 0.02 * g.sum()
