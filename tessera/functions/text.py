@@ -124,7 +124,7 @@ def file_extension(name: Column) -> Column:
 def child_names(keys: Column, prefix: str) -> Column:
     """The name that follows a dotted prefix in a property key, null for other keys."""
     start = prefix + "."
-    return F.when(keys.startswith(start), F.substring_index(F.substring(keys, len(start) + 1, 1_000_000), ".", 1))
+    return F.when(keys.startswith(start), F.substring_index(F.substr(keys, F.lit(len(start) + 1)), ".", 1))
 
 
 def token_usage(usage: Column, name: str, legacy: str) -> Column:

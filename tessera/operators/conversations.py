@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +35,16 @@ def active_counts(messages: DataFrame) -> DataFrame:
     return messages.groupBy("conv_id").agg(F.count(F.when(F.col("active"), 1)).alias("message_count"))
 
 
-def listed(conversations: DataFrame, owner: str | None, limit: int) -> DataFrame:
+def listed(conversations: DataFrame, owner: str | None, limit: int, most: int = 100) -> DataFrame:
     """An owner's conversations that aren't deleted, newest first."""
     rows = conversations.where("status <> 'DELETED'")
     rows = rows if owner is None else rows.where(F.col("owner_id") == owner)
-    return rows.orderBy(F.desc("last_updated_at"), "conv_id").limit(min(100, max(1, limit)))
+    return rows.orderBy(F.desc("last_updated_at"), "conv_id").limit(min(most, max(1, limit)))
+
+
+def listed_messages(messages: DataFrame, limit: int, most: int = 500) -> DataFrame:
+    """The first active messages of each conversation, oldest first."""
+    return newest(messages.where("active"), ["conv_id"], [F.asc("turn")], min(most, max(1, limit)))
 
 
 def ancestry(conversations: DataFrame) -> DataFrame:
@@ -71,7 +78,7 @@ def streamed_answers(events: DataFrame) -> DataFrame:
     )
 
 
-def remembered(messages: DataFrame, now: Column, ttl_seconds: int, n: int, at: str = "ts", key: str = "conv_id") -> DataFrame:
+def remembered(messages: DataFrame, now: Column, ttl_seconds: int, n: int, at: str = "ts", key: str = "conv_id", tie: Sequence[str] = ()) -> DataFrame:
     """What a memory with a time to live holds: the last n messages of conversations whose last message is recent."""
     last = messages.groupBy(key).agg(F.max(at).alias("_last")).where(F.col("_last") >= now - F.expr(f"INTERVAL {int(ttl_seconds)} SECONDS")).select(key)
-    return newest(messages.join(last, key, "left_semi"), [key], [F.desc(at)], n)
+    return newest(messages.join(last, key, "left_semi"), [key], [F.desc(at), *map(F.desc, tie)], n)

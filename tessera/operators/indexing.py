@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 
 from tessera.functions import text as tx
 from tessera.operators import chunking
+from tessera.session import written
 
 #: A model: texts to vectors.
 Embed = Callable[[list[str]], np.ndarray]
@@ -23,18 +25,26 @@ INPUT_TYPES = {"table": "TABLE", "image-caption": "IMAGE_CAPTION", "ocr": "OCR"}
 def hash_embedding(dimension: int = 64) -> Embed:
     """A deterministic stand-in: each word adds one to a hashed coordinate; vectors have norm 1."""
 
+    @functools.lru_cache(100_000)
+    def place(word: str) -> int:
+        return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=4).digest(), "little") % dimension
+
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dimension), np.float32)
         for row, t in zip(out, texts, strict=True):
-            for word in t.lower().split():
-                row[int.from_bytes(hashlib.blake2b(word.encode(), digest_size=4).digest(), "little") % dimension] += 1
+            words = t.lower().split()
+            row += np.bincount(np.fromiter(map(place, words), np.int64, len(words)), minlength=dimension)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1)
 
     return embed
 
 
-def embedded(df: DataFrame, make: Callable[[], Embed], text: str = "content", out: str = "embedding") -> DataFrame:
-    """Adds vectors. Each distinct text is embedded once; a model is made once per task; failed tasks run again."""
+def embedded(df: DataFrame, make: Callable[[], Embed], text: str = "content", out: str = "embedding", hashed: str | None = None) -> DataFrame:
+    """Adds vectors. Each distinct text is embedded once; a model is made once per task; failed tasks run again.
+
+    ``df`` is read twice, for its distinct texts and for its rows, so it should be a table. ``hashed`` names a column
+    that already has the texts' hashes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
@@ -42,9 +52,10 @@ def embedded(df: DataFrame, make: Callable[[], Embed], text: str = "content", ou
             for i in range(0, len(batch), 512):
                 part = batch.slice(i, 512)
                 v = np.asarray(model([t or "" for t in part.column(1).to_pylist()]), np.float32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(v.tolist(), pa.list_(pa.float32()))], names=["_hash", out])
+                flat = pa.FixedSizeListArray.from_arrays(pa.array(v.reshape(-1)), v.shape[1]).cast(pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), flat], names=["_hash", out])
 
-    keyed = df.withColumn("_hash", tx.content_hash(F.coalesce(F.col(text), F.lit(""))))
+    keyed = df.withColumn("_hash", F.col(hashed) if hashed else tx.content_hash(F.coalesce(F.col(text), F.lit(""))))
     vectors = keyed.select("_hash", text).dropDuplicates(["_hash"]).mapInArrow(run, f"_hash string, {out} array<float>")
     return keyed.join(vectors, "_hash").drop("_hash")
 
@@ -76,22 +87,27 @@ def resolve(profiles: Iterable[Profile], name: str | None = None, provider: str
     return found[0]
 
 
-def cleaned(df: DataFrame, make: Callable[[], Callable[[list[str]], list[str]]], text: str = "text", most_chars: int = 20_000) -> DataFrame:
-    """Texts as a cleaner returns them, and whether it did; a text beyond the most characters is left to itself, and
-    where the cleaner fails or returns nothing the text stays."""
+def cleaned(df: DataFrame, make: Callable[[], Callable[[list[str]], list[str]]], text: str = "text", most_chars: int | None = None) -> DataFrame:
+    """Texts as a cleaner returns them, and whether it did. Where the cleaner fails or returns nothing the text stays.
+    ``most_chars`` is for a model that takes only so many characters: it gets a longer text in parts of that size, and
+    its answers are put together; if one part isn't answered the whole text stays."""
     kept = [f for f in df.schema.fields if f.name not in (text, "cleaned")]
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clean = make()
+
+        def answer(t: str) -> str | None:
+            step = most_chars or len(t)
+            try:
+                parts = [clean([t[i : i + step]])[0] for i in range(0, len(t), step)]
+            except Exception:  # a cleaner is someone else's service; the text is what matters
+                return None
+            return "".join(parts) if all(p and p.strip() for p in parts) else None
+
         for batch in batches:
-            texts, done = batch.column(batch.schema.get_field_index(text)).to_pylist(), []
-            for t in texts:
-                try:
-                    new = clean([t])[0] if t and len(t) <= most_chars else None
-                except Exception:  # a cleaner is someone else's service; the text is what matters
-                    new = None
-                done.append(new if new and new.strip() else None)
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            done = [answer(t) if t else None for t in texts]
             arrays = [batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array([n or t for n, t in zip(done, texts, strict=True)], pa.string()), pa.array([n is not None for n in done])], names=[*names, text, "cleaned"])
 
@@ -110,11 +126,28 @@ def keywords(df: DataFrame, doc: str = "doc_id", text: str = "text", n: int = 10
 
 
 def index_documents(docs: DataFrame, make: Callable[[], Embed], strategy: str = "recursive", sizes: chunking.Sizes = chunking.Sizes(), object_type: str = "document") -> DataFrame:
-    """Store rows of documents (doc_id, text): cleaned, cut, linked, embedded."""
+    """Store rows of documents (doc_id, text): cleaned, cut, linked, embedded. Chunks are written once, as both the
+    distinct texts and the rows are taken from them."""
     clean = docs.select("doc_id", tx.clean_text(F.col("text")).alias("text"))
-    chunks = chunking.chunk(clean, strategy, sizes=sizes)
-    rows = embedded(chunks, make)
+    chunks = written(chunking.chunk(clean, strategy, sizes=sizes), "chunks")
+    rows = embedded(chunks, make, hashed="content_hash")
     return rows.select(
         F.lit(object_type).alias("object_type"), F.col("doc_id").cast("string").alias("object_id"), F.col("chunk_order").alias("chunk_index"), "chunk_id",
         F.col("doc_id").cast("string").alias("document_id"), "prev_chunk_id", "next_chunk_id", F.col("content").alias("text"), "content_hash", "token_count", "char_count", "strategy", "embedding",
     )
+
+
+@dataclass(frozen=True)
+class SourceExecutor:
+    """A way to run index jobs of the requests it supports. ``execute`` gives store rows of a request's documents."""
+
+    supports: Callable[[dict], bool]
+    execute: Callable[[dict], DataFrame]
+
+
+def run_job(request: dict, executors: Sequence[SourceExecutor]) -> DataFrame:
+    """What the first executor that supports the request gives."""
+    for executor in executors:
+        if executor.supports(request):
+            return executor.execute(request)
+    raise ValueError(f"no executor supports the source {request.get('source_type')!r}")

@@ -75,6 +75,14 @@ def overlay(base: DataFrame, later: DataFrame, keys: Sequence[str], values: Sequ
     return joined.select(*keys, *[F.coalesce(F.col(f"_{v}"), F.col(v)).alias(v) for v in values])
 
 
+def with_fallback(policy_rows: DataFrame, action: str = "write", other: str = "read") -> DataFrame:
+    """The policy, and for each domain and component without roles for ``action`` those of ``other`` in their place."""
+    own = policy_rows.where((F.col("action") == action) & (F.size("roles") > 0)).select("domain", F.coalesce("component", F.lit("")).alias("_c")).distinct()
+    read = policy_rows.where(F.col("action") == other).withColumn("_c", F.coalesce("component", F.lit("")))
+    taken = read.join(own, ["domain", "_c"], "left_anti").withColumn("action", F.lit(action)).select(*policy_rows.columns)
+    return policy_rows.where((F.col("action") != action) | (F.size("roles") > 0)).unionByName(taken)
+
+
 def allowed(policy_rows: DataFrame, roles: DataFrame) -> DataFrame:
     """user, domain, component, action: what users may do; ``*`` for the role ADMIN, which may do all.
     roles: user, role."""

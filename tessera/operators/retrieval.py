@@ -1,19 +1,26 @@
 """Vector, lexical and hybrid search over stored vectors.
 
-Filters come before ranking. One query is a distributed top-n; many queries meet the store in a join whose plan keeps
-the best n of each query on every partition before anything is shuffled.
+Filters come before ranking. One query is a distributed top-n; many queries meet the store in blocks, and each task
+keeps the best n of a query before anything is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.functions import text as tx
 from tessera.functions import vectors as vx
 
+#: Queries that are sent to tasks at a time: of 1024 numbers each, 8 MB.
+BLOCK = 1024
+
 
 def top_k(store: DataFrame, query: Sequence[float], k: int, where: Column | None = None, vector: str = "embedding", tie: Sequence[str] = ("vec_id",)) -> DataFrame:
     """The k rows nearest to the query among those that meet the condition, with distance and score."""
@@ -27,13 +34,51 @@ def min_score(found: DataFrame, least: float | None) -> DataFrame:
     return found if least is None else found.where(F.col("score") >= least)
 
 
-def top_k_each(store: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", tie: Sequence[str] = ("vec_id",)) -> DataFrame:
-    """The k nearest rows of each query. ``queries`` (query_id, query_vector) is the stated set, sent to every task
-    if Spark finds it small enough; each task keeps k hits of a query before the shuffle."""
-    pairs = store.join(queries, F.size(vector) == F.size("query_vector"))
-    scored = pairs.withColumn("distance", vx.l2_distance(F.col(vector), F.col("query_vector")))
-    w = Window.partitionBy("query_id").orderBy("distance", *tie)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("score", vx.score_of(F.col("distance"))).drop("query_vector")
+def _finite(vectors: list) -> dict[int, list[int]]:
+    """Positions of the vectors without nulls, by length."""
+    out: dict[int, list[int]] = {}
+    for i, v in enumerate(vectors):
+        if v is not None and None not in v:
+            out.setdefault(len(v), []).append(i)
+    return out
+
+
+def top_k_each(store: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", tie: str = "vec_id", same: str | None = None, block: int = BLOCK) -> DataFrame:
+    """The k nearest rows of each query: query_id, the tie column, distance, score and rank.
+
+    ``queries`` (query_id, query_vector and, if ``same`` is given, that column) is the stated set. It meets the store
+    in blocks of about ``block`` queries, the only thing that goes through the driver and to tasks; a pass over the
+    store per block keeps k hits of a query in each task, and only these are shuffled. With ``same`` a row meets only
+    queries with an equal value in that column. Null vectors, those with nulls and those of another length take no part.
+    """
+    asked = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("v"), (F.col(same) if same else F.lit(0)).alias("same"))
+    rows = store.select(tie, F.col(vector).cast("array<double>").alias("v"), (F.col(same) if same else F.lit(0)).alias("same"))
+    hits = T.StructType([asked.schema["query_id"], rows.schema[tie], T.StructField("distance", T.DoubleType())])
+    blocks, found = max(1, -(-asked.count() // block)), None
+    for n in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).collect()
+        sent = store.sparkSession.sparkContext.broadcast([(part[i].query_id, part[i].same, np.array(part[i].v)) for own in _finite([r.v for r in part]).values() for i in own])
+
+        def nearest(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            best: dict[int, list[tuple]] = {}
+            for batch in batches:
+                ties, vectors, kinds = (c.to_pylist() for c in batch.columns)
+                kinds = np.array(kinds, object)
+                for length, own in _finite(vectors).items():
+                    matrix, own = np.array([vectors[i] for i in own]), np.array(own)
+                    for q, (_, kind, query) in enumerate(sent.value):
+                        at = np.flatnonzero(kinds[own] == kind) if len(query) == length else []
+                        if len(at):
+                            d = np.sqrt(((matrix[at] - query) ** 2).sum(axis=1))
+                            near = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
+                            best[q] = sorted(best.get(q, []) + [(d[i], ties[own[at[i]]]) for i in near.tolist()])[:k]
+            flat = [{"query_id": sent.value[q][0], tie: t, "distance": float(d)} for q, held in best.items() for d, t in held]
+            yield pa.RecordBatch.from_pylist(flat, schema=to_arrow_schema(hits))
+
+        some = rows.mapInArrow(nearest, hits)
+        found = some if found is None else found.unionByName(some)
+    w = Window.partitionBy("query_id").orderBy("distance", tie)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("score", vx.score_of(F.col("distance")))
 
 
 def lexical_score(text_tokens: Column, query_tokens: Column, require_all: bool = False) -> Column:
@@ -59,14 +104,14 @@ def hybrid_top_k(store: DataFrame, query: str, vector: Sequence[float], k: int,
 def cascade(stages: Sequence[DataFrame], least: float = 0.15) -> DataFrame:
     """For each query the hits of the first stage that has one of at least the score; query_id and score are needed.
 
-    All stages are one plan: the accepted stage of each query is the least of those accepted.
+    All stages are one plan and each is computed once: a window over a query's hits finds the least stage accepted.
     """
     union = None
     for n, stage in enumerate(stages):
         part = stage.withColumn("stage", F.lit(n))
         union = part if union is None else union.unionByName(part)
-    taken = union.where(F.col("score") >= least).groupBy("query_id").agg(F.min("stage").alias("stage"))
-    return union.join(taken, ["query_id", "stage"], "left_semi")
+    taken = F.min(F.when(F.col("score") >= least, F.col("stage"))).over(Window.partitionBy("query_id"))
+    return union.withColumn("_taken", taken).where("stage = _taken").drop("_taken")
 
 
 def single_cascade(stages: Sequence, least: float = 0.15) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.operators import chunking, context, indexing, paging
 from tessera.plans.registry import query
-from tessera.session import scan
+from tessera.session import scan, written
 from tessera.sources import markup, pages_text, store
 
 SOURCE = r"regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
@@ -44,13 +44,12 @@ def chunk_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_fixed_sql(800, 100)}, p AS (SELECT *, chunk_order // 3 AS parent FROM k)
 SELECT chunk_id, lag(chunk_id) OVER w AS prev_chunk_id, lead(chunk_id) OVER w AS next_chunk_id FROM p WINDOW w AS (PARTITION BY doc_id, parent ORDER BY chunk_order)""")
 def chunk_neighbors_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    made = chunking.fixed(scan(spark, sf_dir, "documents", "doc_id", "text"), links=False).withColumn("parent", F.floor(F.col("chunk_order") / 3))
-    w = Window.partitionBy("doc_id").orderBy("chunk_order")
-    same = lambda f: F.when(f("parent").over(w) == F.col("parent"), f("chunk_id").over(w))
-    named = made.withColumn("chunk_id", tx.chunk_id(F.col("doc_id").cast("string"), F.col("chunk_order")))
-    return named.select("chunk_id", same(F.lag).alias("prev_chunk_id"), same(F.lead).alias("next_chunk_id"))
+    """Windows as blocks, each a chunk of its own; a heading before every third begins a new parent."""
+    made = chunking.fixed(scan(spark, sf_dir, "documents", "doc_id", "text"), links=False)
+    at, none = F.col("chunk_order") * 2, F.lit(None).cast("string")
+    columns = lambda order, kind, text: ["doc_id", order.alias("block_order"), F.concat(F.lit("b"), order.cast("string")).alias("block_id"), F.lit(kind).alias("block_type"), text.alias("text"), none.alias("heading_path"), none.alias("source_ref"), F.lit(None).cast("double").alias("confidence")]
+    blocks = made.select(*columns(at + 1, "PARAGRAPH", F.col("content"))).unionByName(made.where("chunk_order % 3 = 0").select(*columns(at, "HEADING", F.lit("part"))))
+    return chunking.structured(blocks, sizes=chunking.Sizes(1, 0)).select("chunk_id", "prev_chunk_id", "next_chunk_id")
 
 
 @query()
@@ -90,13 +89,19 @@ def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.table_text(found.where("block_type = 'TABLE'"), ["page_id", "block_order"])
 
 
+def _normalised(pages: DataFrame) -> DataFrame:
+    """Pages (page_id, html) as normalised blocks, parsed once."""
+    rows = written(markup.parsed(pages, "page_id", "html"), "parsed")
+    own = rows.where(~F.col("block_type").isin("IMAGE", "WARNING")).withColumnRenamed("path", "source_ref").withColumn("confidence", F.lit(None).cast("double"))
+    tables = markup.table_text(own.where("block_type = 'TABLE'"), ["page_id", "source_ref"]).withColumnRenamed("vector_text", "text")
+    none = F.lit(None).cast("string")
+    images = rows.where("block_type = 'IMAGE'").select("page_id", F.col("path").alias("source_ref"), none.alias("caption"), F.col("text").alias("alt"), none.alias("ocr"))
+    return markup.normalised(own.drop("page", "cells"), tables, images, "page_id")
+
+
 @query()
 def html_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = markup.blocks(scan(spark, sf_dir, "pages", "page_id", "html"), "page_id", "html")
-    tables = markup.table_text(found.where("block_type = 'TABLE'"), ["page_id", "path"]).select("page_id", F.col("path").alias("source_ref"), F.col("vector_text").alias("text"))
-    images = found.where("block_type = 'IMAGE'").select("page_id", F.col("path").alias("source_ref"), F.lit(None).cast("string").alias("caption"), F.col("text").alias("alt"), F.lit(None).cast("string").alias("ocr"))
-    own = found.where("block_type <> 'IMAGE'").select("page_id", "block_order", "block_id", "block_type", "text", F.col("path").alias("source_ref"), F.lit(None).cast("double").alias("confidence"))
-    return markup.normalised(own, tables, images, "page_id")
+    return _normalised(scan(spark, sf_dir, "pages", "page_id", "html"))
 
 
 @query(f"WITH {_fixed_sql(800, 100)} SELECT doc_id, chunk_order, chunk_id FROM k WHERE doc_id = 3 ORDER BY chunk_order LIMIT 3 OFFSET 1")
@@ -136,9 +141,11 @@ def index_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexing.index_documents(docs, indexing.hash_embedding).drop("text")
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: length(x) > 2)) AS term FROM documents),
+c AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, term) AS n FROM t GROUP BY doc_id, term)
+SELECT doc_id, string_agg(term, ' ' ORDER BY n) AS keywords FROM c WHERE n <= 10 GROUP BY doc_id""")
 def document_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indexing.keywords(scan(spark, sf_dir, "documents", "doc_id", "text"))
+    return indexing.keywords(scan(spark, sf_dir, "documents", "doc_id", "text")).withColumn("keywords", F.array_join("keywords", " "))
 
 
 def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -201,27 +208,31 @@ def eav_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _paged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as pages: three lines of their own text between a running header and a page number."""
-    docs = scan(spark, sf_dir, "documents", "doc_id", "source", "text").where("length(text) > 60")
-    page = F.explode(F.sequence(F.lit(1), F.lit(3))).alias("page")
-    body = F.substring("text", F.col("page") * 10, F.lit(40))
-    return docs.select("doc_id", "source", "text", page).select("doc_id", "page", F.concat(F.col("source"), F.lit("\n"), F.regexp_replace(body, "\n", " "), F.lit("\nend of page")).alias("text"))
+    """Whole documents as pages of 400 characters, each one line between a running header and a footer."""
+    docs = scan(spark, sf_dir, "documents", "doc_id", "source", "text").where("text <> ''")
+    pages = docs.select("doc_id", "source", F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,400}"), F.lit(0))).alias("page", "body"))
+    return pages.select("doc_id", (F.col("page") + 1).alias("page"), F.concat("source", F.lit("\n"), F.regexp_replace("body", "[\r\n]", " "), F.lit("\nend of page")).alias("text"))
 
 
-@query(r"""SELECT doc_id, CAST(p AS INTEGER) AS page,
-  regexp_replace(regexp_replace(substr(text, p * 10, 40), '\n', ' ', 'g'), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS text
-FROM documents, (SELECT unnest(range(1, 4)) AS p) WHERE length(text) > 60""")
+@query(r"""WITH p AS (SELECT doc_id, source, unnest(range(1, CAST(ceil(length(text) / 400) AS BIGINT) + 1)) AS page, text FROM documents WHERE text <> ''),
+b AS (SELECT doc_id, source, page, regexp_replace(substr(text, (page - 1) * 400 + 1, 400), '[\r\n]', ' ', 'g') AS body, max(page) OVER (PARTITION BY doc_id) AS pages FROM p)
+SELECT doc_id, CAST(page AS INTEGER) AS page,
+  regexp_replace(CASE WHEN pages > 1 THEN body ELSE source || chr(10) || body || chr(10) || 'end of page' END, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS text FROM b""")
 def page_boundaries_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_text.without_boundaries(_paged(spark, sf_dir))
 
 
-@query("""WITH w AS (SELECT doc_id, i, string_split_regex(substr(text, 1, 400), '[ \\n\\t]+')[i] AS word FROM documents, (SELECT unnest(range(1, 9)) AS i))
-SELECT doc_id, CAST((i - 1) // 4 AS INTEGER) AS line, string_agg(word, ' ' ORDER BY i) AS text, round(min(CAST(0.9 - i * 0.05 AS DOUBLE)), 6) AS least_confidence
-FROM w WHERE word IS NOT NULL AND word <> '' AND doc_id NOT IN (SELECT doc_id FROM w WHERE i <= 8 AND (word IS NULL OR word = '')) GROUP BY doc_id, (i - 1) // 4""".replace("\\\\", "\\"))
+@query(r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \n\t\r]+'), lambda x: x <> '') AS words FROM documents),
+p AS (SELECT doc_id, unnest(words) AS word, unnest(range(0, len(words))) AS i FROM w)
+SELECT doc_id * 100000 + i // 200 AS page_id, CAST(i % 200 // 4 AS INTEGER) AS line, string_agg(word, ' ' ORDER BY i) AS text,
+  round(avg(CAST(0.95 - (i % 8) * 0.05 AS DOUBLE)), 6) AS confidence, round(min(CAST(0.95 - (i % 8) * 0.05 AS DOUBLE)), 6) AS least_confidence, min(CAST(0.95 - (i % 8) * 0.05 AS DOUBLE)) < 0.7 AS low FROM p GROUP BY ALL""")
 def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = scan(spark, sf_dir, "documents", "doc_id", "text")
-    words = docs.select("doc_id", F.slice(F.split(F.substring("text", 1, 400), "[ \n\t]+"), 1, 8).alias("w")).where("size(filter(w, x -> x <> '')) = 8")
-    boxes = words.select("doc_id", F.posexplode("w").alias("i", "text")).select(
-        "doc_id", "text", (0.85 - F.col("i") * 0.05).alias("confidence"), ((F.col("i") % 4) * 50).alias("x"), (F.floor(F.col("i") / 4) * 20 + F.col("i") % 4).cast("int").alias("y"), F.lit(40).alias("width"), F.lit(12).alias("height")
-    )
-    return pages_text.word_lines(boxes).select("doc_id", "line", "text", F.round("least_confidence", 6).alias("least_confidence"))
+    """All words of all documents as recognised boxes: 200 a page, four a line."""
+    docs = scan(spark, sf_dir, "documents", "doc_id", F.filter(F.split("text", "[ \n\t\r]+"), lambda w: w != "").alias("w"))
+    i = F.col("i") % 200
+    boxes = docs.select("doc_id", F.posexplode("w").alias("i", "text")).select(
+        (F.col("doc_id") * 100000 + F.floor(F.col("i") / 200)).alias("page_id"), "text", (0.95 - (i % 8) * 0.05).alias("confidence"),
+        ((i % 4) * 50).alias("x"), (F.floor(i / 4) * 20 + i % 4).cast("int").alias("y"), F.lit(40).alias("width"), F.lit(12).alias("height"),
+    )
+    lines = pages_text.word_lines(boxes, "page_id")
+    return lines.select("page_id", "line", "text", F.round("confidence", 6).alias("confidence"), F.round("least_confidence", 6).alias("least_confidence"), (F.col("least_confidence") < 0.7).alias("low"))

@@ -9,6 +9,7 @@ from tessera.operators import conversations, jobs, paging
 from tessera.plans.registry import query
 from tessera.session import scan
 from tessera.sources.statements import StatementCatalog
+from tessera.streaming import events
 
 
 @query("SELECT count(*) AS failures FROM events WHERE user_id = 5 AND event_type = 'error' AND ts >= TIMESTAMP '2024-01-10 00:00:00'")
@@ -68,6 +69,12 @@ def job_state_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.state(_job_log(spark, sf_dir)).select("job_id", "status", "chunk_count", "warning_count", "retries")
 
 
+@query(f"""WITH {JOBS}, times AS (SELECT job_id, min(t) FILTER (step = 'RUNNING') AS began, max(t) FILTER (step IN ('SUCCEEDED', 'FAILED', 'CANCELLED')) AS ended FROM steps GROUP BY job_id)
+SELECT job_id, CASE WHEN status IN ('SUCCEEDED', 'WARNING', 'FAILED', 'CANCELLED') THEN greatest(0::BIGINT, epoch_us(ended) // 1000 - epoch_us(began) // 1000) END AS duration_ms FROM states JOIN times USING (job_id)""")
+def job_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.state(_job_log(spark, sf_dir)).select("job_id", "duration_ms")
+
+
 @query(f"WITH {JOBS} SELECT job_id, status FROM states WHERE status = 'SUCCEEDED' OR status = 'WARNING' ORDER BY chunk_count DESC NULLS LAST, job_id LIMIT 50")
 def job_list_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = jobs.state(_job_log(spark, sf_dir)).where(F.col("status").isin("SUCCEEDED", "WARNING"))
@@ -112,12 +119,43 @@ def stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.streamed_answers(rows).withColumn("answer", F.when(F.col("answer") != "", F.col("answer")))
 
 
-@query("""SELECT c_custkey AS conv_id, c_custkey % 10 AS root, CAST(floor(c_custkey / 10) AS INTEGER) AS depth FROM customer WHERE c_custkey < 100 AND c_custkey % 10 > 0""")
+@query("SELECT c_custkey AS conv_id, c_custkey % 10 AS root, CAST(c_custkey // 10 AS INTEGER) AS depth FROM customer")
 def conv_ancestry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scan(spark, sf_dir, "customer", F.col("c_custkey").alias("conv_id")).where("conv_id < 100 and conv_id % 10 > 0")
+    rows = scan(spark, sf_dir, "customer", F.col("c_custkey").alias("conv_id"))
     return conversations.ancestry(rows.withColumn("parent_conv_id", F.when(F.col("conv_id") >= 10, F.col("conv_id") - 10)))
 
 
+@query("SELECT conv_id, owner_id FROM (SELECT DISTINCT conv_id, CAST(conv_id % 5 AS VARCHAR) AS owner_id, conv_id * 37 % 1000 AS changed FROM conversations WHERE conv_id % 7 > 0) WHERE owner_id = '1' ORDER BY changed DESC, conv_id LIMIT 100")
+def conv_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scan(spark, sf_dir, "conversations", "conv_id").distinct()
+    owned = rows.select("conv_id", (F.col("conv_id") % 5).cast("string").alias("owner_id"), F.when(F.col("conv_id") % 7 == 0, "DELETED").otherwise("ACTIVE").alias("status"), (F.col("conv_id") * 37 % 1000).alias("last_updated_at"))
+    return conversations.listed(owned, "1", 1000).select("conv_id", "owner_id")
+
+
+@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE turn % 3 <> 1) WHERE n <= 2")
+def conv_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scan(spark, sf_dir, "conversations", "conv_id", "turn", "role").withColumn("active", F.col("turn") % 3 != 1)
+    return conversations.listed_messages(rows, 2).drop("active")
+
+
+@query("""SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n, max(ts) OVER (PARTITION BY user_id) AS last FROM events)
+WHERE n <= 3 AND last >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 7200 SECOND""")
+def conv_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scan(spark, sf_dir, "events", "user_id", "event_id", "ts")
+    return conversations.remembered(rows, F.lit("2024-01-30 12:00:00").cast("timestamp_ntz"), 7200, 3, key="user_id", tie=["event_id"]).select("user_id", "event_id")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 < 2 THEN 'malformed' WHEN event_id % 5 = 2 THEN '/user/' || user_id || '/jobs' ELSE '/topic/' || event_type END AS route FROM events""")
+def event_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scan(spark, sf_dir, "events", "event_id", "user_id", "event_type")
+    kind = F.col("event_id") % 5
+    payload = F.col("event_id").cast("string").alias("payload")
+    user = F.to_json(F.struct(F.lit("/jobs").alias("destination"), F.lit("USER").alias("type"), F.when(kind == 2, F.col("user_id").cast("string")).alias("user_id"), payload))
+    topic = F.to_json(F.struct(F.concat(F.lit("/topic/"), "event_type").alias("destination"), F.lit("TOPIC").alias("type"), payload))
+    good, bad = events.envelopes(rows.select(F.when(kind == 0, F.concat(F.lit("broken "), F.col("event_id").cast("string"))).when(kind < 3, user).otherwise(topic).alias("value")))
+    return good.select(F.col("payload").cast("long").alias("event_id"), "route").unionByName(bad.select(F.regexp_extract("value", "([0-9]+)[^0-9]*$", 1).cast("long").alias("event_id"), F.lit("malformed").alias("route")))
+
+
 @query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE' ORDER BY n_name LIMIT 3")
 def named_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog = StatementCatalog().load_xml('<sqlset namespace="geo"><sql-query id="byRegion">SELECT n_name, r_name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey WHERE r_name = :region ORDER BY n_name</sql-query></sqlset>')

@@ -135,9 +135,9 @@ def eav_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.select("c_custkey", F.array_join(F.transform(F.map_entries("properties"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("properties"))
 
 
-@query("SELECT l_orderkey, max(l_linenumber) + 1 AS next_order FROM lineitem WHERE l_orderkey < 2000 GROUP BY l_orderkey")
+@query("SELECT l_orderkey, max(l_linenumber) + 1 AS next_order FROM lineitem GROUP BY l_orderkey")
 def next_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.next_order(scan(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber").where("l_orderkey < 2000"), ["l_orderkey"], "l_linenumber")
+    return relational.next_order(scan(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber"), ["l_orderkey"], "l_linenumber")
 
 
 @query("""SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS total FROM orders WHERE o_orderstatus = 'F'
@@ -170,7 +170,7 @@ def object_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 MASK = "(l_linenumber * 7 + l_suppkey) % 128"
 
 
-@query(f"""WITH m AS (SELECT l_orderkey, l_linenumber, CAST({MASK} AS INTEGER) AS mask FROM lineitem WHERE l_orderkey < 500)
+@query(f"""WITH m AS (SELECT l_orderkey, l_linenumber, CAST({MASK} AS INTEGER) AS mask FROM lineitem)
 SELECT l_orderkey, l_linenumber, mask, array_to_string(list_sort(list_filter([
   CASE WHEN mask & 16 > 0 THEN 'ADMIN' END,
   CASE WHEN mask & 20 > 0 THEN 'CREATE' END,
@@ -180,7 +180,7 @@ SELECT l_orderkey, l_linenumber, mask, array_to_string(list_sort(list_filter([
   CASE WHEN mask & 80 > 0 THEN 'UPLOAD' END,
   CASE WHEN mask & 82 > 0 THEN 'WRITE' END], lambda x: x IS NOT NULL)), ',') AS permissions FROM m""")
 def acl_mask_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scan(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey").where("l_orderkey < 500").withColumn("mask", F.expr(MASK).cast("int"))
+    rows = scan(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey").withColumn("mask", F.expr(MASK).cast("int"))
     return rows.select("l_orderkey", "l_linenumber", "mask", F.array_join(access.permissions(F.col("mask")), ",").alias("permissions"))
 
 

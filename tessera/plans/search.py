@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions import vectors as vx
-from tessera.operators import filters, paging, retrieval
+from tessera.operators import filters, retrieval
 from tessera.plans.registry import query
 from tessera.session import scan
 
@@ -64,10 +64,10 @@ def vector_topk_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(d, 6) AS distance, round(1 / (1 + d), 6) AS score FROM (
   SELECT q.vec_id AS query_id, e.vec_id, list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS d,
     row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), e.vec_id) AS rank
-  FROM embeddings e, embeddings q WHERE q.vec_id < 8) WHERE rank <= 5""")
+  FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) WHERE rank <= 5""")
 def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = scan(spark, sf_dir, "embeddings", "vec_id", "embedding")
-    asked = store.where("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    asked = store.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     return _shown(retrieval.top_k_each(store, asked, 5), "query_id", "vec_id", "rank")
 
 
@@ -120,19 +120,18 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.round("hybrid", 6).alias("hybrid"), F.round("score", 6).alias("score"))
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v, label AS want FROM embeddings WHERE vec_id < 6),
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v, label AS want FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, vec_id, 1 / (1 + list_distance(embedding::DOUBLE[], v)) AS score, want, label FROM embeddings, q),
 a AS (SELECT *, 0 AS stage, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s WHERE label = want + 100
-  UNION ALL SELECT *, 1, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) FROM s WHERE label = want AND query_id % 2 = 0
+  UNION ALL SELECT *, 1, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) FROM s WHERE label = want AND query_id % 100 = 0
   UNION ALL SELECT *, 2, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) FROM s),
 k AS (SELECT query_id, min(stage) AS stage FROM a WHERE n <= 4 AND score >= 0.15 GROUP BY query_id)
 SELECT query_id, CAST(stage AS INTEGER) AS stage, vec_id, round(score, 6) AS score FROM a JOIN k USING (query_id, stage) WHERE n <= 4""")
 def retrieval_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = scan(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
-    asked = store.where("vec_id < 6").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("label").alias("want"))
-    pairs = store.join(asked, F.size("embedding") == F.size("query_vector")).withColumn("score", vx.score_of(vx.l2_distance(F.col("embedding"), F.col("query_vector"))))
-    order = [F.desc("score"), F.asc("vec_id")]
-    stages = [paging.newest(pairs.where(c), ["query_id"], order, 4) for c in (F.col("label") == F.col("want") + 100, (F.col("label") == F.col("want")) & (F.col("query_id") % 2 == 0), F.lit(True))]
+    asked = store.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), "label")
+    absent, some = asked.withColumn("label", F.col("label") + 100), asked.where("query_id % 100 = 0")
+    stages = [retrieval.top_k_each(store, absent, 4, same="label"), retrieval.top_k_each(store, some, 4, same="label"), retrieval.top_k_each(store, asked, 4)]
     return retrieval.cascade(stages).select("query_id", "stage", "vec_id", F.round("score", 6).alias("score"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +33,16 @@ def scan(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the folder of ``spark.checkpoint.dir`` (a local default where it is unset) and read back."""
+    """``df`` written to the folder of ``spark.checkpoint.dir`` and read back. Where that is unset a session in one
+    local process has a default; on a cluster it is an error. What was written goes when the application ends."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{base.rstrip('/')}/tessera/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    own = spark._jvm.org.apache.hadoop.fs.Path(f"{(base or '/tmp/checkpoints').rstrip('/')}/tessera/{spark.sparkContext.applicationId}")
+    fs = own.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(own)
+    fs.deleteOnExit(own)
+    path = f"{own}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,20 +11,20 @@ MAX_BYTES = 10 << 20
 
 #: In this order the first rule that holds names the format; content types, then name endings.
 FORMATS = (
-    ("HTML", ("text/html", "application/xhtml+xml"), (".html", ".htm", ".xhtml")),
-    ("TEXT", ("text/",), (".txt", ".log", ".csv", ".md")),
+    ("HTML", ("text/html",), (".html", ".htm")),
+    ("TEXT", ("text/",), (".txt", ".log", ".csv")),
     ("PDF", ("application/pdf",), (".pdf",)),
-    ("DOCX", ("application/vnd.openxmlformats-officedocument.wordprocessingml",), (".docx",)),
-    ("PPTX", ("application/vnd.openxmlformats-officedocument.presentationml",), (".pptx",)),
-    ("IMAGE", ("image/",), (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".tif", ".tiff")),
-    ("HWP", ("application/x-hwp", "application/haansofthwp"), (".hwp",)),
-    ("HWPX", ("application/hwp+zip", "application/vnd.hancom.hwpx"), (".hwpx",)),
+    ("DOCX", ("application/vnd.openxmlformats-officedocument.wordprocessingml.document",), (".docx",)),
+    ("PPTX", ("application/vnd.openxmlformats-officedocument.presentationml.presentation",), (".pptx",)),
+    ("IMAGE", ("image/",), (".png", ".jpg", ".jpeg", ".bmp")),
+    ("HWP", (), (".hwp",)),
+    ("HWPX", (), (".hwpx",)),
 )
 
 
 def file_format(content_type: Column, name: Column) -> Column:
     """The format by content type or name, in the order of the rules, ``UNKNOWN`` if none holds."""
-    kind, end = F.lower(F.trim(F.coalesce(content_type, F.lit("")))), F.lower(F.trim(F.coalesce(name, F.lit(""))))
+    kind, end = F.lower(F.coalesce(content_type, F.lit(""))), F.lower(F.coalesce(name, F.lit("")))
     out = F
     for fmt, kinds, ends in FORMATS:
         test = F.lit(False)
@@ -44,9 +44,14 @@ def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> tu
     return named.where(F.col("length") <= max_bytes), named.where(F.col("length") > max_bytes).select("path", "name", "length", F.lit("TOO_LARGE").alias("code"))
 
 
+def decoded(content: Column) -> Column:
+    """The text of UTF-8 bytes; bytes that are none read as replacement characters."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def text_files(files: DataFrame) -> DataFrame:
-    """Cleaned text of text files; bytes that are no UTF-8 read as replacement characters."""
-    return files.where("format = 'TEXT'").select("path", "name", tx.clean_text(F.expr("try_validate_utf8(cast(content as string))")).alias("text"))
+    """Cleaned text of text files."""
+    return files.where("format = 'TEXT'").select("path", "name", tx.clean_text(decoded(F.col("content"))).alias("text"))
 
 
 def listing(files: DataFrame, prefix: str = "", delimiter: str | None = None) -> DataFrame:
@@ -54,7 +59,7 @@ def listing(files: DataFrame, prefix: str = "", delimiter: str | None = None) ->
     rows = files.where(F.col("key").startswith(prefix))
     if not delimiter:
         return rows.select("key", F.lit(False).alias("is_prefix"))
-    rest = F.substring("key", len(prefix) + 1, 1_000_000)
+    rest = F.substr("key", F.lit(len(prefix) + 1))
     inner = F.instr(rest, delimiter) > 0
     folded = F.concat(F.lit(prefix), F.substring_index(rest, delimiter, 1), F.lit(delimiter))
     return rows.select(F.when(inner, folded).otherwise(F.col("key")).alias("key"), inner.alias("is_prefix")).distinct()

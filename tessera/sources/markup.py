@@ -14,7 +14,7 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
@@ -25,6 +25,8 @@ _KINDS = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int
 #: What is not content, and what gives a block.
 SKIPPED = {"script", "style", "noscript", "template", "nav", "aside", "footer", "form"}
 TYPES = {"h1": "TITLE", **{f"h{i}": "HEADING" for i in range(2, 7)}, "p": "PARAGRAPH", "li": "LIST_ITEM"}
+#: Type of the rows that images give.
+IMAGE = "IMAGE"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -61,16 +63,22 @@ class _Node:
 class _Tree(HTMLParser):
     """A forgiving tree: what is never closed ends with its parent; paragraphs and items end where the next begins."""
 
-    CLOSES = {**{t: {"p"} for t in ("ul", "ol", "table", "div", "section", "article", "main", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6")}, "p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}}
+    CLOSES = {**{t: {"p"} for t in ("ul", "ol", "table", "div", "section", "article", "main", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6")}, "p": {"p"}, "li": {"li", "p"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}}
+
+    #: What is open beyond these stays open.
+    ROOM = {"table", "td", "th", "caption", "button"}
+    KEEP = {"li": {"ul", "ol", "table"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}}
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = _Node("root", {}, None)
 
     def handle_starttag(self, tag, attrs):
-        shut = self.CLOSES.get(tag, ())
-        while self.at.tag in shut:
-            self.at = self.at.parent
+        shut, node = self.CLOSES.get(tag, ()), self.at
+        while shut and node is not None and node.tag not in self.KEEP.get(tag, self.ROOM):
+            if node.tag in shut:  # with all that is still open in it
+                self.at = node.parent
+            node = node.parent
         node = _Node(tag, dict(attrs), self.at)
         self.at.children.append(node)
         if tag not in VOID:
@@ -95,7 +103,7 @@ def table_cells(table: _Node) -> list[dict]:
     taken, cells, row = set(), [], 0
     for tr in (n for n in table.walk() if n.tag == "tr"):
         col = 0
-        for cell in (c for c in tr.children if isinstance(c, _Node) and c.tag in ("td", "th")):
+        for cell in (c for c in tr.walk() if c.tag in ("td", "th")):
             while (row, col) in taken:
                 col += 1
             down, across = (max(1, int(v)) if (v := cell.attrs.get(k) or "1").isdigit() else 1 for k in ("rowspan", "colspan"))
@@ -115,7 +123,9 @@ def markdown(cells: list[dict]) -> str:
 
 
 def html_blocks(raw: str) -> Iterator[tuple]:
-    """Blocks of a page in document order: headings, paragraphs, list items, tables and images of its main part."""
+    """Blocks of a page's main part in document order: headings, paragraphs, list items, tables, and captions of images
+    that have one. Text inside tables is theirs alone; tables and images inside tables count. Before its caption each
+    image gives a row of its own, which is no block."""
     tree = _Tree()
     tree.feed(raw)
     tree.close()
@@ -126,21 +136,27 @@ def html_blocks(raw: str) -> Iterator[tuple]:
     for node in root.walk():
         if id(node.parent) in in_table or (node.parent is not None and node.parent.tag == "table"):
             in_table.add(id(node))
-        path = f"{node.tag}#{node.attrs['id']}" if node.attrs.get("id") else f"{node.tag}[{order}]"
-        if node.tag == "table" and id(node) not in in_table:
-            cells = table_cells(node)
-            if cells:
-                yield order, f"b{order}", "TABLE", path, markdown(cells), None, cells
-                order += 1
-        elif node.tag in TYPES and id(node) not in in_table:
-            if text := node.text():
-                yield order, f"b{order}", TYPES[node.tag], path, text, None, []
-                order += 1
-        elif node.tag == "img" and id(node) not in in_table:
-            yield order, f"b{order}", "IMAGE", path, squeeze(node.attrs.get("alt") or ""), None, []
+        path = f"{node.tag}#{node.attrs['id']}" if (node.attrs.get("id") or "").strip() else f"{node.tag}[{order}]"
+        kind, text, cells = TYPES.get(node.tag), "", []
+        if node.tag == "table":
+            kind, cells = "TABLE", table_cells(node)
+            text = markdown(cells)
+        elif node.tag == "img":
+            kind, text = "IMAGE_CAPTION", squeeze(node.attrs.get("alt") or "")
+            yield order, None, IMAGE, path, text, None, []
+        elif kind and id(node) not in in_table:
+            text = node.text()
+        if text:
+            yield order, f"b{order}", kind, path, text, None, cells
             order += 1
 
 
+def text_blocks(raw: str) -> Iterator[tuple]:
+    """The paragraph that a plain text is."""
+    if text := raw.strip():
+        yield 0, "b0", "PARAGRAPH", "text", text, None, []
+
+
 def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
@@ -222,16 +238,18 @@ def hwpx_blocks(raw: bytes) -> Iterator[tuple]:
                     order += 1
 
 
-PARSERS: dict[str, Callable] = {"HTML": html_blocks, "DOCX": docx_blocks, "PPTX": pptx_blocks, "HWPX": hwpx_blocks}
+PARSERS: dict[str, Callable] = {"HTML": html_blocks, "TEXT": text_blocks, "DOCX": docx_blocks, "PPTX": pptx_blocks, "HWPX": hwpx_blocks}
+#: Parsers that read text rather than bytes.
+OF_TEXT = {"HTML", "TEXT"}
 
 
-def blocks(df: DataFrame, doc: str, content: str, fmt: str = "HTML") -> tuple[DataFrame, DataFrame]:
-    """The blocks of all documents, and a warning (doc, code, message) for each that can't be parsed.
+def parsed(df: DataFrame, doc: str, content: str, fmt: str | Column = "HTML") -> DataFrame:
+    """Blocks, images and warnings of all documents in one pass, told apart by ``block_type``.
 
-    Null contents have no blocks. The warnings are rows of the same pass, told apart by their type.
+    ``fmt`` is the format of all documents or a column of each one's (``files.file_format``): each goes to the parser
+    of its format, and one whose format has none gives a warning. Null contents give nothing.
     """
-    parse = PARSERS[fmt]
-    rows = df.select(doc, content)
+    rows = df.select(doc, content, (F.lit(fmt) if isinstance(fmt, str) else fmt).alias("_format"))
     kind = rows.schema[doc].dataType.simpleString()
     names = [doc, "block_order", "block_id", "block_type", "path", "text", "page", "cells"]
 
@@ -239,19 +257,36 @@ def blocks(df: DataFrame, doc: str, content: str, fmt: str = "HTML") -> tuple[Da
         for batch in batches:
             for i in range(0, len(batch), 64):
                 part, at, out = batch.slice(i, 64), [], []
-                for row, value in enumerate(part.column(1).to_pylist()):
+                for row, (value, fmt) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
                     if value is None:
                         continue
+                    if fmt not in PARSERS:
+                        at.append(row)
+                        out.append((0, None, "WARNING", "UNSUPPORTED_FORMAT", fmt, None, []))
+                        continue
+                    if isinstance(value, bytes) and fmt in OF_TEXT:
+                        value = value.decode("utf-8", "replace")
                     try:
-                        found = list(parse(value))
+                        found = list(PARSERS[fmt](value))
                     except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, AssertionError) as e:
                         found = [(0, None, "WARNING", type(e).__name__, str(e), None, [])]
                     at += [row] * len(found)
                     out += found
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64()))] + [pa.array([o[c] for o in out], k) for c, k in enumerate(_KINDS)], names=names)
 
-    parsed = rows.mapInArrow(run, f"{doc} {kind}, {BLOCKS}")
-    return parsed.where("block_type <> 'WARNING'"), parsed.where("block_type = 'WARNING'").select(doc, F.col("path").alias("code"), F.col("text").alias("message"))
+    return rows.mapInArrow(run, f"{doc} {kind}, {BLOCKS}")
+
+
+def blocks(df: DataFrame, doc: str, content: str, fmt: str | Column = "HTML") -> tuple[DataFrame, DataFrame]:
+    """The blocks of all documents, and a warning (doc, code, message) for each that can't be parsed."""
+    rows = parsed(df, doc, content, fmt)
+    warnings = rows.where("block_type = 'WARNING'").select(doc, F.col("path").alias("code"), F.col("text").alias("message"))
+    return rows.where(~F.col("block_type").isin("WARNING", IMAGE)), warnings
+
+
+def images(df: DataFrame, doc: str, content: str, fmt: str | Column = "HTML") -> DataFrame:
+    """The images of all documents: doc, source_ref and alt, which may be empty."""
+    return parsed(df, doc, content, fmt).where(F.col("block_type") == IMAGE).select(doc, F.col("path").alias("source_ref"), F.col("text").alias("alt"))
 
 
 def table_text(tables: DataFrame, key: list[str]) -> DataFrame:
@@ -274,10 +309,11 @@ def table_text(tables: DataFrame, key: list[str]) -> DataFrame:
 
 
 def carried_headings(found: DataFrame, doc: str) -> DataFrame:
-    """Adds ``heading_path``: the last heading up to each block, blocks before any heading having none."""
+    """Adds ``heading_path``: the last heading before each block, empty for blocks before any and for headings."""
     w = Window.partitionBy(doc).orderBy("block_order").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.when(F.col("block_type").isin("TITLE", "HEADING"), F.col("text"))
-    return found.withColumn("heading_path", F.last(head, ignorenulls=True).over(w))
+    heading = F.col("block_type").isin("TITLE", "HEADING")
+    last = F.last(F.when(heading, F.col("text")), ignorenulls=True).over(w)
+    return found.withColumn("heading_path", F.when(heading, F.lit("")).otherwise(F.coalesce(last, F.lit(""))))
 
 
 def plain_text(found: DataFrame, doc: str) -> DataFrame:
@@ -287,19 +323,23 @@ def plain_text(found: DataFrame, doc: str) -> DataFrame:
 
 
 def normalised(blocks_: DataFrame, tables: DataFrame, images: DataFrame, doc: str) -> DataFrame:
-    """Blocks, extracted tables and images of documents as one block table: blocks first, then tables, then images.
+    """Blocks, extracted tables and images of documents as one block table, in this order.
 
-    blocks_: doc, block_order, block_id, block_type, text, source_ref, confidence. tables: doc, source_ref, text. images: doc,
-    source_ref, caption, alt, ocr. A table block gives way to the first extracted table of its source.
+    blocks_: doc, block_order, block_id, block_type, text, source_ref, confidence. tables: doc, source_ref, text. images:
+    doc, source_ref, caption, alt, ocr. A table block gives way to the extracted tables of its source, which have the
+    heading and confidence of the first of its blocks; images have no heading; blank texts go.
     """
-    own = tables.select(doc, "source_ref").distinct()
-    left = blocks_.join(own, [doc, "source_ref"], "left_anti").unionByName(blocks_.where("block_type <> 'TABLE'").join(own, [doc, "source_ref"], "left_semi"))
+    headed = carried_headings(blocks_, doc)
+    own = tables.select(doc, "source_ref").distinct().withColumn("_own", F.lit(True))
+    left = headed.join(own, [doc, "source_ref"], "left").where("block_type <> 'TABLE' or _own is null").drop("_own")
+    first = headed.where("block_type = 'TABLE'").groupBy(doc, "source_ref").agg(F.min(F.struct("block_order", "heading_path", "confidence")).alias("_b"))
     said = F.coalesce(*[F.nullif(tx.trimmed(F.col(c)), F.lit("")) for c in ("caption", "alt", "ocr")])
+    none = F.lit(None)
     branches = [
-        left.select(doc, F.lit(0).alias("_kind"), F.col("block_order").alias("_at"), "block_type", "text", "source_ref", "confidence"),
-        tables.select(doc, F.lit(1).alias("_kind"), F.lit(0).alias("_at"), F.lit("TABLE").alias("block_type"), "text", "source_ref", F.lit(None).cast("double").alias("confidence")),
-        images.select(doc, F.lit(2).alias("_kind"), F.lit(0).alias("_at"), F.lit("IMAGE_CAPTION").alias("block_type"), said.alias("text"), "source_ref", F.lit(None).cast("double").alias("confidence")),
+        left.select(doc, F.lit(0).alias("_kind"), F.col("block_order").alias("_at"), "block_type", "text", "source_ref", "heading_path", "confidence"),
+        tables.join(first, [doc, "source_ref"], "left").select(doc, F.lit(1).alias("_kind"), F.col("_b.block_order").alias("_at"), F.lit("TABLE").alias("block_type"), "text", "source_ref", F.coalesce("_b.heading_path", F.lit("")).alias("heading_path"), F.col("_b.confidence").alias("confidence")),
+        images.select(doc, F.lit(2).alias("_kind"), none.cast("int").alias("_at"), F.lit("IMAGE_CAPTION").alias("block_type"), said.alias("text"), "source_ref", F.lit("").alias("heading_path"), none.cast("double").alias("confidence")),
     ]
-    every = branches[0].unionByName(branches[1]).unionByName(branches[2]).where("text is not null and text <> ''")
-    order = F.row_number().over(Window.partitionBy(doc).orderBy("_kind", "_at", "source_ref", "text")) - 1
-    return carried_headings(every.withColumn("block_order", order.cast("int")).withColumn("block_id", F.concat(F.lit("n"), F.col("block_order").cast("string"))).drop("_kind", "_at"), doc)
+    every = branches[0].unionByName(branches[1]).unionByName(branches[2]).where(tx.trimmed(F.col("text")) != "")
+    order = F.row_number().over(Window.partitionBy(doc).orderBy("_kind", F.asc_nulls_last("_at"), "source_ref", "text")) - 1
+    return every.withColumn("block_order", order.cast("int")).withColumn("block_id", F.concat(F.lit("n"), F.col("block_order").cast("string"))).drop("_kind", "_at")

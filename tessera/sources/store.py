@@ -1,38 +1,48 @@
 """Chunk stores as rewrites of tables, and their atomic replacement on disk.
 
 Each operation is a function from the stored table and the change to the new table; ``TableStore`` writes a version
-into a folder of its own and then moves a pointer file, so readers see the old or the new version, never both.
+into a folder of its own and then creates a pointer file, so readers see the old or the new version, never both, and of
+two writers that began from one version the second fails.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import vectors as vx
+
 KEY = ("object_type", "object_id", "chunk_index")
 
 
-def latest(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The last row of each key by the given order."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+def one_each(df: DataFrame, key: Sequence[str], order: Column | None, last: bool) -> DataFrame:
+    """The last (or first) row of each key by ``order``, the order of writing. Without one, and among rows that tie, it is
+    the one whose columns, as JSON, are the largest (or smallest), so the choice doesn't change from run to run. Rows
+    are reduced before they are moved."""
+    rest = [c for c in df.columns if c not in key]
+    rank = F.struct(F.lit(0) if order is None else order, F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}))
+    pick = (F.max_by if last else F.min_by)(F.struct(*rest), rank)
+    return df.groupBy(*key).agg(pick.alias("_row")).select(*key, "_row.*").select(*df.columns)
 
 
-def upsert(stored: DataFrame, new: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """Rows of the change, and stored rows whose key it doesn't have."""
-    return stored.join(new.select(*key).distinct(), list(key), "left_anti").select(*stored.columns).unionByName(new.select(*stored.columns))
+def upsert(stored: DataFrame, new: DataFrame, key: Sequence[str] = KEY, order: Column | None = None) -> DataFrame:
+    """Rows of the change, of each key the last by ``order``, and stored rows whose key it doesn't have."""
+    change = one_each(new, key, order, True).select(*stored.columns)
+    return stored.join(change.select(*key), list(key), "left_anti").select(*stored.columns).unionByName(change)
 
 
-def insert_missing(stored: DataFrame, new: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """The rows of the change whose key isn't stored: what an insert that ignores conflicts appends."""
-    return new.dropDuplicates(list(key)).join(stored.select(*key), list(key), "left_anti").select(*stored.columns)
+def insert_missing(stored: DataFrame, new: DataFrame, key: Sequence[str] = KEY, order: Column | None = None) -> DataFrame:
+    """The rows of the change whose key isn't stored, of each key the first by ``order``: what an insert that ignores
+    conflicts appends. Their number is the count of rows affected."""
+    return one_each(new, key, order, False).join(stored.select(*key), list(key), "left_anti").select(*stored.columns)
 
 
 def replace_scope(stored: DataFrame, new: DataFrame, scope: Sequence[str] = KEY[:2]) -> DataFrame:
     """Stored rows outside the change's scopes, and the change."""
-    return upsert(stored, new, scope)
+    return stored.join(new.select(*scope).distinct(), list(scope), "left_anti").select(*stored.columns).unionByName(new.select(*stored.columns))
 
 
 def delete(stored: DataFrame, condition: Column) -> DataFrame:
@@ -52,14 +62,17 @@ def update(stored: DataFrame, condition: Column, **values: Column) -> DataFrame:
 
 
 def record(chunks: DataFrame, model: str = "stub", dimension: int | None = None) -> DataFrame:
-    """Store rows of chunks: defaults of scope and index, narrowed vectors, metadata by string."""
-    kind = F.coalesce(F.nullif(F.trim("object_type"), F.lit("")), F.lit("DEFAULT"))
-    index = F.coalesce(F.expr("try_cast(metadata['chunkOrder'] as int)"), F.expr("try_cast(metadata['chunkIndex'] as int)"), F.lit(0))
+    """Store rows of chunks (document_id, metadata map of strings, embedding, others): scope and index from the metadata
+    or their defaults, the document's id in the metadata unless it has one, vectors narrowed."""
+    said = lambda name: F.element_at("metadata", F.lit(name))
+    index = F.coalesce(said("chunkOrder"), said("chunkIndex"))
+    own = F.create_map(F.lit("documentId"), F.col("document_id"))
     return chunks.withColumns({
-        "object_type": kind,
-        "object_id": F.coalesce(F.nullif(F.trim("object_id"), F.lit("")), F.col("document_id")),
-        "chunk_index": index,
-        "embedding": F.col("embedding").cast("array<float>"),
+        "object_type": F.coalesce(said("objectType"), F.lit("DEFAULT")),
+        "object_id": F.coalesce(F.when(F.trim(said("objectId")) != "", said("objectId")), F.col("document_id")),
+        "chunk_index": F.coalesce(F.when(index.rlike(r"^[+-]?[0-9]+$"), index.try_cast("int")), F.lit(0)),
+        "metadata": F.when(said("documentId").isNull(), F.map_concat(F.map_filter("metadata", lambda k, _: k != "documentId"), own)).otherwise(F.col("metadata")),
+        "embedding": vx.as_stored(F.col("embedding")),
         "embedding_model": F.lit(model),
         "embedding_dimension": F.size("embedding") if dimension is None else F.lit(dimension),
     })
@@ -77,20 +90,36 @@ class TableStore:
 
     def version(self) -> int:
         """The current version, -1 for none."""
+        return max(self._pointers(), default=-1)
+
+    def _pointers(self) -> dict[int, str]:
+        """The folder that the pointer of each version names."""
         if not self.fs.exists(self.folder):
-            return -1
-        names = [s.getPath().getName() for s in self.fs.listStatus(self.folder)]
-        return max((int(n[8:]) for n in names if n.startswith("current-")), default=-1)
+            return {}
+        names = [s.getPath().getName().split("-") for s in self.fs.listStatus(self.folder)]
+        return {int(n[1]): n[2] for n in names if n[0] == "current"}
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self.version()}")
-
-    def commit(self, df: DataFrame) -> int:
-        """Writes a new version and makes it current. The version before stays for readers that have begun."""
-        n = self.version() + 1
-        df.write.mode("overwrite").partitionBy(*self.partition_by).parquet(f"{self.path}/v{n}")
-        self.fs.create(self._path(f"{self.path}/current-{n}"), True).close()
-        for old in range(max(0, n - 3), n - 1):
-            self.fs.delete(self._path(f"{self.path}/current-{old}"), False)
-            self.fs.delete(self._path(f"{self.path}/v{old}"), True)
-        return n
+        """The current version."""
+        folders = self._pointers()
+        if not folders:
+            raise FileNotFoundError(f"{self.path} has no version yet")
+        return self.spark.read.parquet(f"{self.path}/{folders[max(folders)]}")
+
+    def commit(self, df: DataFrame, of: int | None = None) -> int:
+        """Writes a new version and makes it current. ``of`` is the version that ``df`` was made from, the current one
+        unless given; if another writer has replaced that, nothing changes and this fails. The version before stays for
+        readers that have begun."""
+        before = self.version() if of is None else of
+        folder = f"v{before + 1}x{uuid.uuid4().hex}"
+        df.write.partitionBy(*self.partition_by).parquet(f"{self.path}/{folder}")
+        claim = self._path(f"{self.path}/claim-{before + 1}")
+        if self.version() != before or not self.fs.createNewFile(claim):
+            self.fs.delete(self._path(f"{self.path}/{folder}"), True)
+            raise RuntimeError(f"another writer has replaced version {before} of {self.path}")
+        self.fs.create(self._path(f"{self.path}/current-{before + 1}-{folder}"), False).close()
+        for old, at in self._pointers().items():
+            if old < before:
+                for gone in (f"current-{old}-{at}", at, f"claim-{old}"):
+                    self.fs.delete(self._path(f"{self.path}/{gone}"), True)
+        return before + 1

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.operators import jobs
+from tessera.sources.store import TableStore, upsert
 
 ENVELOPE = "destination string, user_id string, type string, payload string, payload_type string, timestamp timestamp, trace_id string"
 
@@ -46,17 +45,18 @@ def deliver(messages: DataFrame, sink: str, checkpoint: str, once: bool = True)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def keep_state(log: DataFrame, read: Callable[[], DataFrame], commit: Callable[[DataFrame], object], checkpoint: str) -> StreamingQuery:
-    """Keeps job states in a table: each batch of log events is added to the log, and the states of the jobs it
-    touches are folded anew with the fold that batch jobs use. ``read`` gives the log so far, ``commit`` takes the
-    new one and its states."""
+def keep_state(log: DataFrame, folder: str, states: TableStore, checkpoint: str) -> StreamingQuery:
+    """Keeps job states in a table. Each batch of log events becomes a part of the log in ``folder``, named by the
+    batch's number, and the states of the jobs it touches are folded anew from all their events, with the fold that
+    batch jobs use. A batch that runs again replaces its part and gives the same states."""
 
     def fold(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        before = read()
-        touched = before.join(batch.select("job_id").distinct(), "job_id", "left_semi")
-        commit(jobs.state(touched.unionByName(batch).dropDuplicates(["event_id"])))
-        batch.unpersist()
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        jobs_seen = spark.read.parquet(f"{folder}/batch={number}").select("job_id").distinct()
+        touched = spark.read.schema(batch.schema).parquet(folder).join(jobs_seen, "job_id", "left_semi")
+        new, before = jobs.state(touched.select(*batch.columns)), states.version()
+        states.commit(upsert(states.read(), new, ["job_id"]) if before >= 0 else new, before)
 
     return log.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

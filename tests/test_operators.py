@@ -165,6 +165,20 @@ def test_store_versions(spark, tmp_path):
     assert [r.chunk_index for r in s.read().collect()] == [5] and s.version() == 2
     s.commit(store.upsert(s.read(), row(5, "w").union(row(6, "v"))))
     assert sorted(r.text for r in s.read().collect()) == ["v", "w"] and reader.columns
+    with pytest.raises(RuntimeError):  # made from a version that is no longer current
+        s.commit(row(9, "late"), of=s.version() - 1)
+    assert sorted(r.text for r in s.read().collect()) == ["v", "w"] and s.version() == 3
+    with pytest.raises(FileNotFoundError):
+        store.TableStore(spark, str(tmp_path / "empty")).read()
+
+
+def test_upserts_take_the_last_row_of_a_key(spark):
+    rows = lambda *r: spark.createDataFrame(r, "k int, v string, at int")
+    old, new = rows((1, "old", 0), (2, "kept", 0)), rows((1, "a", 1), (1, "c", 3), (1, "b", 2), (3, "x", 1), (3, "y", 1), (None, "n", 1))
+    assert {(r.k, r.v) for r in store.upsert(old, new, ["k"], F.col("at")).collect()} == {(1, "c"), (2, "kept"), (3, "y"), (None, "n")}
+    assert {(r.k, r.v) for r in store.upsert(old, new, ["k"]).collect()} == {(1, "c"), (2, "kept"), (3, "y"), (None, "n")}
+    assert {(r.k, r.v) for r in store.insert_missing(old, new, ["k"], F.col("at")).collect()} == {(3, "x"), (None, "n")}
+    assert store.upsert(old, new.limit(0), ["k"]).count() == 2 and store.replace_scope(old, new, ["k"]).count() == 7
 
 
 def test_html(spark):
@@ -172,7 +186,7 @@ def test_html(spark):
     df = spark.createDataFrame([(1, html), (2, None), (3, "")], "doc_id long, html string")
     found, _ = markup.blocks(df, "doc_id", "html")
     rows = found.orderBy("block_order").collect()
-    assert [(r.block_type, r.path, r.text) for r in rows[:5]] == [("TITLE", "h1#t", "Top"), ("PARAGRAPH", "p[1]", "One"), ("PARAGRAPH", "p[2]", "Two b"), ("LIST_ITEM", "li[3]", "It"), ("IMAGE", "img[4]", "Pic")]
+    assert [(r.block_type, r.path, r.text) for r in rows[:5]] == [("TITLE", "h1#t", "Top"), ("PARAGRAPH", "p[1]", "One"), ("PARAGRAPH", "p[2]", "Two b"), ("LIST_ITEM", "li[3]", "It"), ("IMAGE_CAPTION", "img[4]", "Pic")]
     assert rows[5].text == "| H | K |\n| a | b |\n| 1 | 2 | 3 |"
     assert markup.table_text(found.where("block_type = 'TABLE'"), ["doc_id"]).first().vector_text == "H a: 1 | H b: 2 | K: 3"
 
@@ -256,6 +270,8 @@ def test_ports(spark):
     def make():
         return lambda texts: [{"up": "UP", "blank": " "}[texts[0]]]
 
+    long = spark.createDataFrame([("up" * 5,)], "text string")
+    assert indexing.cleaned(long, make, most_chars=2).first().text == "UP" * 5
     rows = indexing.cleaned(spark.createDataFrame([("up",), ("blank",), ("fails",), (None,)], "text string"), make).collect()
     assert [(r.text, r.cleaned) for r in rows] == [("UP", True), ("blank", False), ("fails", False), (None, False)]
     made = indexing.index_documents(docs(spark, "a b", "a b", ""), indexing.hash_embedding)
@@ -265,8 +281,68 @@ def test_ports(spark):
 def test_bounded_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"x\r\ny")
     (tmp_path / "big.txt").write_bytes(b"z" * 50)
+    (tmp_path / "odd.log").write_bytes(b"ok \xff here")
     kept, rejected = files.read_files(spark, str(tmp_path), 10)
-    assert [r.text for r in files.text_files(kept).collect()] == ["x\ny"] and [r.name for r in rejected.collect()] == ["big.txt"]
+    assert {r.text for r in files.text_files(kept).collect()} == {"x\ny", "ok \ufffd here"} and [r.name for r in rejected.collect()] == ["big.txt"]
+
+
+@pytest.mark.parametrize(
+    ("kind", "name", "want"),
+    [("text/html", "", "HTML"), ("", "a.HTM", "HTML"), ("text/csv", "", "TEXT"), ("application/xhtml+xml", "a.xhtml", "UNKNOWN"), ("", "a.md", "UNKNOWN"), ("", "a.gif", "UNKNOWN"), ("image/gif", "a.gif", "IMAGE"), ("", "a.tif", "UNKNOWN"),
+     ("application/x-hwp", "a", "UNKNOWN"), ("", "a.hwp", "HWP"), ("", "a.hwpx", "HWPX"), ("application/pdf", "a.txt", "TEXT"), (None, None, "UNKNOWN")],
+)
+def test_file_formats(spark, kind, name, want):
+    df = spark.createDataFrame([(kind, name)], "kind string, name string")
+    assert df.select(files.file_format(F.col("kind"), F.col("name")).alias("f")).first().f == want
+
+
+def test_images_and_tables_in_tables(spark):
+    html = "<main><img><img alt=' Pic '><table><tr><td>a<table><tr><td>b</table><td><img alt=In></table><p>t</main>"
+    df = spark.createDataFrame([(1, html)], "doc_id long, html string")
+    found, _ = markup.blocks(df, "doc_id", "html")
+    assert [(r.block_type, r.path) for r in found.orderBy("block_order").collect()] == [("IMAGE_CAPTION", "img[0]"), ("TABLE", "table[1]"), ("TABLE", "table[2]"), ("IMAGE_CAPTION", "img[3]"), ("PARAGRAPH", "p[4]")]
+    assert [(r.source_ref, r.alt) for r in markup.images(df, "doc_id", "html").collect()] == [("img[0]", ""), ("img[0]", "Pic"), ("img[3]", "In")]
+
+
+def test_searches_in_blocks(spark):
+    rows = [(i, [float(i % 7), float(i % 5), 1.0], i % 3) for i in range(200)] + [(500, None, 0), (501, [1.0, None, 1.0], 0), (502, [1.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    asked = df.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), "label")
+    full = [(i, v, c) for i, v, c in rows if v is not None and None not in v]
+    for same, block in ((None, 1000), ("label", 3)):
+        got = {}
+        for r in retrieval.top_k_each(df.repartition(3), asked, 4, same=same, block=block).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        want = {}
+        for q, v, c in full:
+            if q % 20 == 0 and len(v) == 3:
+                near = sorted((sum((x - y) ** 2 for x, y in zip(v, w, strict=True)), i) for i, w, d in full if len(w) == 3 and (not same or c == d))
+                want[q] = [i for _, i in near[:4]]
+        assert got == want
+    assert retrieval.top_k_each(df, asked.limit(0), 4).count() == 0
+
+
+@pytest.mark.parametrize(("size", "overlap"), [(7, 2), (5, 4), (6, 0), (1, 0), (9, 7)])
+def test_fixed_windows_of_any_overlap(spark, size, overlap):
+    texts = ["", "é", "abcdefghij klm  nop\n\n    qrst\U0001f600uvw" * 3, "x" * size, "y" * (size + 1), " a" * 20]
+    got = {}
+    for r in chunking.fixed(docs(spark, *texts), sizes=chunking.Sizes(size, overlap)).orderBy("chunk_order").collect():
+        got.setdefault(r.doc_id, []).append((r.chunk_order, r.start_offset, r.end_offset, r.content))
+    for i, t in enumerate(texts):
+        t, want, at = t.strip(), [], 0
+        while t:
+            end = min(at + size, len(t))
+            if part := t[at:end].strip():
+                want.append((len(want), at, end, part))
+            if end == len(t):
+                break
+            at = max(end - overlap, at + 1)
+        assert got.get(f"doc-{i + 1}", []) == want
+
+
+def test_fixed_windows_move_nothing(spark):
+    plan = chunking.fixed(docs(spark, "a b c"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
 
 
 def test_ancestry_reaches_every_root(spark):
