@@ -71,14 +71,28 @@ def discard(df: DataFrame) -> None:
 
 def bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """``df`` as a table in the shared folder, dealt into buckets by ``keys``, one file each: joins on these keys move
-    the other side only, however often the table is read."""
+    the other side only, however often the table is read. ``forget`` drops the table's entry."""
     spark = df.sparkSession
     path, n = fresh_path(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    at = f"tessera_{name}_{uuid.uuid4().hex}"
+    at = f"{_own_tables(spark)}{name}_{uuid.uuid4().hex}"
     df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(at)
     return spark.table(at)
 
 
+def _own_tables(spark: SparkSession) -> str:
+    return "tessera_" + re.sub(r"\W", "_", spark.sparkContext.applicationId).lower() + "_"
+
+
+def forget(spark: SparkSession) -> None:
+    """Drops what this application has left in the catalog and the shared folder; results that weren't written yet are
+    lost. Without it the folder goes when the application ends, and so do entries of a catalog in memory."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith(_own_tables(spark)):
+            spark.sql(f"DROP TABLE IF EXISTS `{t.name}`")
+    files, at = _filesystem(spark, f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}")
+    files.delete(at, True)
+
+
 def text_slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts of about ``limit`` characters; a longer text has a range of its own."""
     begin = held = 0

@@ -2,8 +2,10 @@
 
 A fingerprint is cut into segments of about 21 bits. Two fingerprints of a small distance have a segment that
 differs in at most one bit, so every fingerprint is entered in a table under each of its segments and looks up the
-Hamming ball of radius 1 around each (a pair that differs in a bit is found from the side where it is set). What a
-look-up finds is verified by its complete distance. Distinct fingerprints are compared, never their copies; what is
+Hamming ball of radius 1 around each (a pair that differs in a bit is found from the side where it is set). Beyond
+``MANY`` fingerprints, where so short segments would meet too many others by chance, segments have 32 bits and differ
+in at most two: both sides enter and look up balls of radius 1. What a look-up finds is verified by its complete
+distance. Distinct fingerprints are compared, never their copies; what is
 found inside a bucket leaves it as a spanning forest, not as all pairs; buckets beyond a bound are dealt as a grid of
 blocks to many tasks. Components come from the forests' edges.
 
@@ -29,6 +31,8 @@ from tessera.llm.near_copies import similar_groups
 SEED = 42
 #: Widths of the segments of a 64-bit word. With three of them and radius 1, distances up to 5 are never missed.
 SEGMENTS = (22, 21, 21)
+#: With two of them and radius 2, likewise; and the number of fingerprints from which on these are taken.
+WIDE, MANY = (32, 32), 1 << 26
 #: Table rows of a bucket that one task holds; larger buckets are dealt as blocks.
 BLOCK = 4096
 #: Pairs compared at a time.
@@ -103,12 +107,12 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[label[other]], nodes[other]
 
 
-def links(prints: DataFrame, max_distance: int, words: int = 1, segments: tuple[int, ...] = SEGMENTS, block: int = BLOCK) -> DataFrame:
+def links(prints: DataFrame, max_distance: int, words: int = 1, segments: tuple[int, ...] = SEGMENTS, block: int = BLOCK, radius: int = 1) -> DataFrame:
     """Edges (a, b) between nodes that connect all distinct fingerprints which a look-up finds at ``max_distance``
-    or fewer differing bits. ``prints``: node long, fp array<long>, one row per fingerprint.
+    or fewer differing bits. ``prints``: node long, fp array<long>, one row per fingerprint; ``radius`` is 1 or 2.
 
-    Complete if ``max_distance`` is below twice the number of segments; else pairs beyond that are found as far as
-    one of their segments is as close.
+    Complete if ``max_distance`` is below ``radius`` + 1 times the number of segments; else pairs beyond that are found
+    as far as one of their segments is as close.
     """
     spark = prints.sparkSession
     shapes = [(w, sum(segments[:s]), width, w * len(segments) + s) for w in range(words) for s, width in enumerate(segments)]
@@ -123,13 +127,13 @@ def links(prints: DataFrame, max_distance: int, words: int = 1, segments: tuple[
     entered = F.array(*[key(seg, value(w, shift, width)) for w, shift, width, seg in shapes])
 
     def flipped(w: int, shift: int, width: int, seg: int) -> F.Column:
-        """Keys of the values that one set bit less gives."""
+        """Keys of the values that one bit else gives; of radius 1 one set bit less, as the other side does the rest."""
         v = value(w, shift, width)
         masks = F.array(*[F.lit(1 << j).cast("long") for j in range(width)])
-        return F.transform(F.filter(masks, lambda m: v.bitwiseAND(m) != 0), lambda m: key(seg, v.bitwiseXOR(m)))
+        return F.transform(F.filter(masks, lambda m: v.bitwiseAND(m) != 0) if radius == 1 else masks, lambda m: key(seg, v.bitwiseXOR(m)))
 
     balls = F.concat(entered, *[flipped(*x) for x in shapes])
-    rows = prints.select("node", F.explode(entered).alias("key"), F.lit(0).cast("byte").alias("kind"), *fps)
+    rows = prints.select("node", F.explode(entered if radius == 1 else balls).alias("key"), F.lit(0).cast("byte").alias("kind"), *fps)
     probes = prints.select("node", F.explode(balls).alias("key"), F.lit(1).cast("byte").alias("kind"), *fps)
     sizes = stored(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "buckets")
     both = rows.unionByName(probes)
@@ -193,7 +197,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prints = stored(fingerprint(df.select(id_col, text_col), text_col, k, words).select(id_col, "fp"), "prints")
     node = F.get("fp", F.lit(0)) if words == 1 else F.xxhash64("fp")
     distinct = stored(prints.groupBy("fp").agg(F.min(id_col).alias("least")).withColumn("node", node), "distinct")
-    found = components(links(distinct.select("node", "fp"), max_distance, words))
+    segments, radius = (WIDE, 2) if distinct.count() > MANY else (SEGMENTS, 1)
+    found = components(links(distinct.select("node", "fp"), max_distance, words, segments, radius=radius))
     rooted = stored(distinct.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     least = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     of_print = rooted.join(least, "root").select("fp", "component_id")

@@ -68,8 +68,8 @@ def test_groups_are_those_of_brute_force(spark):
     assert simhash.near_duplicates(df.limit(0), k=4, max_distance=4, words=1).count() == 0
 
 
-@pytest.mark.parametrize("block", [4096, 7])
-def test_blocks_lose_no_link(spark, block):
+@pytest.mark.parametrize(("block", "segments", "radius"), [(4096, simhash.SEGMENTS, 1), (7, simhash.SEGMENTS, 1), (4096, simhash.WIDE, 2), (20, simhash.WIDE, 2)])
+def test_blocks_lose_no_link(spark, block, segments, radius):
     rng = random.Random(3)
     seeds = [rng.getrandbits(64) for _ in range(6)]
     prints = {s for s in seeds}
@@ -81,8 +81,8 @@ def test_blocks_lose_no_link(spark, block):
             prints.add(x)
     signed = [p - (1 << 64) if p >> 63 else p for p in sorted(prints)]
     df = spark.createDataFrame([(p, [p]) for p in signed], "node long, fp array<long>")
-    edges = simhash.links(df, 4, block=block)
-    assert edges.count() <= 40 * len(prints)
+    edges = simhash.links(df, 4, segments=segments, block=block, radius=radius)
+    assert edges.count() <= (40 if radius == 1 else 400) * len(prints)
     found = {r.node: r.root for r in components.components(edges).collect()}
     label = groups([p & (1 << 64) - 1 for p in signed], 4)
     least = {}
@@ -194,6 +194,16 @@ def test_repeats_are_those_of_brute_force(spark, size, kinds, monkeypatch):
         assert Counter((r.doc_id, hashlib.sha256(bytes(r[f"kept{name}"])).hexdigest(), len((r.text or "").encode()) - len(r[f"kept{name}"]), len(r[f"removed{name}"])) for r in both) == Counter(wanted)
 
 
+def test_nothing_is_left_behind(spark):
+    from tessera.llm import common
+
+    df = spark.createDataFrame([(1, "x" * 900), (2, "x" * 900)], "doc_id long, text string")
+    assert [len(r.kept) for r in repeats.remove_repeats(df).collect()] == [0, 0]
+    assert any(t.name.startswith("tessera_") for t in spark.catalog.listTables())
+    common.forget(spark)
+    assert not any(t.name.startswith("tessera_") for t in spark.catalog.listTables())
+
+
 def test_triggers_of_long_texts(monkeypatch):
     rng = np.random.default_rng(1)
     raw = rng.integers(97, 101, 5000).astype(np.uint8)
