@@ -60,11 +60,13 @@ def next_order(df: DataFrame, scope: Sequence[str], order: str) -> DataFrame:
 def policy(entries: DataFrame, identities: DataFrame, classes: DataFrame, sids: DataFrame) -> DataFrame:
     """Roles by domain, component and action from access entries: granting entries of roles, masks decoded with what
     they imply. entries: object_id, sid_id, mask, granting; identities: object_id, class_id, component; classes:
-    class_id, domain; sids: sid_id, sid, principal."""
+    class_id, domain; sids: sid_id, sid, principal. As each bit implies what it does whatever else is set, a role's masks
+    are put together before they are decoded."""
     from tessera.functions import access
 
     rows = entries.where("granting").join(identities, "object_id").join(classes, "class_id").join(sids.where("not principal"), "sid_id")
-    acts = rows.select("domain", "component", F.explode(access.actions(F.col("mask"))).alias("action"), access.role_name(F.col("sid")).alias("role"))
+    masks = rows.groupBy("domain", "component", "sid").agg(F.bit_or("mask").alias("mask"))
+    acts = masks.select("domain", "component", F.explode(access.actions(F.col("mask"))).alias("action"), access.role_name(F.col("sid")).alias("role"))
     return acts.groupBy("domain", "component", "action").agg(F.array_sort(F.collect_set("role")).alias("roles"))
 
 
