@@ -9,11 +9,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ASCII_SPACE = r"[ \t\n\x0B\f\r]+"
+#: What trimming drops.
+LOW = "".join(map(chr, range(0x21)))
 
 
 def trimmed(c: Column) -> Column:
     """Without characters up to U+0020 at both ends (``F.trim`` strips spaces only)."""
-    return F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+\z", "")
+    return F.btrim(c, F.lit(LOW))
 
 
 def unix_lines(c: Column) -> Column:

@@ -22,7 +22,9 @@ SENTENCE = re.compile(r"(?<=[.!?。！？])\s+")
 #: In the order they are tried.
 BREAKS = (re.compile(r"\n[ \t\n\x0b\f\r]*\n"), re.compile(r"\n"), SENTENCE, re.compile(r"[ \t\n\x0b\f\r]+"))
 PARAGRAPHS = BREAKS[0]
-_TRIM = "".join(map(chr, range(33)))
+_TRIM = tx.LOW
+#: Windows that are cut from one part of a long text.
+BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -70,26 +72,35 @@ def with_ids(chunks: DataFrame, doc: str, strategy: str) -> DataFrame:
 def fixed(df: DataFrame, doc: str = "doc_id", text: str = "text", sizes: Sizes = Sizes(), links: bool = True) -> DataFrame:
     """Windows of a fixed size. Offsets are those of the untrimmed windows; blank windows are skipped and don't count.
 
-    A text is cut into steps in one pass; a window is a step and the beginning of what follows it, so a text of any
-    length takes time in proportion, and its windows get their order where they are made.
+    A text's windows are counted from its length and cut where they are numbered, in one generated loop that holds the
+    text once; long texts are cut into blocks of windows first, so that no window is sought from a long text's start.
+    The generators are outer ones: for others the optimiser adds a filter that makes the text a second time.
     """
     size, overlap = tx.window_chars(sizes.max_size, sizes.unit), tx.window_chars(sizes.overlap, sizes.unit) if sizes.overlap else 0
     step = max(1, size - overlap)
     source = tx.trimmed(tx.unix_lines(F.coalesce(F.col(text), F.lit(""))))
-    rows = df.select(F.col(doc), source.alias("_t")).where("_t <> ''")
-    steps = rows.select(doc, F.regexp_extract_all("_t", F.lit(f"(?s).{{1,{step}}}"), F.lit(0)).alias("_p"))
-    windows = F.col("_p")
-
-    def behind(rest: int) -> Callable[[Column, Column], Column]:
-        return lambda w, p: F.concat(w, F.coalesce(F.substring(p, 1, rest), F.lit("")))
-
-    for n in range(1, -(-overlap // step) + 1):  # one, unless the overlap is longer than a step
-        windows = F.zip_with(windows, F.slice("_p", n + 1, F.size("_p")), behind(overlap - (n - 1) * step))
-    windows = F.slice(windows, 1, F.size("_p"))
-    placed = F.transform(windows, lambda w, i: F.struct((i * step).cast("int").alias("start_offset"), (i * step + F.length(w)).cast("int").alias("end_offset"), tx.trimmed(w).alias("content"), ((i == 0) | (F.length(w) > overlap)).alias("new")))
-    listed = steps.select(doc, F.filter(placed, lambda w: w["new"] & (w["content"] != "")).alias("_w"))
-    cut = listed.select(doc, F.size("_w").alias("_n"), "_w").select(doc, "_n", F.posexplode("_w").alias("chunk_order", "_c"))
-    ordered = cut.select(doc, "_c.start_offset", "_c.end_offset", "_c.content", "chunk_order", (F.col("chunk_order") == F.col("_n") - 1).alias("last"))
+    whole = df.select(F.col(doc), source.alias("_t"))
+    numbers = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1))
+    count = F.when(F.length("_t") > 0, F.greatest(F.lit(1), F.ceil((F.length("_t") - overlap) / step).cast("int"))).otherwise(0)
+    # a blank window is one of blanks only, as the text's ends are none; where there can't be any, none is looked for
+    window = lambda i: F.substring("_t", i * step + 1, F.lit(size))
+    blank = F.when(F.col("_t").rlike(rf"[\x00-\x20]{{{size}}}"), F.filter(numbers(count), lambda i: tx.trimmed(window(i)) == ""))
+    counted = whole.select(doc, "_t", count.alias("_n"), blank.alias("_blank"))
+    blocks = counted.select(doc, "_t", "_n", "_blank", F.explode_outer(numbers(F.ceil(F.col("_n") / BLOCK).cast("int"))).alias("_b"))
+    blocks = blocks.select(doc, "_n", "_blank", "_b", F.substring("_t", F.col("_b") * (BLOCK * step) + 1, F.lit(BLOCK * step + overlap)).alias("_s"))
+    inside = F.least(F.col("_n") - F.col("_b") * BLOCK, F.lit(BLOCK))
+    cut = blocks.select(doc, "_n", "_blank", "_b", "_s", F.explode_outer(numbers(inside)).alias("_w")).where("_w is not null")
+    at = F.col("_b") * BLOCK + F.col("_w")
+    gone = lambda test: F.coalesce(F.size(F.filter("_blank", test)), F.lit(0))
+    own = F.substring("_s", F.col("_w") * step + 1, F.lit(size))
+    placed = cut.where(F.col("_blank").isNull() | ~F.array_contains(F.coalesce("_blank", F.array().cast("array<int>")), at)).select(
+        doc,
+        (at * step).cast("int").alias("start_offset"),
+        own.alias("_own"),
+        F.when(F.col("_blank").isNull(), at).otherwise(at - gone(lambda i: i < at)).cast("int").alias("chunk_order"),
+        (at == F.col("_n") - 1).alias("last"),
+    )
+    ordered = placed.select(doc, "start_offset", (F.col("start_offset") + F.length("_own")).cast("int").alias("end_offset"), tx.trimmed(F.col("_own")).alias("content"), "chunk_order", "last")
     return with_ids(ordered, doc, "fixed-size") if links else ordered.drop("last")
 
 

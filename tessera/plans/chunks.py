@@ -120,6 +120,7 @@ def chunk_preview_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM k h JOIN k c ON h.doc_id = c.doc_id AND h.chunk_order = 2 AND abs(c.chunk_order - 2) <= 2""")
 def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = chunking.fixed(scan(spark, sf_dir, "documents", "doc_id", "text")).select(F.lit("document").alias("object_type"), F.col("doc_id").alias("object_id"), "chunk_id", "prev_chunk_id", "next_chunk_id", "chunk_order")
+    made = written(made, "links")
     hits = made.where("chunk_order = 2").select(F.col("object_id").alias("hit_id"), "object_type", "object_id", "chunk_id")
     return context.neighbours(hits, made, 2).select("hit_id", "chunk_id", "away")
 
@@ -130,7 +131,7 @@ u AS (SELECT *, sum(length(entry)) OVER (PARTITION BY doc_id ORDER BY n) AS used
 SELECT doc_id, CAST(n AS INTEGER) AS n, sha256(entry) AS entry_hash, CAST(used AS BIGINT) AS used_chars FROM u WHERE used <= 3000""")
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = chunking.fixed(scan(spark, sf_dir, "documents", "doc_id", "text"))
-    hits = made.select(F.col("doc_id").alias("of"), F.col("chunk_id").alias("doc_id"), (1 / (2.0 + F.col("chunk_order"))).alias("score"), "content", "chunk_order")
+    hits = made.where("chunk_order < 8").select(F.col("doc_id").alias("of"), F.col("chunk_id").alias("doc_id"), (1 / (2.0 + F.col("chunk_order"))).alias("score"), "content", "chunk_order")
     out = context.packed(hits, "of", [F.asc("chunk_order")], max_chars=3000)
     return out.select(F.col("of").alias("doc_id"), "n", tx.content_hash(F.col("entry")).alias("entry_hash"), "used_chars")
 
