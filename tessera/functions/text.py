@@ -130,5 +130,5 @@ def child_names(keys: Column, prefix: str) -> Column:
 
 
 def token_usage(usage: Column, name: str, legacy: str) -> Column:
-    """A count by its name, else its legacy name, never negative."""
-    return F.greatest(F.lit(0), F.coalesce(usage[name].cast("int"), usage[legacy].cast("int"), F.lit(0)))
+    """A count by its name, else its legacy name, never negative; what is no number counts as missing."""
+    return F.greatest(F.lit(0), F.coalesce(usage[name].try_cast("int"), usage[legacy].try_cast("int"), F.lit(0)))

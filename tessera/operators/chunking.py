@@ -86,7 +86,7 @@ def fixed(df: DataFrame, doc: str = "doc_id", text: str = "text", sizes: Sizes =
     window = lambda i: F.substring("_t", i * step + 1, F.lit(size))
     blank = F.when(F.col("_t").rlike(rf"[\x00-\x20]{{{size}}}"), F.filter(numbers(count), lambda i: tx.trimmed(window(i)) == ""))
     counted = whole.select(doc, "_t", count.alias("_n"), blank.alias("_blank"))
-    blocks = counted.select(doc, "_t", "_n", "_blank", F.explode_outer(numbers(F.ceil(F.col("_n") / BLOCK).cast("int"))).alias("_b"))
+    blocks = counted.select(doc, "_t", "_n", "_blank", F.explode_outer(numbers(F.ceil(F.col("_n") / BLOCK).cast("int"))).alias("_b")).where("_b is not null")
     blocks = blocks.select(doc, "_n", "_blank", "_b", F.substring("_t", F.col("_b") * (BLOCK * step) + 1, F.lit(BLOCK * step + overlap)).alias("_s"))
     inside = F.least(F.col("_n") - F.col("_b") * BLOCK, F.lit(BLOCK))
     cut = blocks.select(doc, "_n", "_blank", "_b", "_s", F.explode_outer(numbers(inside)).alias("_w")).where("_w is not null")

@@ -56,7 +56,8 @@ class Conditions:
 
 @dataclass(frozen=True)
 class Range:
-    """Bounds of a value, each in or out; at least one is needed, and they must not cross."""
+    """Bounds of a value, each in or out; at least one is needed, and they must not cross. With bounds that are numbers a
+    value that is none is out."""
 
     low: float | str | None = None
     high: float | str | None = None
@@ -70,7 +71,7 @@ class Range:
             raise ValueError("a range's bounds must not cross")
 
     def holds(self, c: Column) -> Column:
-        typed = c.cast("double") if isinstance(self.low if self.low is not None else self.high, int | float) else c
+        typed = c.try_cast("double") if isinstance(self.low if self.low is not None else self.high, int | float) else c
         parts = []
         if self.low is not None:
             parts.append(typed >= self.low if self.with_low else typed > self.low)

@@ -11,9 +11,11 @@ TERMINAL = ("SUCCEEDED", "WARNING", "FAILED", "CANCELLED")
 
 
 def visible(log: DataFrame) -> DataFrame:
-    """Events that count: a job's events of one run end at its first cancellation; a retry begins a new run."""
+    """Events that count: a job's events of one run end at its first cancellation; a retry begins a new run. Of several rows
+    of one event the earliest counts, of those the one whose other columns come first."""
     order = Window.partitionBy("job_id").orderBy("at", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    runs = log.dropDuplicates(["event_id"]).withColumn("run", F.sum((F.col("code") == "RETRY_REQUESTED").cast("int")).over(order))
+    first = F.min(F.struct("at", *(c for c in log.columns if c not in ("at", "event_id")))).alias("_e")
+    runs = log.groupBy("event_id").agg(first).select("event_id", "_e.*").select(*log.columns).withColumn("run", F.sum((F.col("code") == "RETRY_REQUESTED").cast("int")).over(order))
     before = Window.partitionBy("job_id", "run").orderBy("at", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     return runs.withColumn("_off", F.max((F.col("code") == "JOB_CANCELLED").cast("int")).over(before)).where("coalesce(_off, 0) = 0").drop("_off")
 

@@ -92,7 +92,7 @@ def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _normalised(pages: DataFrame) -> DataFrame:
     """Pages (page_id, html) as normalised blocks, parsed once."""
     rows = written(markup.parsed(pages, "page_id", "html"), "parsed")
-    own = rows.where(~F.col("block_type").isin("IMAGE", "WARNING")).withColumnRenamed("path", "source_ref").withColumn("confidence", F.lit(None).cast("double"))
+    own = rows.where(~F.col("block_type").isin(*markup.NO_BLOCKS)).withColumnRenamed("path", "source_ref").withColumn("confidence", F.lit(None).cast("double"))
     tables = markup.table_text(own.where("block_type = 'TABLE'"), ["page_id", "source_ref"]).withColumnRenamed("vector_text", "text")
     none = F.lit(None).cast("string")
     images = rows.where("block_type = 'IMAGE'").select("page_id", F.col("path").alias("source_ref"), none.alias("caption"), F.col("text").alias("alt"), none.alias("ocr"))

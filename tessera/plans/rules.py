@@ -133,6 +133,36 @@ def page_column_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_text.column_tables(pages).drop("page")
 
 
+@query("""SELECT c_custkey AS doc_id, CAST(0 AS INTEGER) AS first_line, '| Name | Segment |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || c_custkey || ' | ' || c_mktsegment || ' |' AS markdown,
+  CAST(NULL AS VARCHAR) AS code FROM customer WHERE c_custkey % 3 > 0
+UNION ALL SELECT c_custkey, CAST(CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 3 END AS INTEGER), NULL, 'TABLE_RECONSTRUCTION_PARTIAL' FROM customer WHERE c_custkey % 3 <> 1""")
+def page_tables_and_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each customer, with an even table, an uneven one, or one of each."""
+    k = F.col("c_custkey")
+    even, uneven = _said("Name  Segment\n", k, "   ", F.col("c_mktsegment")), _said("a  b\n", k, "  ", k, "  c")
+    text = F.when(k % 3 == 1, even).when(k % 3 == 0, uneven).otherwise(F.concat(even, F.lit("\n\n"), uneven))
+    pages = scan(spark, sf_dir, "customer", "c_custkey", "c_mktsegment").select(k.alias("doc_id"), F.lit(1).alias("page"), text.alias("text"))
+    tables = pages_text.column_tables(pages, separator=True).select("doc_id", "first_line", "markdown", F.lit(None).cast("string").alias("code"))
+    return tables.unionByName(pages_text.column_table_warnings(pages).select("doc_id", "first_line", F.lit(None).cast("string").alias("markdown"), "code"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \n\t\r]+'), lambda x: x <> '') AS words FROM documents),
+p AS (SELECT doc_id, unnest(words) AS word, unnest(range(0, len(words))) AS i FROM w)
+SELECT doc_id * 100000 + i // 200 AS page_id, CAST(i % 200 // 4 * 2 + i % 2 AS INTEGER) AS line, string_agg(word, ' ' ORDER BY CASE i % 4 WHEN 3 THEN -1 ELSE i END) AS text FROM p GROUP BY ALL""")
+def ocr_lines_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words as boxes in order, four a group: the second is lower than the first, the third overlaps the first again,
+    and the fourth, without a box, belongs to the latest line."""
+    docs = scan(spark, sf_dir, "documents", "doc_id", F.filter(F.split("text", "[ \n\t\r]+"), lambda w: w != "").alias("w"))
+    i, own = F.col("i") % 200, F.col("i") % 4
+    placed = lambda c: F.when(own < 3, c).cast("int")
+    boxes = docs.select("doc_id", F.posexplode("w").alias("i", "text")).select(
+        (F.col("doc_id") * 100000 + F.floor(F.col("i") / 200)).alias("page_id"), "text", F.lit(0.9).alias("confidence"), "i",
+        placed(own * 50 + 10).alias("x"), placed(F.floor(i / 4) * 50 + F.element_at(F.array(*map(F.lit, (0, 15, 16, 0))), (own + 1).cast("int"))).alias("y"),
+        F.lit(40).alias("width"), placed(F.element_at(F.array(*map(F.lit, (20, 20, 6, 0))), (own + 1).cast("int"))).alias("height"),
+    )
+    return pages_text.word_lines(boxes, "page_id", order="i").select("page_id", "line", "text")
+
+
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN (SELECT string_agg(CAST((c_custkey + i) % 100 AS VARCHAR), ' ' ORDER BY i) FROM range(1, 10) r(i)) || ', end'
   ELSE (SELECT string_agg('line ' || i, chr(10) ORDER BY i) FROM range(1, 10) r(i)) END AS text FROM customer""")
 def page_lines_mended(spark: SparkSession, sf_dir: str) -> DataFrame:

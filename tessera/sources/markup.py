@@ -27,6 +27,12 @@ SKIPPED = {"script", "style", "noscript", "template", "nav", "aside", "footer",
 TYPES = {"h1": "TITLE", **{f"h{i}": "HEADING" for i in range(2, 7)}, "p": "PARAGRAPH", "li": "LIST_ITEM"}
 #: Type of the rows that images give.
 IMAGE = "IMAGE"
+#: Type of the row that the text of a page without blocks gives.
+ROOT_TEXT = "ROOT_TEXT"
+#: Types of rows that are no blocks.
+NO_BLOCKS = ("WARNING", IMAGE, ROOT_TEXT)
+#: The most columns and rows that a cell may span, as in HTML; larger numbers count as these.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -98,16 +104,25 @@ class _Tree(HTMLParser):
         self.at.children.append(data)
 
 
+def _span(value: str | None, most: int) -> int:
+    """A span attribute: its leading decimal digits, from 1 to ``most``; anything else is 1."""
+    digits = re.match(r"\s*\+?([0-9]+)", value or "")
+    return min(most, max(1, int(digits[1][:9]))) if digits else 1
+
+
 def table_cells(table: _Node) -> list[dict]:
-    """Cells at the logical columns that row and column spans leave free."""
-    taken, cells, row = set(), [], 0
+    """Cells at the logical columns that row and column spans leave free. Spans count up to ``MOST_COLUMNS`` and
+    ``MOST_ROWS``."""
+    free_from: dict[int, int] = {}  # the first row in which a column is free again
+    cells, row = [], 0
     for tr in (n for n in table.walk() if n.tag == "tr"):
         col = 0
         for cell in (c for c in tr.walk() if c.tag in ("td", "th")):
-            while (row, col) in taken:
+            while free_from.get(col, 0) > row:
                 col += 1
-            down, across = (max(1, int(v)) if (v := cell.attrs.get(k) or "1").isdigit() else 1 for k in ("rowspan", "colspan"))
-            taken.update((row + r, col + c) for r in range(min(down, 1000)) for c in range(min(across, 1000)))
+            down, across = _span(cell.attrs.get("rowspan"), MOST_ROWS), _span(cell.attrs.get("colspan"), MOST_COLUMNS)
+            for c in range(col, col + across):
+                free_from[c] = max(free_from.get(c, 0), row + down)
             cells.append({"row": row, "col": col, "row_span": down, "col_span": across, "text": cell.text(), "header": cell.tag == "th"})
             col += across
         row += 1
@@ -125,7 +140,7 @@ def markdown(cells: list[dict]) -> str:
 def html_blocks(raw: str) -> Iterator[tuple]:
     """Blocks of a page's main part in document order: headings, paragraphs, list items, tables, and captions of images
     that have one. Text inside tables is theirs alone; tables and images inside tables count. Before its caption each
-    image gives a row of its own, which is no block."""
+    image gives a row of its own, which is no block. A page without blocks gives its whole text, which is none either."""
     tree = _Tree()
     tree.feed(raw)
     tree.close()
@@ -149,6 +164,8 @@ def html_blocks(raw: str) -> Iterator[tuple]:
         if text:
             yield order, f"b{order}", kind, path, text, None, cells
             order += 1
+    if not order and (text := root.text()):
+        yield 0, None, ROOT_TEXT, root.tag, text, None, []
 
 
 def text_blocks(raw: str) -> Iterator[tuple]:
@@ -253,26 +270,28 @@ def parsed(df: DataFrame, doc: str, content: str, fmt: str | Column = "HTML") ->
     kind = rows.schema[doc].dataType.simpleString()
     names = [doc, "block_order", "block_id", "block_type", "path", "text", "page", "cells"]
 
+    def of_one(value, fmt: str) -> list[pa.Array]:
+        """The columns of one document's rows; whatever a parser raises becomes its warning, and no other's."""
+        if fmt not in PARSERS:
+            found = [(0, None, "WARNING", "UNSUPPORTED_FORMAT", fmt, None, [])]
+        else:
+            try:
+                if isinstance(value, bytes) and fmt in OF_TEXT:
+                    value = value.decode("utf-8", "replace")
+                found = list(PARSERS[fmt](value))
+                return [pa.array([o[c] for o in found], k) for c, k in enumerate(_KINDS)]
+            except Exception as e:  # noqa: BLE001
+                found = [(0, None, "WARNING", type(e).__name__, str(e).encode("utf-8", "replace").decode(), None, [])]
+        return [pa.array([o[c] for o in found], k) for c, k in enumerate(_KINDS)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), 64):
-                part, at, out = batch.slice(i, 64), [], []
-                for row, (value, fmt) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
-                    if value is None:
-                        continue
-                    if fmt not in PARSERS:
-                        at.append(row)
-                        out.append((0, None, "WARNING", "UNSUPPORTED_FORMAT", fmt, None, []))
-                        continue
-                    if isinstance(value, bytes) and fmt in OF_TEXT:
-                        value = value.decode("utf-8", "replace")
-                    try:
-                        found = list(PARSERS[fmt](value))
-                    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, AssertionError) as e:
-                        found = [(0, None, "WARNING", type(e).__name__, str(e), None, [])]
-                    at += [row] * len(found)
-                    out += found
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64()))] + [pa.array([o[c] for o in out], k) for c, k in enumerate(_KINDS)], names=names)
+                part = batch.slice(i, 64)
+                made = [(row, of_one(value, fmt)) for row, (value, fmt) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)) if value is not None]
+                at = [row for row, columns in made for _ in range(len(columns[0]))]
+                columns = [pa.concat_arrays([c[n] for _, c in made]) if made else pa.array([], k) for n, k in enumerate(_KINDS)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), *columns], names=names)
 
     return rows.mapInArrow(run, f"{doc} {kind}, {BLOCKS}")
 
@@ -281,7 +300,7 @@ def blocks(df: DataFrame, doc: str, content: str, fmt: str | Column = "HTML") ->
     """The blocks of all documents, and a warning (doc, code, message) for each that can't be parsed."""
     rows = parsed(df, doc, content, fmt)
     warnings = rows.where("block_type = 'WARNING'").select(doc, F.col("path").alias("code"), F.col("text").alias("message"))
-    return rows.where(~F.col("block_type").isin("WARNING", IMAGE)), warnings
+    return rows.where(~F.col("block_type").isin(*NO_BLOCKS)), warnings
 
 
 def images(df: DataFrame, doc: str, content: str, fmt: str | Column = "HTML") -> DataFrame:
@@ -317,7 +336,9 @@ def carried_headings(found: DataFrame, doc: str) -> DataFrame:
 
 
 def plain_text(found: DataFrame, doc: str) -> DataFrame:
-    """Each document's block texts by line."""
+    """Each document's block texts by line. Of rows as ``parsed`` gives them, images and warnings don't count, and a
+    page without blocks has its whole text."""
+    found = found.where(~F.col("block_type").isin("WARNING", IMAGE)) if "block_type" in found.columns else found
     lines = F.filter(F.transform(F.array_sort(F.collect_list(F.struct("block_order", "text"))), lambda x: x["text"]), lambda t: tx.trimmed(t) != "")
     return found.groupBy(doc).agg(F.array_join(lines, "\n").alias("text"))
 

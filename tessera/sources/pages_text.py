@@ -39,43 +39,69 @@ def paragraphs(pages: DataFrame, doc: str = "doc_id") -> DataFrame:
     return cut.withColumn("text", tx.trimmed(F.col("text"))).where("text <> ''")
 
 
-def column_tables(pages: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Tables that spaces set: two or more lines in a row with the same number (two at least) of parts, parted by two
-    spaces or more. doc, page, first line, number of rows and columns, markdown."""
+def _column_runs(pages: DataFrame, doc: str) -> DataFrame:
+    """Lines in a row that have two parts or more, parted by two spaces or more, by run: doc, page, run, at, parts, n."""
     lines = pages.select(doc, "page", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     parts = lines.withColumn("parts", F.filter(F.split(tx.trimmed(F.col("line")), r" {2,}"), lambda x: x != "")).withColumn("n", F.size("parts"))
     w = Window.partitionBy(doc, "page").orderBy("at")
-    changed = F.coalesce(F.col("n") != F.lag("n").over(w), F.lit(True))
-    runs = parts.withColumn("run", F.sum(changed.cast("int")).over(w)).where("n >= 2")
+    # what is no part of a run ends the one before
+    return parts.withColumn("run", F.sum((F.col("n") < 2).cast("int")).over(w)).where("n >= 2")
+
+
+def column_tables(pages: DataFrame, doc: str = "doc_id", separator: bool = False) -> DataFrame:
+    """Tables that spaces set: two or more lines in a row with two parts or more, parted by two spaces or more, all with
+    the same number. doc, page, first line, number of rows and columns, markdown, with a line of dashes behind the first
+    row if ``separator`` is set. Lines of unequal numbers are no table (``column_table_warnings``)."""
     row = F.concat(F.lit("| "), F.array_join("parts", " | "), F.lit(" |"))
-    made = runs.groupBy(doc, "page", "run").agg(F.min("at").alias("first_line"), F.count("*").cast("int").alias("rows"), F.max("n").alias("columns"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", row.alias("r")))), lambda x: x["r"]), "\n").alias("markdown"))
-    return made.where("rows >= 2").drop("run")
+    made = _column_runs(pages, doc).groupBy(doc, "page", "run").agg(
+        F.min("at").alias("first_line"), F.count("*").cast("int").alias("rows"), F.min("n").alias("_least"), F.max("n").alias("columns"), F.transform(F.array_sort(F.collect_list(F.struct("at", row.alias("r")))), lambda x: x["r"]).alias("_r")
+    )
+    dashes = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.col("columns")), " | "), F.lit(" |"))
+    listed = F.concat(F.slice("_r", 1, 1), F.array(dashes), F.slice("_r", 2, F.size("_r"))) if separator else F.col("_r")
+    return made.where("rows >= 2 and _least = columns").withColumn("markdown", F.array_join(listed, "\n")).drop("run", "_least", "_r")
+
+
+def column_table_warnings(pages: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Lines in a row that look like a table but differ in their number of parts: doc, page, first line, code, message."""
+    made = _column_runs(pages, doc).groupBy(doc, "page", "run").agg(F.min("at").alias("first_line"), F.count("*").alias("rows"), F.min("n").alias("least"), F.max("n").alias("most"))
+    said = made.where("rows >= 2 and least < most").withColumns({"code": F.lit("TABLE_RECONSTRUCTION_PARTIAL"), "message": F.lit("rows of unequal numbers of columns")})
+    return said.select(doc, "page", "first_line", "code", "message")
 
 
-def word_lines(words: DataFrame, doc: str = "doc_id") -> DataFrame:
+def word_lines(words: DataFrame, doc: str = "doc_id", order: str | None = None) -> DataFrame:
     """Recognised words (doc, text, confidence, x, y, width, height) to lines: text, mean and least confidence.
 
-    Words are taken from top to bottom; one begins a new line unless it overlaps the line so far by half the smaller
-    height. The fold carries boxes only and is per document.
+    Words are taken by ``order``, or from top to bottom, those without a box last. A word belongs to the FIRST line so far
+    whose box it overlaps, by half the smaller height (in whole units) and by more than nothing; if there is none it
+    begins a line. A word without a box belongs to the latest line. Inside a line words go from left to right. A
+    confidence below 0 is none, one above 1 a percentage.
+
+    The fold holds the lines' upper and lower ends only, and is per document.
     """
-    one = F.struct("y", "x", "width", "height", "text", "confidence")
+    sure = F.when(F.col("confidence") < 0, None).when(F.col("confidence") > 1, F.col("confidence") / 100).otherwise(F.col("confidence"))
+    rank = F.col(order) if order else F.when(F.col("y").isNull() | F.col("height").isNull(), 1).otherwise(0)
+    one = F.struct(rank.alias("rank"), "y", "x", "width", "height", "text", sure.alias("confidence"))
     listed = words.where("trim(text) <> ''").groupBy(doc).agg(F.array_sort(F.collect_list(one)).alias("w"))
-    state = "struct<top:int,bottom:int,line:int,out:array<int>>"
+    state = "struct<lines:array<struct<top:int,bottom:int>>,out:array<int>>"
 
     def step(s: Column, t: Column) -> Column:
-        low, high = F.greatest(s["top"], t["y"]), F.least(s["bottom"], t["y"] + t["height"])
-        same = (s["line"] >= 0) & ((high - low) * 2 >= F.least(s["bottom"] - s["top"], t["height"]))
-        line = F.when(same, s["line"]).otherwise(s["line"] + 1)
-        return F.struct(
-            F.when(same, F.least(s["top"], t["y"])).otherwise(t["y"]).cast("int").alias("top"),
-            F.when(same, F.greatest(s["bottom"], t["y"] + t["height"])).otherwise(t["y"] + t["height"]).cast("int").alias("bottom"),
-            line.cast("int").alias("line"),
-            F.concat(s["out"], F.array(line.cast("int"))).alias("out"),
-        )
-
-    start = F.struct(F.lit(0).alias("top"), F.lit(0).alias("bottom"), F.lit(-1).alias("line"), F.array().cast("array<int>").alias("out")).cast(state)
-    placed = listed.select(doc, F.explode(F.arrays_zip(F.col("w"), F.aggregate("w", start, step, lambda s: s["out"]).alias("line"))).alias("z")).select(doc, "z.line", "z.w.*")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("x", "y", "text"))), lambda t: tx.trimmed(t["text"]))
+        top, bottom = t["y"].cast("int"), (t["y"] + t["height"]).cast("int")
+
+        def meets(line: Column) -> Column:
+            shared = F.least(line["bottom"], bottom) - F.greatest(line["top"], top)
+            return F.coalesce(line["top"].isNotNull() & (shared > 0) & (shared >= F.floor(F.least(line["bottom"] - line["top"], bottom - top) / 2)), F.lit(False))
+
+        lines, boxed = s["lines"], top.isNotNull() & bottom.isNotNull()
+        first = F.array_position(F.transform(lines, meets), True).cast("int")
+        at = F.when(boxed & (first > 0), first).when(boxed, F.size(lines) + 1).otherwise(F.greatest(F.size(lines), F.lit(1)))
+        own = F.struct(top.alias("top"), bottom.alias("bottom"))
+        wider = F.transform(lines, lambda line, i: F.when(boxed & (i + 1 == first), F.struct(F.least(line["top"], top).alias("top"), F.greatest(line["bottom"], bottom).alias("bottom"))).otherwise(line))
+        kept = F.when(at > F.size(lines), F.concat(lines, F.array(own))).when(boxed, wider).otherwise(lines)
+        return F.struct(kept.alias("lines"), F.concat(s["out"], F.array((at - 1).cast("int"))).alias("out"))
+
+    start = F.struct(F.array().cast("array<struct<top:int,bottom:int>>").alias("lines"), F.array().cast("array<int>").alias("out")).cast(state)
+    placed = listed.select(doc, F.posexplode(F.arrays_zip(F.col("w"), F.aggregate("w", start, step, lambda s: s["out"]).alias("line"))).alias("at", "z")).select(doc, "at", "z.line", "z.w.*")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("x", F.lit(0)), "at", "text"))), lambda t: tx.trimmed(t["text"]))
     return placed.groupBy(doc, "line").agg(F.array_join(ordered, " ").alias("text"), F.avg("confidence").alias("confidence"), F.min("confidence").alias("least_confidence"), F.min("y").alias("top"))
 
 
@@ -85,7 +111,16 @@ def word_quality(lines: DataFrame, doc: str = "doc_id", low: float = 0.6) -> Dat
 
 
 def captions(images: DataFrame, boxes: DataFrame, page: str = "slide") -> DataFrame:
-    """Each image's caption: the text of the nearest box whose top is at or below the image's bottom. images: page,
-    image_id, bottom; boxes: page, top, text. Pairs are made within a page only."""
-    near = images.join(boxes, page).where("top >= bottom").groupBy(page, "image_id").agg(F.min_by("text", F.struct(F.col("top") - F.col("bottom"), "text")).alias("caption"))
-    return images.join(near, [page, "image_id"], "left")
+    """Each image's caption: the text of the nearest box whose top is at or below the image's bottom (of several at that
+    place the least text). images: page, image_id, bottom; boxes: page, top, text.
+
+    An as-of join: images and boxes of a page are one sorted column, in which each image takes the next box; no pairs are
+    made, and a page's boxes are reduced to one a place first.
+    """
+    tops = boxes.where("top is not null").groupBy(page, "top").agg(F.min("text").alias("text"))
+    at = tops.select(page, F.col("top").alias("_at"), F.lit(1).alias("_kind"), F.struct("text").alias("_box"), F.lit(None).cast(images.schema["image_id"].dataType).alias("image_id"))
+    asked = images.select(page, F.col("bottom").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("struct<text:string>").alias("_box"), "image_id")
+    ahead = Window.partitionBy(page).orderBy("_at", "_kind").rowsBetween(0, Window.unboundedFollowing)
+    met = at.unionByName(asked).withColumn("_next", F.first("_box", ignorenulls=True).over(ahead)).where("_kind = 0")
+    near = met.groupBy(page, "image_id", F.col("_at").alias("bottom")).agg(F.first("_next.text").alias("caption"))
+    return images.join(near, [page, "image_id", "bottom"], "left")

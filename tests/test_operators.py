@@ -1,6 +1,7 @@
 """Golden cases and invariants of single operators."""
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -230,6 +231,76 @@ def test_pages_text(spark):
     assert pages_text.captions(images, boxes).first().caption == "near"
 
 
+def test_words_belong_to_the_first_line_that_they_overlap(spark):
+    schema = "doc_id int, i int, text string, confidence double, x int, y int, width int, height int"
+    words = [(1, 0, "A", 90.0, 0, 0, 9, 20), (1, 1, "B", 0.8, 40, 15, 9, 20), (1, 2, "C", -1.0, 60, 16, 9, 6), (1, 3, "N", 0.3, None, None, None, None)]
+    words += [(2, 0, "only", None, None, None, None, None), (2, 1, "box", 0.7, 5, 0, 9, 10), (2, 2, "low", 0.5, 0, 8, 9, 5), (2, 3, " ", 0.5, 0, 8, 9, 5)]
+    lines = pages_text.word_lines(spark.createDataFrame(words, schema), order="i").orderBy("doc_id", "line").collect()
+    assert [(r.doc_id, r.line, r.text) for r in lines] == [(1, 0, "A C"), (1, 1, "N B"), (2, 0, "only"), (2, 1, "low box")]
+    assert [r.confidence for r in lines[:2]] == [0.9, 0.55] and lines[0].least_confidence == 0.9
+    top_down = pages_text.word_lines(spark.createDataFrame(words, schema)).orderBy("doc_id", "line").collect()
+    assert [(r.doc_id, r.text) for r in top_down] == [(1, "A C"), (1, "N B"), (2, "low only box")]
+
+
+def test_uneven_rows_are_no_table_but_a_warning(spark):
+    pages = spark.createDataFrame([(1, 1, "Name  Score\nAlice  90"), (1, 2, "a  b\nc  d\ne  f  g"), (1, 3, "one  line\ntext"), (2, 1, "x  y\n\nz  w")], "doc_id int, page int, text string")
+    assert [(r.page, r.markdown) for r in pages_text.column_tables(pages, separator=True).collect()] == [(1, "| Name | Score |\n| --- | --- |\n| Alice | 90 |")]
+    assert [(r.doc_id, r.page, r.first_line, r.code) for r in pages_text.column_table_warnings(pages).collect()] == [(1, 2, 0, "TABLE_RECONSTRUCTION_PARTIAL")]
+
+
+def test_captions_are_those_of_all_pairs(spark):
+    rng = random.Random(5)
+    images = [(p, f"i{n}", rng.choice([None, *range(20)])) for p in range(6) for n in range(rng.randrange(6))]
+    boxes = [(p, rng.choice([None, *range(20)]), rng.choice("abcd")) for p in range(5) for _ in range(rng.randrange(9))]
+    got = pages_text.captions(spark.createDataFrame(images, "slide int, image_id string, bottom int"), spark.createDataFrame(boxes, "slide int, top int, text string"))
+    want = {(p, i): min(((t - b, x) for q, t, x in boxes if q == p and t is not None and b is not None and t >= b), default=(0, None))[1] for p, i, b in images}
+    assert {(r.slide, r.image_id): r.caption for r in got.collect()} == want and len(want) == len(images)
+
+
+def test_a_bad_document_is_its_own_warning(spark):
+    """Damaged archives, absurd spans and odd digits end no job and cost no other document."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", "<w:document xmlns:w='w'><w:body>" + "".join(f"<w:p><w:r><w:t>text {i}</w:t></w:r></w:p>" for i in range(500)) + "</w:body></w:document>")
+    docx = bytearray(out.getvalue())
+    at = docx.index(b"word/document.xml") + 40
+    docx[at : at + 30] = b"\xff" * 30
+    pages = [
+        (1, bytes(docx), "DOCX"), (2, b"<table><tr><td colspan='99999999999'>a</td><td>b</td></tr></table>", "HTML"),
+        (3, "<table><tr><th colspan='2000000000' rowspan='\u00b2'>h</th></tr><tr><td>v</td></tr></table>".encode(), "HTML"), (4, b"<p>fine", "HTML"), (5, None, "HTML"), (6, b"<div>no block</div> at all", "HTML"), (7, b"x", "PDF"),
+    ]
+    df = spark.createDataFrame(pages, "doc_id int, content binary, format string").coalesce(1)
+    found, warnings = markup.blocks(df, "doc_id", "content", F.col("format"))
+    rows = {(r.doc_id, r.text): r for r in found.collect()}
+    assert {k[0] for k in rows} == {2, 3, 4} and {(r.doc_id, r.code) for r in warnings.collect()} == {(1, "error"), (7, "UNSUPPORTED_FORMAT")}
+    assert [(c.col, c.col_span) for c in rows[2, "| a | b |"].cells] == [(0, 1000), (1000, 1)] and rows[3, "| h |\n| v |"].cells[0].row_span == 1
+    text = markup.table_text(found.where("block_type = 'TABLE'"), ["doc_id"]).where("doc_id = 3").first().vector_text
+    assert text == "h: v"
+    whole = markup.plain_text(markup.parsed(df, "doc_id", "content", F.col("format")), "doc_id").collect()
+    assert {r.doc_id: r.text for r in whole}[6] == "no block at all"
+
+
+def test_values_that_are_no_numbers(spark):
+    row = spark.createDataFrame([("abc",), ("5",), (None,)], "v string")
+    assert [r.v for r in row.where(filters.Range(1, 9).holds(F.col("v"))).collect()] == ["5"]
+    used = tx.token_usage(F.create_map(F.lit("a"), F.col("v")), "a", "b")
+    assert [r.n for r in row.select(used.alias("n")).collect()] == [0, 5, 0]
+
+
+def test_the_fixed_plan_makes_each_text_once(spark):
+    df = spark.createDataFrame([(1, "x")], "doc_id int, text string")
+    plan = chunking.fixed(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(coalesce(text") == 1 or plan.count("\\r\\n?") == 1
+    rng = random.Random(1)
+    long = "".join(rng.choice("ab  \n") for _ in range(3000)) + " " * 60 + "end"
+    made = chunking.fixed(spark.createDataFrame([(1, long)], "doc_id int, text string"), sizes=chunking.Sizes(7, 2)).orderBy("chunk_order").collect()
+    text = long.strip(tx.LOW)
+    cut = [(i, text[i : i + 7]) for i in range(0, len(text), 5) if i == 0 or len(text) - i > 2]
+    kept = [(i, w.strip(tx.LOW), i + len(w)) for i, w in cut if w.strip(tx.LOW)]
+    assert [(r.start_offset, r.content, r.end_offset) for r in made] == kept and [r.chunk_order for r in made] == list(range(len(kept)))
+    assert made[-1].next_chunk_id is None and made[0].prev_chunk_id is None and made[5].next_chunk_id == made[6].chunk_id
+
+
 def test_access_and_paging(spark):
     row = spark.range(1).select(access.permissions(F.lit(64)).alias("p"), access.actions(F.lit(16)).alias("a"), access.role_name(F.lit(" role_x ")).alias("r"), files.file_format(F.lit("TEXT/html; x"), F.lit("a.pdf")).alias("f")).first()
     assert row.p == ["READ", "UPLOAD", "WRITE"] and row.a == ["read", "write", "admin"] and row.r == "X" and row.f == "HTML"
