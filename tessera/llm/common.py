@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import re
 import uuid
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where a session in one local process names no shared folder, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints"
+#: The setting by which Spark removes an execution's shuffle files when it has ended.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Characters of text that a task holds in expanded form (word lists, token ids) at a time.
 SLICE_CHARS = 1_000_000
 
@@ -52,12 +55,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def _shuffles_go(spark: SparkSession):
+    """What is executed here leaves no shuffle files: its rows are in the shared folder, and nothing reads it again."""
+    was = spark.conf.get(SHUFFLES_GO, "false")
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLES_GO, was)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: later steps neither recompute it nor
-    depend on an executor's disk."""
+    depend on an executor's disk, and the shuffle files that it took go at once."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    with _shuffles_go(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -69,13 +84,41 @@ def discard(df: DataFrame) -> None:
     files.delete(at, True)
 
 
+class Scratch:
+    """The stored tables of one computation, which go together once its result is written."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        return self.own(stored(df, name))
+
+    def own(self, table: DataFrame) -> DataFrame:
+        """A stored table that is to go with the others."""
+        self.tables.append(table)
+        return table
+
+    def discard(self, *tables: DataFrame) -> None:
+        """These go now."""
+        for t in tables:
+            discard(t)
+            self.tables = [x for x in self.tables if x is not t]
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` stored, and everything else removed."""
+        out = stored(df, name)
+        self.discard(*self.tables)
+        return out
+
+
 def bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """``df`` as a table in the shared folder, dealt into buckets by ``keys``, one file each: joins on these keys move
     the other side only, however often the table is read. ``forget`` drops the table's entry."""
     spark = df.sparkSession
     path, n = fresh_path(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
     at = f"{_own_tables(spark)}{name}_{uuid.uuid4().hex}"
-    df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(at)
+    with _shuffles_go(spark):
+        df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(at)
     return spark.table(at)
 
 

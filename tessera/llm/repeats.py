@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import bucketed, discard, stored, table
+from tessera.llm.common import Scratch, bucketed, table
 
 #: Bytes that a rolling hash covers, and how many of its bits decide.
 GRAM, POSITION_BITS = 8, 22
@@ -202,7 +203,7 @@ def _in_order(group: dict[str, list], lengths: tuple[int, ...]) -> pa.RecordBatc
 SPAN = "id long, th long, m int, start int, end int"
 
 
-def edges(open_: DataFrame, docs: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+def edges(open_: DataFrame, docs: DataFrame, lengths: tuple[int, ...], scratch: Scratch) -> DataFrame:
     """Repeated stretches of phrases that don't occur twice as a whole. ``open_``: all distinct phrases of keys that
     have such phrases, with one of their places, ``n_`` by length, and ``kinds``, the number of the key's phrases."""
     widest = lengths[-1]
@@ -249,8 +250,8 @@ def edges(open_: DataFrame, docs: DataFrame, lengths: tuple[int, ...]) -> DataFr
                     )
 
     many = fetched(open_.where(F.col("kinds") > KINDS))
-    hashed = stored(many.mapInArrow(strings, "h1 long, h2 long, id long, th long, m int, start int, n long, edge boolean"), "strings")
-    twice = stored(hashed.groupBy("m", "h1", "h2").agg(F.sum("n").alias("times")).where("times > 1").select("m", "h1", "h2"), "twice")
+    hashed = scratch.stored(many.mapInArrow(strings, "h1 long, h2 long, id long, th long, m int, start int, n long, edge boolean"), "strings")
+    twice = scratch.stored(hashed.groupBy("m", "h1", "h2").agg(F.sum("n").alias("times")).where("times > 1").select("m", "h1", "h2"), "twice")
     counted = hashed.where("edge").join(twice, ["m", "h1", "h2"], "left_semi")
     return found.union(counted.select("id", "th", "m", "start", (F.col("start") + F.col("m")).cast("int").alias("end")))
 
@@ -260,24 +261,28 @@ def repeated_spans(docs: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     not yet merged. What feeds a join is written first, so that the join has plain exchanges on both sides and a
     frequent key's rows can be split."""
     widest, like = lengths[-1], f"like_{lengths[-1]}"
-    parsed = stored(parse(docs, lengths), "phrases")
-    twice = stored(parsed.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"), "keys")
-    seen = stored(parsed.join(twice, "key", "left_semi"), "repeated")
-    discard(parsed)
+    scratch = Scratch()
+    parsed = scratch.stored(parse(docs, lengths), "phrases")
+    twice = scratch.stored(parsed.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"), "keys")
+    seen = scratch.stored(parsed.join(twice, "key", "left_semi"), "repeated")
+    scratch.discard(parsed, twice)
     place = F.min(F.struct("th", "id", "low", "high", "at", "end", *(f"like_{m}" for m in lengths[:-1]))).alias("p")
-    kinds = stored(seen.groupBy("key", like).agg(F.count("*").alias(f"n_{widest}"), place).select("key", like, "p.*", f"n_{widest}"), "kinds")
+    kinds = scratch.stored(seen.groupBy("key", like).agg(F.count("*").alias(f"n_{widest}"), place).select("key", like, "p.*", f"n_{widest}"), "kinds")
     for m in lengths[:-1]:
-        times = stored(kinds.groupBy("key", f"like_{m}").agg(F.sum(f"n_{widest}").alias(f"n_{m}")), f"times-{m}")
-        kinds = stored(kinds.join(times, ["key", f"like_{m}"]), f"kinds-{m}")
+        times = scratch.stored(kinds.groupBy("key", f"like_{m}").agg(F.sum(f"n_{widest}").alias(f"n_{m}")), f"times-{m}")
+        wider = scratch.stored(kinds.join(times, ["key", f"like_{m}"]), f"kinds-{m}")
+        scratch.discard(kinds, times)
+        kinds = wider
     edge = F.lit(False)
     for m in lengths:
         edge = edge | ((F.col(f"n_{m}") == 1) & (F.col("end") - F.col("low") >= m))
-    groups = stored(kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.max(edge).alias("open")).where("open and kinds > 1").select("key", "kinds"), "groups")
+    groups = scratch.stored(kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.max(edge).alias("open")).where("open and kinds > 1").select("key", "kinds"), "groups")
     wide = kinds.where(" or ".join(f"n_{m} > 1" for m in lengths)).select("key", like, *(f"n_{m}" for m in lengths))
     spans = [F.when((F.col(f"n_{m}") > 1) & (F.col("end") - F.col("low") >= m), F.struct(F.lit(m).alias("m"), F.col("low").alias("start"), F.least(F.col("high") + m, "end").alias("end"))) for m in lengths]
-    whole = seen.join(wide, ["key", like]).select("id", "th", F.inline(F.array_compact(F.array(*spans))))
-    rest = edges(kinds.join(groups, "key"), docs, lengths)
-    return whole.union(rest).groupBy("id", "th").agg(F.collect_set(F.struct("m", "start", "end")).alias("spans"))
+    whole = scratch.stored(seen.join(wide, ["key", like]).select("id", "th", F.inline(F.array_compact(F.array(*spans)))), "whole")
+    scratch.discard(seen)
+    rest = edges(kinds.join(groups, "key"), docs, lengths, scratch)
+    return scratch.result(whole.union(rest).groupBy("id", "th").agg(F.collect_set(F.struct("m", "start", "end")).alias("spans")), "spans")
 
 
 def merged(spans: list[dict] | None, m: int) -> list[tuple[int, int]]:
@@ -298,13 +303,34 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     All strings are judged on the input. Other columns stay as they are; of the added names the added ones stay. With
     ``whole_characters`` what is left of a character that a run cuts is left out of ``kept`` as well.
     """
-    return remove_repeats_of(df, {"": (min_bytes, whole_characters)}, id_col, text_col)
+    return remove_repeats_of(df, {"": Cut(min_bytes, whole_characters)}, id_col, text_col)
 
 
-def remove_repeats_of(df: DataFrame, cuts: dict[str, tuple[int, bool]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``remove_repeats`` for several lengths at once: adds ``removed`` and ``kept``, followed by the cut's name, for
-    each of ``cuts``, which map names to (``min_bytes``, ``whole_characters``)."""
-    names, lengths = df.columns, tuple(sorted({m for m, _ in cuts.values()}))
+@dataclass(frozen=True)
+class Cut:
+    """Strings of ``min_bytes`` that repeat go; of those runs, if ``words`` is set, such of more than ``words`` words or of
+    ``or_bytes`` bytes. ``whole_characters``: what is left of a character that a run cuts goes too."""
+
+    min_bytes: int
+    whole_characters: bool = False
+    words: int | None = None
+    or_bytes: int = 0
+
+    def goes(self, text: bytes, run: tuple[int, int]) -> bool:
+        a, b = run
+        return self.words is None or b - a >= self.or_bytes or whole_words(text, a, b) > self.words
+
+
+def whole_words(text: bytes, a: int, b: int) -> int:
+    """How many words stand in ``text[a:b]`` from their first to their last byte."""
+    cut_words = [a and b > a and text[a - 1] > 32 and text[a] > 32, b < len(text) and b > a and text[b - 1] > 32 and text[b] > 32]
+    return max(0, len(text[a:b].split()) - sum(map(bool, cut_words)))
+
+
+def remove_repeats_of(df: DataFrame, cuts: dict[str, Cut | tuple], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``remove_repeats`` for several cuts at once: adds ``removed`` and ``kept``, followed by the cut's name, for each."""
+    cuts = {k: c if isinstance(c, Cut) else Cut(*c) for k, c in cuts.items()}
+    names, lengths = df.columns, tuple(sorted({c.min_bytes for c in cuts.values()}))
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = {"_repeat_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "_repeat_th": F.xxhash64(text)}
     placed = bucketed(df.withColumns(own), list(own), "repeats")
@@ -322,16 +348,16 @@ def remove_repeats_of(df: DataFrame, cuts: dict[str, tuple[int, bool]], id_col:
             own = batch.column(batch.schema.get_field_index("_repeat_raw"))
             lists = batch.column(batch.schema.get_field_index("_repeat_spans")).to_pylist()
             arrays = [batch.column(batch.schema.get_field_index(f.name)) for f in keep]
-            for m, whole in cuts.values():
+            for how in cuts.values():
                 removed, kept = [], []
                 for text, spans in zip(own, lists, strict=True):
-                    runs = merged(spans, m)
-                    removed.append([{"start": a, "end": b} for a, b in runs])
                     value = text.as_py()
+                    runs = [r for r in merged(spans, how.min_bytes) if how.goes(value, r)]
+                    removed.append([{"start": a, "end": b} for a, b in runs])
                     if runs:
                         ends = [0, *(x for r in runs for x in r), len(value)]
                         value = b"".join(value[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
-                        value = value.decode("utf-8", "ignore").encode() if whole else value
+                        value = value.decode("utf-8", "ignore").encode() if how.whole_characters else value
                     kept.append(value)
                 arrays += [pa.array(removed, kind), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
@@ -339,15 +365,16 @@ def remove_repeats_of(df: DataFrame, cuts: dict[str, tuple[int, bool]], id_col:
     return joined.mapInArrow(cut, schema)
 
 
-#: Bytes of nearly all passages of over 50 words, as ``text`` of ``op8_suffix_dedup`` and the pipeline leave them out.
-PASSAGE = 250
+#: Passages of over 50 words, as ``text`` of ``op8_suffix_dedup`` and the pipeline leave them out: 51 words have 150 bytes
+#: unless they have fewer than two letters on average. What repeats over 250 bytes goes whatever words it has.
+PASSAGE = Cut(150, whole_characters=True, words=50, or_bytes=250)
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """What remains of every document without repeated strings of 400 bytes, as counts and a digest. Beside them
-    ``text``, what remains without repeated passages (``PASSAGE`` bytes, about 45 words)."""
+    ``text``, what remains without repeated passages of over 50 words (``PASSAGE``)."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("n_bytes", F.length(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("long"))
-    out = remove_repeats_of(docs, {"": (400, False), "_passages": (PASSAGE, True)})
+    out = remove_repeats_of(docs, {"": Cut(400), "_passages": PASSAGE})
     return out.select(
         "doc_id",
         "n_bytes",

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import list_array, map_texts, stored, table
+from tessera.llm.common import Scratch, discard, list_array, map_texts, stored, table
 from tessera.llm.components import components
 from tessera.llm.near_copies import similar_groups
 
@@ -185,23 +185,18 @@ def links(prints: DataFrame, max_distance: int, words: int = 1, segments: tuple[
     return both.repartition("key", "cell").sortWithinPartitions("key", "cell", "kind").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, max_distance: int | None = None, similarity: float = 0.8, words: int = 4) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, max_distance: int = 4, words: int = 1) -> DataFrame:
     """``id_col``, ``fp`` and ``component_id``, the smallest id that links reach, itself included, for each row.
-
-    Without ``max_distance`` it is the distance that texts of the given Jaccard similarity have on average: their
-    sets' cosine is 2s / (1 + s), and a bit differs with the probability of the angle over pi. More words of 64 bits
-    make the estimate closer.
-    """
-    if max_distance is None:
-        max_distance = round(64 * words * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi))
+    Fingerprints of ``words`` words of 64 bits link at ``max_distance`` or fewer differing bits."""
+    scratch = Scratch()
     prints = stored(fingerprint(df.select(id_col, text_col), text_col, k, words).select(id_col, "fp"), "prints")
     node = F.get("fp", F.lit(0)) if words == 1 else F.xxhash64("fp")
-    distinct = stored(prints.groupBy("fp").agg(F.min(id_col).alias("least")).withColumn("node", node), "distinct")
+    distinct = scratch.stored(prints.groupBy("fp").agg(F.min(id_col).alias("least")).withColumn("node", node), "distinct")
     segments, radius = (WIDE, 2) if distinct.count() > MANY else (SEGMENTS, 1)
-    found = components(links(distinct.select("node", "fp"), max_distance, words, segments, radius=radius))
-    rooted = stored(distinct.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    least = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    of_print = rooted.join(least, "root").select("fp", "component_id")
+    found = scratch.own(components(links(distinct.select("node", "fp"), max_distance, words, segments, radius=radius)))
+    rooted = scratch.stored(distinct.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    least = scratch.stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    of_print = scratch.result(rooted.join(least, "root").select("fp", "component_id"), "of-print")
     return prints.join(of_print, "fp").select(id_col, "fp", "component_id")
 
 
@@ -209,9 +204,11 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows of ``df`` whose id is the smallest of their component, whole and with all columns. Links are exact
     similarities of shingle sets (``near_copies``), as a fingerprint's distance only estimates them. Of rows with the
     same id and text one stays; rows without an id stay unless they have such a copy or a row with an id is near."""
-    stay = similar_groups(df, id_col, text_col, k, similarity).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("stays"))
+    groups = similar_groups(df, id_col, text_col, k, similarity)
+    stay = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("stays"))
     counted = stored(stay.groupBy("stays").agg(F.count("*").alias("n")), "stays")
-    rows = lambda which: df.join(counted.where(which).select("stays"), F.col(id_col).eqNullSafe(F.col("stays")), "left_semi")
+    discard(groups)
+    rows = lambda which: df.join(counted.where(which).select("stays"), df[id_col].eqNullSafe(counted["stays"]), "left_semi")
     if counted.where("n > 1").isEmpty():
         return rows("n = 1")
     return rows("n = 1").unionByName(rows("n > 1").dropDuplicates([id_col, text_col]))

@@ -194,6 +194,35 @@ def test_repeats_are_those_of_brute_force(spark, size, kinds, monkeypatch):
         assert Counter((r.doc_id, hashlib.sha256(bytes(r[f"kept{name}"])).hexdigest(), len((r.text or "").encode()) - len(r[f"kept{name}"]), len(r[f"removed{name}"])) for r in both) == Counter(wanted)
 
 
+def test_passages_go_by_their_words(spark):
+    """A repeated passage of over 50 short words goes, one of 50 words doesn't unless it has 250 bytes."""
+    rng = random.Random(4)
+    words = lambda n, k: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k)) for _ in range(n))
+    short, few, long = words(55, 2), words(45, 3), words(40, 8)
+    own = [words(30, 9) for _ in range(13)]
+    texts = [f"{own[2 * i]} {p} {own[2 * i + 1]}" for i, p in enumerate((short, short, few, few, long, long))] + [own[12]]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: bytes(r.kept).decode() for r in repeats.remove_repeats_of(df, {"": repeats.Cut(100, True, words=50, or_bytes=250)}).collect()}
+    assert short not in got[0] and short not in got[1] and got[2] == texts[2] and got[3] == texts[3] and long not in got[4] and long not in got[5] and got[6] == own[12]
+    assert repeats.whole_words(b"ab cd ef", 1, 7) == 1 and repeats.whole_words(b"ab cd ef", 2, 6) == 1 and repeats.whole_words(b"ab cd", 0, 5) == 2 and repeats.whole_words(b"abcd", 1, 3) == 0
+
+
+def test_intermediate_tables_go_once_the_result_is_written(spark):
+    import glob
+
+    from tessera.llm import common
+
+    at = f"{common.shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
+    before = set(glob.glob(f"{at}/*"))
+    df = spark.createDataFrame([(i, f"one two three four five six {i % 3}") for i in range(30)], "doc_id long, text string").withColumns({"stays": F.lit("clash"), "n": F.lit(1)})
+    kept = simhash.drop_near_duplicates(df)
+    names = sorted(p.rpartition("/")[2].rpartition("-")[0] for p in set(glob.glob(f"{at}/*")) - before)
+    assert names == ["stays"] and kept.count() == 3 and "stays" in kept.columns
+    repeats.remove_repeats(df, min_bytes=20)
+    names = sorted(p.rpartition("/")[2].rpartition("-")[0] for p in set(glob.glob(f"{at}/*")) - before)
+    assert names == ["repeats", "spans", "stays"] and spark.conf.get(common.SHUFFLES_GO) == "false"
+
+
 def test_nothing_is_left_behind(spark):
     from tessera.llm import common
 
