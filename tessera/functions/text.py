@@ -107,9 +107,14 @@ def enriched_query(query: Column, keywords: Column, limit: int = 10) -> Column:
     return F.array_join(F.slice(terms, 1, limit + 1), " ")
 
 
+def search_words(c: Column) -> Column:
+    """Lower-case runs of letters and digits, in order."""
+    return F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+
+
 def search_tokens(c: Column) -> Column:
     """Distinct lower-case runs of letters and digits."""
-    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
+    return F.array_distinct(search_words(c))
 
 
 def context_line(number: Column, doc: Column, score: Column, content: Column) -> Column:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions import vectors as vx
-from tessera.operators import filters, retrieval
+from tessera.operators import filters, lexical, retrieval
 from tessera.plans.registry import query
-from tessera.session import scan
+from tessera.session import scan, written
 
 #: The query of the fixed searches: the vector of id 0, a bounded read of one row.
 Q = "(SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0)"
@@ -120,6 +120,42 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.round("hybrid", 6).alias("hybrid"), F.round("score", 6).alias("score"))
 
 
+#: Words of a text and, behind them, of its source, as a list; those of two terms that follow each other with no other
+#: of the two between them, and are unlike, are a cover.
+WORDS = r"list_filter(string_split_regex(lower(coalesce(text, '') || ' ' || coalesce(source, '')), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
+
+
+def _covers_sql(asked: str) -> str:
+    """Ranks ``r`` (query_id, doc_id, rank) of the queries (query_id, a, b) that ``asked`` selects from ``w`` (doc_id, words)."""
+    return f"""w AS (SELECT doc_id, {WORDS} AS words FROM documents),
+p AS (SELECT doc_id, unnest(words) AS term, unnest(range(len(words))) AS pos FROM w),
+q AS ({asked}),
+o AS (SELECT query_id, doc_id, pos, term, a = b AS one FROM p JOIN q ON term = a UNION ALL SELECT query_id, doc_id, pos, term, false FROM p JOIN q ON term = b AND a <> b),
+l AS (SELECT *, lag(pos) OVER g AS before, lag(term) OVER g AS last FROM o WINDOW g AS (PARTITION BY query_id, doc_id ORDER BY pos)),
+r AS (SELECT query_id, doc_id, round(sum(CASE WHEN one THEN 0.1::DOUBLE ELSE 0.1::DOUBLE / (pos - before) END), 9) AS rank FROM l WHERE one OR term <> last GROUP BY query_id, doc_id)"""
+
+
+@query(f"""WITH {_covers_sql("SELECT doc_id AS query_id, words[1] AS a, words[2] AS b FROM w WHERE doc_id % 50 = 0 AND len(words) >= 2")}
+SELECT query_id, CAST(n AS INTEGER) AS place, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, doc_id) AS n FROM r) WHERE n <= 10""")
+def lexical_cover_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two words of every 50th document, in all documents and their keywords."""
+    docs = scan(spark, sf_dir, "documents", "doc_id", "text", "source")
+    index = written(lexical.build(docs, keywords="source"), "lexical")
+    words = tx.search_words(F.concat_ws(" ", F.coalesce("text", F.lit("")), F.coalesce("source", F.lit(""))))
+    asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), words.alias("w")).where("size(w) >= 2").select("query_id", F.concat_ws(" ", F.slice("w", 1, 2)).alias("query"))
+    return lexical.search(index, asked, 10).withColumnRenamed("id", "doc_id")
+
+
+@query(f"""WITH {_covers_sql("SELECT 0 AS query_id, 'of' AS a, 'the' AS b")},
+s AS (SELECT vec_id AS doc_id, list_distance(embedding::DOUBLE[], v.v) AS d FROM embeddings, {Q} v)
+SELECT s.doc_id, round(s.d * 0.7 - coalesce(r.rank, 0) * 0.3, 6) AS hybrid, r.rank FROM s LEFT JOIN r ON s.doc_id = r.doc_id ORDER BY s.d * 0.7 - coalesce(r.rank, 0) * 0.3, s.doc_id LIMIT 20""")
+def hybrid_cover_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = written(lexical.build(scan(spark, sf_dir, "documents", "doc_id", "text", "source"), keywords="source"), "lexical")
+    store = scan(spark, sf_dir, "embeddings", F.col("vec_id").alias("doc_id"), "embedding")
+    found = lexical.hybrid_top_k(store, index, "of the", vx.l2_distance(F.col("embedding"), vx.literal(_query_vector(spark, sf_dir))), 20)
+    return found.select("doc_id", F.round("hybrid", 6).alias("hybrid"), "rank")
+
+
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v, label AS want FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, vec_id, 1 / (1 + list_distance(embedding::DOUBLE[], v)) AS score, want, label FROM embeddings, q),
 a AS (SELECT *, 0 AS stage, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s WHERE label = want + 100

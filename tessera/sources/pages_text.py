@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import text as tx
 
@@ -76,35 +81,51 @@ def word_lines(words: DataFrame, doc: str = "doc_id", order: str | None = None)
     begins a line. A word without a box belongs to the latest line. Inside a line words go from left to right. A
     confidence below 0 is none, one above 1 a percentage.
 
-    The fold holds the lines' upper and lower ends only, and is per document.
+    The fold is per document: a small loop inside Arrow tasks that holds the lines' upper and lower ends as arrays.
     """
     sure = F.when(F.col("confidence") < 0, None).when(F.col("confidence") > 1, F.col("confidence") / 100).otherwise(F.col("confidence"))
     rank = F.col(order) if order else F.when(F.col("y").isNull() | F.col("height").isNull(), 1).otherwise(0)
-    one = F.struct(rank.alias("rank"), "y", "x", "width", "height", "text", sure.alias("confidence"))
+    one = F.struct(rank.alias("rank"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "text", sure.alias("confidence"))
     listed = words.where("trim(text) <> ''").groupBy(doc).agg(F.array_sort(F.collect_list(one)).alias("w"))
-    state = "struct<lines:array<struct<top:int,bottom:int>>,out:array<int>>"
-
-    def step(s: Column, t: Column) -> Column:
-        top, bottom = t["y"].cast("int"), (t["y"] + t["height"]).cast("int")
-
-        def meets(line: Column) -> Column:
-            shared = F.least(line["bottom"], bottom) - F.greatest(line["top"], top)
-            return F.coalesce(line["top"].isNotNull() & (shared > 0) & (shared >= F.floor(F.least(line["bottom"] - line["top"], bottom - top) / 2)), F.lit(False))
-
-        lines, boxed = s["lines"], top.isNotNull() & bottom.isNotNull()
-        first = F.array_position(F.transform(lines, meets), True).cast("int")
-        at = F.when(boxed & (first > 0), first).when(boxed, F.size(lines) + 1).otherwise(F.greatest(F.size(lines), F.lit(1)))
-        own = F.struct(top.alias("top"), bottom.alias("bottom"))
-        wider = F.transform(lines, lambda line, i: F.when(boxed & (i + 1 == first), F.struct(F.least(line["top"], top).alias("top"), F.greatest(line["bottom"], bottom).alias("bottom"))).otherwise(line))
-        kept = F.when(at > F.size(lines), F.concat(lines, F.array(own))).when(boxed, wider).otherwise(lines)
-        return F.struct(kept.alias("lines"), F.concat(s["out"], F.array((at - 1).cast("int"))).alias("out"))
-
-    start = F.struct(F.array().cast("array<struct<top:int,bottom:int>>").alias("lines"), F.array().cast("array<int>").alias("out")).cast(state)
-    placed = listed.select(doc, F.posexplode(F.arrays_zip(F.col("w"), F.aggregate("w", start, step, lambda s: s["out"]).alias("line"))).alias("at", "z")).select(doc, "at", "z.line", "z.w.*")
+    schema = T.StructType([*listed.schema.fields, T.StructField("line", T.ArrayType(T.IntegerType()))])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            boxes, sizes = lists.flatten(), np.diff(np.asarray(lists.offsets))
+            y, height = (boxes.field(boxes.type.get_field_index(c)) for c in ("y", "height"))
+            boxed = np.asarray(y.is_valid()) & np.asarray(height.is_valid())
+            top = np.asarray(y.fill_null(0), np.int64)
+            bottom = top + np.asarray(height.fill_null(0), np.int64)
+            line, end = np.empty(len(boxes), np.int32), 0
+            for size in sizes.tolist():
+                begin, end = end, end + size
+                line[begin:end] = lines_of(top[begin:end], bottom[begin:end], boxed[begin:end])
+            column = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(line))
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=schema.fieldNames())
+
+    folded = listed.mapInArrow(fold, schema)
+    placed = folded.select(doc, F.posexplode(F.arrays_zip("w", "line")).alias("at", "z")).select(doc, "at", "z.line", "z.w.*")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("x", F.lit(0)), "at", "text"))), lambda t: tx.trimmed(t["text"]))
     return placed.groupBy(doc, "line").agg(F.array_join(ordered, " ").alias("text"), F.avg("confidence").alias("confidence"), F.min("confidence").alias("least_confidence"), F.min("y").alias("top"))
 
 
+def lines_of(top: np.ndarray, bottom: np.ndarray, boxed: np.ndarray) -> np.ndarray:
+    """The number of each word's line, by the rule of ``word_lines``."""
+    out = np.empty(len(top), np.int32)
+    upper, lower, n = np.zeros(len(top), np.int64), np.zeros(len(top), np.int64), 0  # of a line without a box: nothing
+    for i, (a, b, has) in enumerate(zip(top.tolist(), bottom.tolist(), boxed.tolist(), strict=True)):
+        at = max(n - 1, 0)
+        if has:
+            shared = np.minimum(lower[:n], b) - np.maximum(upper[:n], a)
+            met = (shared > 0) & (shared >= np.minimum(lower[:n] - upper[:n], b - a) // 2)
+            at = int(met.argmax()) if met.any() else n
+            upper[at], lower[at] = (min(upper[at], a), max(lower[at], b)) if at < n else (a, b)
+        n = max(n, at + 1)
+        out[i] = at
+    return out
+
+
 def word_quality(lines: DataFrame, doc: str = "doc_id", low: float = 0.6) -> DataFrame:
     """Each document's least confidence, and whether it warns of a low one."""
     return lines.groupBy(doc).agg(F.min("least_confidence").alias("least_confidence")).withColumn("low_confidence", F.coalesce(F.col("least_confidence") < low, F.lit(False)))
