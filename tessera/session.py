@@ -32,10 +32,9 @@ def scan(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return df.select(*columns) if columns else df
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the folder of ``spark.checkpoint.dir`` and read back. Where that is unset a session in one
-    local process has a default; on a cluster it is an error. What was written goes when the application ends."""
-    spark = df.sparkSession
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A path in the folder of ``spark.checkpoint.dir`` that nothing else uses. Where that is unset a session in one local
+    process has a default; on a cluster it is an error. What is written there goes when the application ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
@@ -43,6 +42,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     fs = own.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(own)
     fs.deleteOnExit(own)
-    path = f"{own}/{name}-{uuid.uuid4().hex}"
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a fresh folder and read back."""
+    path = fresh_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
