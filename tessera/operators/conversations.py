@@ -82,3 +82,20 @@ def remembered(messages: DataFrame, now: Column, ttl_seconds: int, n: int, at: s
     """What a memory with a time to live holds: the last n messages of conversations whose last message is recent."""
     last = messages.groupBy(key).agg(F.max(at).alias("_last")).where(F.col("_last") >= now - F.expr(f"INTERVAL {int(ttl_seconds)} SECONDS")).select(key)
     return newest(messages.join(last, key, "left_semi"), [key], [F.desc(at), *map(F.desc, tie)], n)
+
+
+def memory_reads(events: DataFrame, ttl_seconds: int, most: int) -> DataFrame:
+    """What reads of conversations find: conv_id, seq, messages. ``events``: conv_id, seq, at, message, null for a read.
+
+    A memory ends when nobody has written or read its conversation for ``ttl_seconds``, so events with no such pause between
+    them are one life of it; of a life a read finds the last ``most`` messages before it.
+    """
+    order = Window.partitionBy("conv_id").orderBy("at", "seq")
+    micros = F.unix_micros(F.col("at").cast("timestamp"))
+    pause = F.coalesce(micros - F.lag(micros).over(order) >= ttl_seconds * 1_000_000, F.lit(False))
+    lives = events.withColumn("_pause", pause.cast("int")).withColumn("_life", F.sum("_pause").over(order))
+    life = Window.partitionBy("conv_id", "_life")
+    written_ = F.count("message").over(life.orderBy("at", "seq"))
+    # what is written after a read has a number of its own, so a range of numbers holds the messages before it
+    found = F.collect_list("message").over(life.orderBy("_n").rangeBetween(1 - most, 0))
+    return lives.withColumn("_n", written_).withColumn("messages", found).where("message is null").select("conv_id", "seq", "messages")

@@ -145,6 +145,19 @@ def conv_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.remembered(rows, F.lit("2024-01-30 12:00:00").cast("timestamp_ntz"), 7200, 3, key="user_id", tie=["event_id"]).select("user_id", "event_id")
 
 
+@query("""WITH e AS (SELECT user_id, event_id, ts, CASE WHEN event_id % 3 > 0 THEN event_type || event_id END AS message FROM events),
+p AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= 86400000000 THEN 1 ELSE 0 END AS pause FROM e),
+l AS (SELECT *, sum(pause) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS life FROM p),
+n AS (SELECT *, count(message) OVER (PARTITION BY user_id, life ORDER BY ts, event_id) AS n FROM l)
+SELECT r.user_id AS conv_id, r.event_id AS seq, coalesce((SELECT string_agg(w.message, ',' ORDER BY w.n) FROM n w WHERE w.user_id = r.user_id AND w.life = r.life AND w.message IS NOT NULL AND w.n > r.n - 4 AND w.n <= r.n), '') AS messages
+FROM n r WHERE r.message IS NULL""")
+def conv_memory_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memories that end a day after the last access: every third event of a user reads, the others write."""
+    e = scan(spark, sf_dir, "events", F.col("user_id").alias("conv_id"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), "event_type")
+    asked = e.withColumn("message", F.when(F.col("seq") % 3 > 0, F.concat("event_type", F.col("seq").cast("string"))))
+    return conversations.memory_reads(asked, 86400, 4).select("conv_id", "seq", F.array_join("messages", ",").alias("messages"))
+
+
 @query("""SELECT event_id, CASE WHEN event_id % 5 < 2 THEN 'malformed' WHEN event_id % 5 = 2 THEN '/user/' || user_id || '/jobs' ELSE '/topic/' || event_type END AS route FROM events""")
 def event_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scan(spark, sf_dir, "events", "event_id", "user_id", "event_type")
