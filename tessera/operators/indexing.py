@@ -87,6 +87,25 @@ def resolve(profiles: Iterable[Profile], name: str | None = None, provider: str
     return found[0]
 
 
+def resolved(requests: DataFrame, profiles: DataFrame, key: str) -> DataFrame:
+    """``resolve`` for a table of requests: ``key`` and ``profile``, null where no profile answers. requests: key, name,
+    provider, model, kind (null: TEXT); profiles: position, profile, provider, model, inputs. The first profile by
+    position that is asked for has to take the kind of input. Each way of asking is an equi-join of its own."""
+    asked = requests.select(key, F.col("name").alias("_name"), F.col("provider").alias("_provider"), F.col("model").alias("_model"), F.coalesce("kind", F.lit("TEXT")).alias("_kind"))
+    ways = [
+        ("_name is not null and _provider is null and _model is null", {"_name": "profile"}),
+        ("_name is null and _provider is not null and _model is not null", {"_provider": "provider", "_model": "model"}),
+        ("_name is null and _provider is not null and _model is null", {"_provider": "provider"}),
+        ("_name is null and _provider is null and _model is not null", {"_model": "model"}),
+    ]
+    found = None
+    for which, on in ways:
+        firsts = profiles.groupBy(*on.values()).agg(F.min_by(F.struct("profile", "inputs"), "position").alias("_p")).select(*[F.col(c).alias(a) for a, c in on.items()], "_p")
+        part = asked.where(which).join(firsts, list(on)).where(F.array_contains("_p.inputs", F.col("_kind"))).select(key, F.col("_p.profile").alias("profile"))
+        found = part if found is None else found.unionByName(part)
+    return requests.select(key).join(found, key, "left")
+
+
 def cleaned(df: DataFrame, make: Callable[[], Callable[[list[str]], list[str]]], text: str = "text", most_chars: int | None = None) -> DataFrame:
     """Texts as a cleaner returns them, and whether it did. Where the cleaner fails or returns nothing the text stays.
     ``most_chars`` is for a model that takes only so many characters: it gets a longer text in parts of that size, and

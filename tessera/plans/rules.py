@@ -15,9 +15,9 @@ from tessera.operators import chunking, context, indexing, paging, relational
 from tessera.plans.chunks import SOURCE, _fixed_sql, _normalised
 from tessera.plans.registry import query
 from tessera.plans.search import CLEAN
-from tessera.session import scan
+from tessera.session import fresh_folder, scan
 from tessera.sources import files, markup, pages_text, store
-from tessera.sources.statements import StatementCatalog
+from tessera.sources.statements import StatementCatalog, acceptable
 
 NONE = "CAST(NULL AS VARCHAR)"
 TRIM = r"regexp_replace({}, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
@@ -393,6 +393,46 @@ def embedding_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, named(r)) for k, r in asked.items()], "asked string, profile string")
 
 
+@query("""SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'P' || c_nationkey WHEN 1 THEN 'P' || c_nationkey
+  WHEN 2 THEN CASE WHEN c_nationkey % 2 = 0 THEN 'P' || c_nationkey END WHEN 3 THEN (SELECT 'P' || min(n_nationkey) FROM nation WHERE n_regionkey = (SELECT n_regionkey FROM nation n WHERE n.n_nationkey = c_nationkey)) END AS profile FROM customer""")
+def profiles_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer asks for a profile of its nation: by name, by provider and model, for another input, by the provider
+    alone, by name and model at once (no answer), or for none that there is."""
+    n = F.col("n_nationkey")
+    inputs = F.when(n % 2 == 0, F.array(F.lit("TEXT"), F.lit("OCR"))).otherwise(F.array(F.lit("TEXT")))
+    profiles = scan(spark, sf_dir, "nation", "n_nationkey", "n_regionkey").select(n.alias("position"), _said("P", n).alias("profile"), _said("R", F.col("n_regionkey")).alias("provider"), _said("M", n).alias("model"), inputs.alias("inputs"))
+    nations = scan(spark, sf_dir, "nation", F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
+    k, own = F.col("c_custkey") % 6, F.col("c_nationkey")
+    asked = scan(spark, sf_dir, "customer", "c_custkey", "c_nationkey").join(nations, "c_nationkey").select(
+        "c_custkey", F.when(k.isin(0, 2, 4), _said("P", own)).when(k == 5, "none").alias("name"), F.when(k.isin(1, 3), _said("R", F.col("n_regionkey"))).alias("provider"),
+        F.when(k.isin(1, 4), _said("M", own)).alias("model"), F.when(k == 2, "OCR").alias("kind"),
+    )
+    return indexing.resolved(asked, profiles, "c_custkey")
+
+
+@query("SELECT c_custkey, c_custkey % 5 IN (0, 1) AS accepted FROM customer")
+def statements_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement for each customer: sound ones, blank ones, second statements and comments."""
+    k, name = F.col("c_custkey"), F.col("c_name")
+    said = F.element_at(F.array(_said("SELECT ", k), _said(" SELECT '", name, "'\n"), F.lit(" \n "), _said("SELECT ", k, "; DROP TABLE t"), _said("SELECT ", k, " -- ", name)), (k % 5 + 1).cast("int"))
+    return scan(spark, sf_dir, "customer", "c_custkey", "c_name").select("c_custkey", acceptable(said).alias("accepted"))
+
+
+@query("""WITH f AS (SELECT c_nationkey, sum(length(c_name) + 1)::BIGINT AS bytes FROM customer GROUP BY c_nationkey), m AS (SELECT avg(bytes) AS most FROM f)
+SELECT c_nationkey, bytes, CASE WHEN bytes <= floor(most) THEN 'TEXT' ELSE 'TOO_LARGE' END AS format FROM f, m""")
+def files_within_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text file for each nation's customers, of which those above the mean size are rejected unread."""
+    lines = scan(spark, sf_dir, "customer", "c_nationkey", F.col("c_name").alias("value"))
+    folder = fresh_folder(spark, "files")
+    lines.repartition("c_nationkey").sortWithinPartitions("c_nationkey").write.partitionBy("c_nationkey").text(folder)
+    sizes = lines.groupBy("c_nationkey").agg(F.sum(F.length("value") + 1).alias("n"))
+    most = sizes.agg(F.floor(F.avg("n")).alias("most")).first().most or 0
+    kept, rejected = files.read_files(spark, folder, int(most))
+    nation = F.regexp_extract("path", r"c_nationkey=(\d+)", 1).cast(lines.schema["c_nationkey"].dataType).alias("c_nationkey")
+    read = kept.select(nation, F.length("content").cast("long").alias("bytes"), "format")
+    return read.unionByName(rejected.select(nation, F.col("length").cast("long").alias("bytes"), F.col("code").alias("format")))
+
+
 # Names, answers and clamps
 
 

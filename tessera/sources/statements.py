@@ -7,7 +7,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _UNSAFE = re.compile(r";|--|/\*|\*/")
 
@@ -19,6 +20,11 @@ def checked(sql: str) -> str:
     return sql.strip()
 
 
+def acceptable(sql: Column) -> Column:
+    """``checked`` as a condition on a column of statements; null is not acceptable."""
+    return F.coalesce(~sql.rlike(r"^\s*\z") & ~sql.rlike(_UNSAFE.pattern), F.lit(False))
+
+
 @dataclass
 class StatementCatalog:
     """Statements by ``namespace.id``. Texts use ``:name`` markers, so values are never spliced in; a statement may
