@@ -17,9 +17,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.functions import text as tx
 from tessera.functions import vectors as vx
+from tessera.session import written
 
-#: Queries that are sent to tasks at a time: of 1024 numbers each, 8 MB.
-BLOCK = 1024
+#: Queries, and rows of the store, that a task compares at a time.
+BLOCK, STORE_BLOCK = 256, 1024
 
 
 def top_k(store: DataFrame, query: Sequence[float], k: int, where: Column | None = None, vector: str = "embedding", tie: Sequence[str] = ("vec_id",)) -> DataFrame:
@@ -34,53 +35,70 @@ def min_score(found: DataFrame, least: float | None) -> DataFrame:
     return found if least is None else found.where(F.col("score") >= least)
 
 
-def _finite(vectors: list) -> dict[int, list[int]]:
-    """Positions of the vectors without nulls, by length."""
-    out: dict[int, list[int]] = {}
-    for i, v in enumerate(vectors):
-        if v is not None and None not in v:
-            out.setdefault(len(v), []).append(i)
-    return out
-
-
 def top_k_each(store: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", tie: str = "vec_id", same: str | None = None, block: int = BLOCK) -> DataFrame:
     """The k nearest rows of each query: query_id, the tie column, distance, score and rank.
 
-    ``queries`` (query_id, query_vector and, if ``same`` is given, that column) is the stated set. It meets the store
-    in blocks of about ``block`` queries, the only thing that goes through the driver and to tasks; a pass over the
-    store per block keeps k hits of a query in each task, and only these are shuffled. With ``same`` a row meets only
-    queries with an equal value in that column. Null vectors, those with nulls and those of another length take no part.
+    ``queries`` (query_id, query_vector and, if ``same`` is given, that column) meet the store in blocks, by a join of
+    blocks: query blocks are rows of up to ``block`` queries, written once; store blocks, made where their rows
+    are, of up to ``STORE_BLOCK``. Each pair of blocks is a task's product of matrices, of which k hits of a query are kept
+    before anything is shuffled. Nothing of it passes the driver. With ``same`` a row meets only queries
+    with an equal value in that column. Null vectors, those with nulls and those of another length take no part.
     """
-    asked = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("v"), (F.col(same) if same else F.lit(0)).alias("same"))
-    rows = store.select(tie, F.col(vector).cast("array<double>").alias("v"), (F.col(same) if same else F.lit(0)).alias("same"))
+    own = F.col(same).cast("string") if same else F.lit("")
+    whole = lambda c: c.isNotNull() & ~F.exists(c, lambda x: x.isNull())
+    asked = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("v"), own.alias("same")).where(whole(F.col("v")) & F.col("same").isNotNull())
+    rows = store.select(tie, F.col(vector).cast("array<double>").alias("v"), own.alias("same")).where(whole(F.col("v")) & F.col("same").isNotNull())
+    asked_blocks = written(_blocks(asked, "query_id", block), "queries").withColumnsRenamed({"ids": "q_ids", "raw": "q_raw"})
+    store_blocks = _blocks(rows, tie, STORE_BLOCK)
     hits = T.StructType([asked.schema["query_id"], rows.schema[tie], T.StructField("distance", T.DoubleType())])
-    blocks, found = max(1, -(-asked.count() // block)), None
-    for n in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).collect()
-        sent = store.sparkSession.sparkContext.broadcast([(part[i].query_id, part[i].same, np.array(part[i].v)) for own in _finite([r.v for r in part]).values() for i in own])
-
-        def nearest(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            best: dict[int, list[tuple]] = {}
-            for batch in batches:
-                ties, vectors, kinds = (c.to_pylist() for c in batch.columns)
-                kinds = np.array(kinds, object)
-                for length, own in _finite(vectors).items():
-                    matrix, own = np.array([vectors[i] for i in own]), np.array(own)
-                    for q, (_, kind, query) in enumerate(sent.value):
-                        at = np.flatnonzero(kinds[own] == kind) if len(query) == length else []
-                        if len(at):
-                            d = np.sqrt(((matrix[at] - query) ** 2).sum(axis=1))
-                            near = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
-                            best[q] = sorted(best.get(q, []) + [(d[i], ties[own[at[i]]]) for i in near.tolist()])[:k]
-            flat = [{"query_id": sent.value[q][0], tie: t, "distance": float(d)} for q, held in best.items() for d, t in held]
-            yield pa.RecordBatch.from_pylist(flat, schema=to_arrow_schema(hits))
-
-        some = rows.mapInArrow(nearest, hits)
-        found = some if found is None else found.unionByName(some)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(len(batch)):
+                size, q_ids, q_raw, ids, raw = (batch.column(i)[n] for i in range(5))
+                asking, found = q_ids.values, ids.values
+                q, m = (np.frombuffer(x.as_buffer(), float).reshape(len(y), size.as_py()) for x, y in ((q_raw, asking), (raw, found)))
+                at, near, far = [], [], []
+                for i, one in enumerate(q):
+                    d = np.sqrt(((m - one) ** 2).sum(axis=1))
+                    kept = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
+                    at += [i] * len(kept)
+                    near += kept.tolist()
+                    far.append(d[kept])
+                arrays = [asking.take(pa.array(at, pa.int64())), found.take(pa.array(near, pa.int64())), pa.array(np.concatenate(far) if far else [], pa.float64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=hits.fieldNames())
+
+    met = store_blocks.join(asked_blocks, ["size", "same"]).select("size", "q_ids", "q_raw", "ids", "raw")
+    found = met.mapInArrow(nearest, hits)
     w = Window.partitionBy("query_id").orderBy("distance", tie)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("score", vx.score_of(F.col("distance")))
 
 
+def _blocks(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """Rows (key, v, same) as blocks of up to ``most`` vectors of one length and ``same``: size, same, ids, raw, gathered
+    where they are."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[list, list]] = {}
+        for batch in batches:
+            for i, v, same in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                at = (len(v), same)
+                ids, raw = held.setdefault(at, ([], []))
+                ids.append(i.as_py())
+                raw.append(np.asarray(v.values).tobytes())
+                if len(ids) == most:
+                    yield block(at, *held.pop(at))
+        for at, x in held.items():
+            yield block(at, *x)
+
+    def block(at: tuple, ids: list, raw: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.string()), pa.array([ids], id_type), pa.array([b"".join(raw)], pa.binary())], names=["size", "same", "ids", "raw"])
+
+    id_type = to_arrow_schema(T.StructType([T.StructField("ids", T.ArrayType(rows.schema[key].dataType))])).field(0).type
+    return rows.select(key, "v", "same").mapInArrow(run, f"size int, same string, ids array<{kind}>, raw binary")
+
+
 def lexical_score(text_tokens: Column, query_tokens: Column, require_all: bool = False) -> Column:
     """Share of the query's distinct terms that a text has; with ``require_all`` 0 unless it has all."""
     hit = F.size(F.array_intersect(text_tokens, query_tokens)) / F.greatest(F.size(query_tokens), F.lit(1))

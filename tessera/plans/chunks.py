@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.operators import chunking, context, indexing, paging
 from tessera.plans.registry import query
-from tessera.session import scan, written
+from tessera.session import fresh_folder, scan, written
 from tessera.sources import markup, pages_text, store
+from tessera.sources.changes import ChangeStore
 
 SOURCE = r"regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
 
@@ -169,6 +170,28 @@ def upsert_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(store.upsert(*_split(spark, sf_dir)))
 
 
+@query("""WITH d AS (SELECT source AS object_type, doc_id % 40 AS object_id, doc_id AS chunk_index, length(text)::BIGINT AS chars, lang FROM documents),
+b AS (SELECT object_type, object_id, chunk_index, CASE WHEN chunk_index % 3 = 0 THEN chars + 1 ELSE chars END AS chars FROM d WHERE chunk_index % 2 = 0 OR chunk_index % 3 = 0),
+r AS (SELECT object_type, object_id, chunk_index, -chars AS chars FROM d WHERE lang = 'en' AND object_id < 4),
+c AS (SELECT * FROM b WHERE chunk_index % 7 > 0 AND object_id % 5 > 0 AND (object_type, object_id) NOT IN (SELECT object_type, object_id FROM r) UNION ALL SELECT * FROM r)
+SELECT * FROM c UNION ALL SELECT object_type, object_id, chunk_index, 0::BIGINT FROM d WHERE (object_type, object_id, chunk_index) NOT IN (SELECT object_type, object_id, chunk_index FROM c)""")
+def store_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of changes over six commits: a base, upserts, deleted keys and scopes, replaced scopes, a new base, and
+    inserts of what is missing."""
+    chars = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    d = scan(spark, sf_dir, "documents", F.col("source").alias("object_type"), (F.col("doc_id") % 40).alias("object_id"), F.col("doc_id").alias("chunk_index"), chars.alias("chars"), "lang")
+    rows, key = d.drop("lang"), ["object_type", "object_id", "chunk_index"]
+    kept = ChangeStore(spark, fresh_folder(spark, "changes"), key, key[:2])
+    kept.create(rows.where("chunk_index % 2 = 0"))
+    kept.upsert(rows.where("chunk_index % 3 = 0").withColumn("chars", F.col("chars") + 1))
+    kept.delete_keys(rows.where("chunk_index % 7 = 0").select(*key))
+    kept.delete_scopes(rows.where("object_id % 5 = 0").select(*key[:2]))
+    kept.replace_scopes(d.where("lang = 'en' and object_id < 4").withColumn("chars", -F.col("chars")).drop("lang"))
+    kept.compact()
+    kept.insert_missing(rows.withColumn("chars", F.lit(0).cast("long")))
+    return kept.read()
+
+
 @query(f"WITH {SPLIT} SELECT {SHOWN} FROM n WHERE chunk_index NOT IN (SELECT chunk_index FROM s)")
 def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(store.insert_missing(*_split(spark, sf_dir)))
