@@ -6,6 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.session import fresh_folder
 
 DEFAULT_LIMIT, MAX_LIMIT = 20, 200
 
@@ -56,6 +59,33 @@ def page_with_more(df: DataFrame, order: list[Column], request: PageRequest) ->
     return numbered.where(F.col("n") <= limit).drop("n")
 
 
+class PageIndex:
+    """Rows in order, written in ranges, with the number of rows of each: a deep page reads only the ranges that it lies
+    in, found by adding up counts.
+
+    The order must end in a unique key; rows of equal keys are in one range. The driver holds one number a range, which is
+    a stated count, not one that follows the rows. What changes after the index was built isn't in its pages.
+    """
+
+    def __init__(self, df: DataFrame, order: list[Column], ranges: int = 64):
+        self.order = order
+        path = fresh_folder(df.sparkSession, "pages")
+        df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()).write.partitionBy("_range").parquet(path)
+        self.rows = df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField("_range", T.IntegerType())])).parquet(path)
+        counts = self.rows.groupBy("_range").count().collect()  # one row a range
+        self.ends, self.total = [], 0
+        for r in sorted(counts, key=lambda r: r["_range"]):
+            self.total += r["count"]
+            self.ends.append((r["_range"], self.total - r["count"], self.total))
+
+    def page(self, request: PageRequest) -> DataFrame:
+        """The page's rows, by reading the ranges that meet it."""
+        offset, limit = request.clamped
+        met = [(n, low) for n, low, high in self.ends if low < offset + limit and high > offset]
+        rows = self.rows.where(F.col("_range").isin([n for n, _ in met])).drop("_range")
+        return rows.orderBy(*self.order).offset(offset - met[0][1]).limit(limit) if met else rows
+
+
 def after_token(df: DataFrame, key: str, token: str | None, limit: int, prefix: str = "") -> DataFrame:
     """The next keys of a listing in order, from behind a continuation token."""
     rows = df.where(F.col(key).startswith(prefix)) if prefix else df

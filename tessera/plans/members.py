@@ -148,6 +148,14 @@ def page_with_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paging.page_with_total(rows, order, paging.PageRequest(40, 20))
 
 
+@query("""SELECT o_orderkey, o_totalprice, total FROM (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS n, count(*) OVER () AS total FROM orders)
+WHERE n > total - total // 3 AND n <= total - total // 3 + 120""")
+def deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """120 orders from behind two thirds of all, by price."""
+    index = paging.PageIndex(scan(spark, sf_dir, "orders", "o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc_nulls_last(), F.asc("o_orderkey")])
+    return index.page(paging.PageRequest(index.total - index.total // 3, 120)).withColumn("total", F.lit(index.total).cast("long"))
+
+
 @query("""WITH t AS (SELECT s_suppkey, s_name, row_number() OVER (ORDER BY s_name, s_suppkey) AS n, count(*) OVER () AS c FROM supplier)
 SELECT s_suppkey, s_name, c > 10 AS has_more FROM t WHERE n <= 10""")
 def page_with_more(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -231,6 +231,19 @@ def test_pages_text(spark):
     assert pages_text.captions(images, boxes).first().caption == "near"
 
 
+def test_a_deep_page_reads_the_ranges_it_lies_in(spark):
+    rows = [(i, random.Random(i).choice([None, 1, 2, 2, 9])) for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, v int").repartition(3)
+    order = [F.col("v").desc_nulls_last(), F.asc("k")]
+    index = paging.PageIndex(df, order, 16)
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    for offset in (0, 7, 123, 480, 499, 500, 10_000):
+        assert [tuple(r) for r in index.page(paging.PageRequest(offset, 30)).collect()] == want[offset : offset + 30]
+    deep = index.page(paging.PageRequest(400, 10))
+    assert deep.inputFiles() and index.total == 500 and deep._jdf.queryExecution().executedPlan().toString().count("PartitionFilters: [_range") == 1
+    assert paging.PageIndex(df.limit(0), order).page(paging.PageRequest(0, 5)).count() == 0
+
+
 def test_words_belong_to_the_first_line_that_they_overlap(spark):
     schema = "doc_id int, i int, text string, confidence double, x int, y int, width int, height int"
     words = [(1, 0, "A", 90.0, 0, 0, 9, 20), (1, 1, "B", 0.8, 40, 15, 9, 20), (1, 2, "C", -1.0, 60, 16, 9, 6), (1, 3, "N", 0.3, None, None, None, None)]
