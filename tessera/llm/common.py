@@ -66,13 +66,13 @@ def _shuffles_go(spark: SparkSession):
         spark.conf.set(SHUFFLES_GO, was)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back: later steps neither recompute it nor
-    depend on an executor's disk, and the shuffle files that it took go at once."""
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Writes ``df`` as Parquet to the shared folder, in folders ``by`` these columns, and reads it back: later steps
+    neither recompute it nor depend on an executor's disk, and the shuffle files that it took go at once."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     with _shuffles_go(spark):
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -90,8 +90,8 @@ class Scratch:
     def __init__(self) -> None:
         self.tables: list[DataFrame] = []
 
-    def stored(self, df: DataFrame, name: str) -> DataFrame:
-        return self.own(stored(df, name))
+    def stored(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        return self.own(stored(df, name, *by))
 
     def own(self, table: DataFrame) -> DataFrame:
         """A stored table that is to go with the others."""

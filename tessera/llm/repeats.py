@@ -25,6 +25,7 @@ empty table gives an empty table.
 from __future__ import annotations
 
 import bisect
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,6 +43,8 @@ GRAM, POSITION_BITS = 8, 22
 #: Distinct phrases of a key that one task orders together, in about 50 MB and three seconds; keys with more are
 #: resolved by hashes.
 KINDS = 1 << 16
+#: Passes over the phrases' keys, so that a step's shuffle takes that share of the disk.
+PASSES = 4
 #: Phrases, of whole keys, that a task orders at a time.
 ORDERED = 8192
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -262,15 +265,22 @@ def repeated_spans(docs: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     frequent key's rows can be split."""
     widest, like = lengths[-1], f"like_{lengths[-1]}"
     scratch = Scratch()
-    parsed = scratch.stored(parse(docs, lengths), "phrases")
-    twice = scratch.stored(parsed.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"), "keys")
-    seen = scratch.stored(parsed.join(twice, "key", "left_semi"), "repeated")
-    scratch.discard(parsed, twice)
+    # keys are met in passes, each with shuffles and tables of its own that go before the next begins; joins with repeated
+    # keys are merges at every size, as their number has no bound
+    part = F.pmod(F.shiftrightunsigned("key", 32), F.lit(PASSES)).cast("int")
+    parsed, met = scratch.stored(parse(docs, lengths).withColumn("part", part), "phrases", "part"), []
+    for p in range(PASSES):
+        own = parsed.where(F.col("part") == p).drop("part")
+        twice = scratch.stored(own.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"), "keys")
+        met.append(scratch.stored(own.join(twice.hint("merge"), "key", "left_semi"), "repeated"))
+        scratch.discard(twice)
+    scratch.discard(parsed)
+    seen = functools.reduce(DataFrame.unionByName, met)
     place = F.min(F.struct("th", "id", "low", "high", "at", "end", *(f"like_{m}" for m in lengths[:-1]))).alias("p")
     kinds = scratch.stored(seen.groupBy("key", like).agg(F.count("*").alias(f"n_{widest}"), place).select("key", like, "p.*", f"n_{widest}"), "kinds")
     for m in lengths[:-1]:
         times = scratch.stored(kinds.groupBy("key", f"like_{m}").agg(F.sum(f"n_{widest}").alias(f"n_{m}")), f"times-{m}")
-        wider = scratch.stored(kinds.join(times, ["key", f"like_{m}"]), f"kinds-{m}")
+        wider = scratch.stored(kinds.join(times.hint("merge"), ["key", f"like_{m}"]), f"kinds-{m}")
         scratch.discard(kinds, times)
         kinds = wider
     edge = F.lit(False)
@@ -279,10 +289,14 @@ def repeated_spans(docs: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     groups = scratch.stored(kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.max(edge).alias("open")).where("open and kinds > 1").select("key", "kinds"), "groups")
     wide = kinds.where(" or ".join(f"n_{m} > 1" for m in lengths)).select("key", like, *(f"n_{m}" for m in lengths))
     spans = [F.when((F.col(f"n_{m}") > 1) & (F.col("end") - F.col("low") >= m), F.struct(F.lit(m).alias("m"), F.col("low").alias("start"), F.least(F.col("high") + m, "end").alias("end"))) for m in lengths]
-    whole = scratch.stored(seen.join(wide, ["key", like]).select("id", "th", F.inline(F.array_compact(F.array(*spans)))), "whole")
-    scratch.discard(seen)
-    rest = edges(kinds.join(groups, "key"), docs, lengths, scratch)
-    return scratch.result(whole.union(rest).groupBy("id", "th").agg(F.collect_set(F.struct("m", "start", "end")).alias("spans")), "spans")
+    found = []
+    for p, own in enumerate(met):
+        whole = own.join(wide.where(part == p).hint("merge"), ["key", like]).select("id", "th", F.inline(F.array_compact(F.array(*spans))))
+        found.append(scratch.stored(whole.groupBy("id", "th").agg(F.collect_set(F.struct("m", "start", "end")).alias("spans")), "whole"))
+        scratch.discard(own)
+    rest = edges(kinds.join(groups, "key"), docs, lengths, scratch).select("id", "th", F.array(F.struct("m", "start", "end")).alias("spans"))
+    every = functools.reduce(DataFrame.unionByName, [*found, rest])
+    return scratch.result(every.groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
 
 
 def merged(spans: list[dict] | None, m: int) -> list[tuple[int, int]]:
