@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions import vectors as vx
-from tessera.operators import filters, lexical, retrieval
+from tessera.operators import filters, lexical, retrieval, trigrams
 from tessera.plans.registry import query
 from tessera.session import scan, written
 
@@ -106,6 +106,20 @@ def lexical_overlap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.lexical_top_k(scan(spark, sf_dir, "documents", "doc_id", "text"), ASKED, 25).select("doc_id", F.round("lexical", 6).alias("lexical"))
 
 
+PATTERNS = ("passage", "the _ther", "of%th_%license", "ab", "no such words")
+
+
+@query(" UNION ALL ".join(f"SELECT '{p}' AS pattern, doc_id FROM documents WHERE lower(text) LIKE '%{p}%'" for p in PATTERNS))
+def contains_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain each pattern, by one index of grams."""
+    index = trigrams.build(scan(spark, sf_dir, "documents", "doc_id", "text"))
+    found = None
+    for p in PATTERNS:
+        part = trigrams.contains(index, p).select(F.lit(p).alias("pattern"), "doc_id")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def _text_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = scan(spark, sf_dir, "documents", "doc_id", "text", "lang")
     return docs.join(scan(spark, sf_dir, "embeddings", F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
