@@ -35,6 +35,8 @@ SEGMENTS = (22, 21, 21)
 WIDE, MANY = (32, 32), 1 << 26
 #: Table rows of a bucket that one task holds; larger buckets are dealt as blocks.
 BLOCK = 4096
+#: Ids of documents that stay, up to which they are sent to all tasks (16 MB).
+SENT_IDS = 1 << 20
 #: Pairs compared at a time.
 PAIRS = 2_000_000
 #: Odd multipliers that derive further hash words from a shingle's hash.
@@ -208,7 +210,9 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     stay = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("stays"))
     counted = stored(stay.groupBy("stays").agg(F.count("*").alias("n")), "stays")
     discard(groups)
-    rows = lambda which: df.join(counted.where(which).select("stays"), df[id_col].eqNullSafe(counted["stays"]), "left_semi")
+    # up to a bound the ids are sent to the tasks, so that texts stay where they are
+    ids = F.broadcast(counted) if counted.count() <= SENT_IDS else counted.hint("merge")
+    rows = lambda which: df.join(ids.where(which).select("stays"), df[id_col].eqNullSafe(ids["stays"]), "left_semi")
     if counted.where("n > 1").isEmpty():
         return rows("n = 1")
     return rows("n = 1").unionByName(rows("n > 1").dropDuplicates([id_col, text_col]))
