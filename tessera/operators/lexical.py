@@ -1,8 +1,9 @@
 """Lexical rank by a positional inverted index: cover density, with early stop by block bounds.
 
-The index has a row for each term and block of documents: how often the term stands in a document of the block at most,
-and the documents with its positions. It is written in order of terms, so a search reads the row groups of its terms,
-and of those first the heads only (term, block, most); texts are never read again.
+A block is documents that stood together in a task. The index has a row for each term and block: how often the term stands
+in a document of the block at most, and the block's postings as flat arrays: ids, the rows' distances from the block's
+first row, which is its number, and how many positions each has, and the positions. Its files are in order of terms, so a
+search reads the row groups of its terms, and of those first the heads only (term, block, most); texts are never read again.
 
 A document's rank, to nine places, so that ties don't rest on the order of sums, is the sum over its covers, the stretches that hold all of a query's terms and no shorter one that does:
 ``WEIGHT`` / (1 + the number of words in the cover that are none of the query's). A document without all terms has no
@@ -11,6 +12,8 @@ rank. (Clarke, Cormack, Tudhope: Relevance ranking for one to three term queries
 A term of m stands in at most m covers at each of its places, so a document has at most m times as many covers as its
 rarest term has places; with each term's most this bounds all documents of a block. A search scores each query's blocks of
 the highest bounds first, and then only those blocks whose bound reaches the k-th best rank found: results are exact.
+Queries of the same terms are scored once. A block's postings of all wanted terms and the queries that want it meet in one
+task, so postings are moved once a search, not once a query, and of each query and block only k hits go on.
 
 Null texts have no terms; a query without terms finds nothing. A document in several rows has one rank for each.
 """
@@ -21,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,45 +33,66 @@ from tessera.session import written
 
 #: What a cover without other words counts.
 WEIGHT = 0.1
-#: Documents of a block, on average; blocks that are scored for each query before bounds are applied.
-BLOCK_DOCS, FIRST_BLOCKS = 512, 2
+#: Documents of a block, and words unless it is one document; blocks that are scored for each query before bounds are applied.
+BLOCK_DOCS, BLOCK_WORDS, FIRST_BLOCKS = 512, 1 << 20, 2
 #: Distinct terms of all queries up to which they are given to the scan as a list.
 LISTED_TERMS = 1000
 
 
 def build(docs: DataFrame, doc: str = "doc_id", text: str = "text", keywords: str | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """The index of documents: ``block``, ``term``, ``most``, ``docs`` (id, row, positions), in order of term and block.
+    """The index of documents: ``block``, ``term``, ``most``, ``ids``, ``at``, ``counts``, ``positions``, in order of term
+    and block in each task.
 
-    ``keywords``: a column whose words stand behind the text's. A document's positions are gathered where its text is; what
-    is moved is one row for each of its distinct terms.
+    ``keywords``: a column whose words stand behind the text's. A block's postings are gathered and ordered where its texts
+    are; nothing is moved.
     """
     said = F.concat_ws(" ", F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(keywords), F.lit("")) if keywords else F.lit(""))
-    rows = docs.select(F.col(doc).alias("id"), tx.search_words(said).alias("words"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    rows = docs.select(F.col(doc).alias("id"), F.monotonically_increasing_id().alias("row"), tx.search_words(said).alias("words"))
     kind = rows.schema["id"].dataType.simpleString()
 
-    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, words = [], 0
         for batch in batches:
-            for i in range(0, len(batch), 64):
-                part = batch.slice(i, 64)
-                words = part.column(1)
-                flat = words.flatten().dictionary_encode()
-                codes, bounds = np.asarray(flat.indices), np.asarray(words.offsets) - words.offsets[0].as_py()
-                counts = np.diff(bounds)
-                of = np.repeat(np.arange(len(part)), counts)
-                place = np.arange(len(codes)) - np.repeat(bounds[:-1], counts)
-                order = np.lexsort((place, codes, of))
-                of, codes, place = of[order], codes[order], place[order]
-                new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (codes[1:] != codes[:-1])][: len(of)])
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[new, len(of)].astype(np.int32)), pa.array(place.astype(np.int32)))
-                at = pa.array(of[new])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(2).take(at), flat.dictionary.take(pa.array(codes[new])).cast(pa.string()), lists], names=["id", "row", "term", "positions"])
-
-    each = rows.mapInArrow(postings, f"id {kind}, row long, term string, positions array<int>")
-    blocks = F.greatest(F.lit(1), F.lit(-(-docs.count() // block_docs)))
-    each = each.withColumn("block", F.pmod(F.xxhash64("row"), blocks).cast("int"))
-    grouped = each.groupBy("term", "block").agg(F.max(F.size("positions")).alias("most"), F.collect_list(F.struct("id", "row", "positions")).alias("docs"))
-    return grouped.repartitionByRange("term", "block").sortWithinPartitions("term", "block")
+            sizes = np.diff(np.asarray(batch.column(2).offsets))
+            begin = 0
+            for i, size in enumerate(sizes.tolist()):
+                if (n := sum(map(len, held)) + i - begin) and (n == block_docs or words + size > BLOCK_WORDS):
+                    yield postings([*held, batch.slice(begin, i - begin)])
+                    held, words, begin = [], 0, i
+                words += size
+            held.append(batch.slice(begin))
+        if sum(map(len, held)):
+            yield postings(held)
+
+    index = rows.mapInArrow(run, f"block long, term string, most int, ids array<{kind}>, at array<int>, counts array<int>, positions array<int>")
+    # a search reads of each file the pages of its terms, so files in order do, and nothing is moved
+    return index.sortWithinPartitions("term", "block")
+
+
+def _arrays(starts: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), values)
+
+
+def postings(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The rows of the index that a block of documents (id, row, words) gives."""
+    ids, row, words = (pa.concat_arrays([p.column(c) for p in parts]) for c in range(3))
+    flat = words.flatten().dictionary_encode()
+    codes, counts = np.asarray(flat.indices), np.diff(np.asarray(words.offsets))
+    of = np.repeat(np.arange(len(counts)), counts)
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(counts) - counts, counts)
+    order = np.argsort(codes, kind="stable")  # words stand in order of document and place
+    of, codes, place = of[order], codes[order], place[order]
+    ends = lambda new, n: np.r_[np.flatnonzero(new), n]
+    begins = np.r_[True, (codes[1:] != codes[:-1]) | (of[1:] != of[:-1])][: len(codes)]
+    posting = ends(begins, len(codes))  # a document's places of a term
+    doc, often = of[posting[:-1]], np.diff(posting)
+    term = ends(np.r_[True, codes[posting[1:-1]] != codes[posting[:-2]]][: len(doc)], len(doc))
+    most = np.maximum.reduceat(often, term[:-1]) if len(doc) else often
+    block = row[0].as_py() if len(row) else 0
+    names = flat.dictionary.take(pa.array(codes[posting[term[:-1]]])).cast(pa.string())
+    at = (np.asarray(row)[doc] - block).astype(np.int32)
+    columns = [pa.array(np.full(len(names), block, np.int64)), names, pa.array(most.astype(np.int32)), _arrays(term, ids.take(pa.array(doc))), _arrays(term, pa.array(at)), _arrays(term, pa.array(often.astype(np.int32))), _arrays(posting[term], pa.array(place.astype(np.int32)))]
+    return pa.RecordBatch.from_arrays(columns, names=["block", "term", "most", "ids", "at", "counts", "positions"])
 
 
 def covers(pair: np.ndarray, term: np.ndarray, place: np.ndarray, terms: np.ndarray, pairs: int) -> np.ndarray:
@@ -92,62 +117,101 @@ def covers(pair: np.ndarray, term: np.ndarray, place: np.ndarray, terms: np.ndar
     return rank.round(9)
 
 
-def _scored(wanted: DataFrame, index: DataFrame, kind: str, asked: str) -> DataFrame:
-    """query_id, id, row, rank of the documents that have all terms, in the wanted (query_id, term, number, terms, block)."""
-    met = wanted.join(index.select("term", "block", "docs"), ["term", "block"]).select("query_id", "number", "terms", F.explode("docs").alias("d"))
-    both = met.groupBy("query_id", "d.row").agg(F.first("d.id").alias("id"), F.first("terms").alias("terms"), F.collect_list(F.struct("number", "d.positions")).alias("found")).where(F.size("found") == F.col("terms"))
+def _scored(wanted: DataFrame, index: DataFrame, k: int | None = None) -> DataFrame:
+    """asked, id, row, rank of the documents that have all terms, the ``k`` best of each asked and block. ``wanted``: asked,
+    block, t, the distinct terms; a block's postings and those that ask for it meet in a task."""
+    kind = index.schema["ids"].dataType.elementType.simpleString()
+    asks = wanted.select("block", F.lit(1).alias("kind"), "asked", "t", *[F.lit(None).cast(index.schema[c].dataType).alias(c) for c in ("term", "ids", "at", "counts", "positions")])
+    terms = index.join(wanted.select("block", F.explode("t").alias("term")).distinct(), ["block", "term"], "left_semi")
+    given = terms.select("block", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("asked"), F.lit(None).cast("array<string>").alias("t"), "term", "ids", "at", "counts", "positions")
+
+    def of_one(held: dict, terms: list[str]) -> tuple | None:
+        """Numbers in the block of the documents that have all terms, with their ranks."""
+        if any(t not in held for t in terms):
+            return None
+        docs = held[terms[0]][1]
+        for t in terms[1:]:
+            docs = np.intersect1d(docs, held[t][1], assume_unique=True)
+        if not len(docs):
+            return None
+        pair, term, place = [], [], []
+        for n, t in enumerate(terms):
+            _, at, counts, positions = held[t]
+            which = np.isin(at, docs, assume_unique=True)
+            every = np.repeat(which, counts)
+            pair.append(np.repeat(np.searchsorted(docs, at[which]), counts[which]))
+            place.append(positions[every])
+            term.append(np.full(len(place[-1]), n))
+        pair, term, place = map(np.concatenate, (pair, term, place))
+        order = np.lexsort((place, pair))
+        _, at, _, _ = held[terms[0]]
+        return np.searchsorted(at, docs), docs, covers(pair[order], term[order], place[order], np.full(len(docs), len(terms)), len(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, {}
         for batch in batches:
-            for i in range(0, len(batch), 4096):
-                part = batch.slice(i, 4096)
-                found, n = part.column(3), len(part)
-                lists = found.flatten()
-                number, positions = np.asarray(lists.field(0)), lists.field(1)
-                owner = np.repeat(np.arange(n), np.diff(np.asarray(found.offsets)))
-                counts = np.diff(np.asarray(positions.offsets))
-                place = np.asarray(positions.flatten())
-                pair, term = np.repeat(owner, counts), np.repeat(number, counts)
-                order = np.lexsort((place, pair))
-                rank = covers(pair[order], term[order], place[order], np.asarray(part.column(4)), n)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(1), pa.array(rank)], names=["query_id", "id", "row", "rank"])
-
-    return both.select("query_id", "row", "id", "found", "terms").mapInArrow(run, f"query_id {asked}, id {kind}, row long, rank double")
+            out, ids = [], []
+            listed = {c: batch.column(batch.schema.get_field_index(c)) for c in ("ids", "at", "counts", "positions")}
+            for i, (b, is_query, asked, terms, term) in enumerate(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("block", "kind", "asked", "t", "term")), strict=True)):
+                if b != block:
+                    block, held = b, {}
+                if not is_query:
+                    held[term] = (listed["ids"][i].values, *(np.asarray(listed[c][i].values) for c in ("at", "counts", "positions")))
+                elif (got := of_one(held, terms)) is not None:
+                    at, docs, rank = got
+                    own = held[terms[0]][0].take(pa.array(at))
+                    if k is not None and len(rank) > k:  # all that are as good as the k-th go on, as ids decide
+                        best = np.flatnonzero(rank >= np.partition(rank, len(rank) - k)[len(rank) - k])
+                        own, docs, rank = own.take(pa.array(best)), docs[best], rank[best]
+                        if len(rank) > k:
+                            first = pc.sort_indices(pa.table({"r": rank, "i": own, "d": docs}), [("r", "descending"), ("i", "ascending"), ("d", "ascending")], null_placement="at_start")[:k]
+                            own, docs, rank = own.take(first), docs[np.asarray(first)], rank[np.asarray(first)]
+                    ids.append(own)
+                    out.append((np.full(len(rank), asked), docs.astype(np.int64) + block, rank))
+            if out:
+                asked, row, rank = (np.concatenate(c) for c in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(asked), pa.concat_arrays(ids), pa.array(row), pa.array(rank)], names=["asked", "id", "row", "rank"])
+
+    met = given.unionByName(asks).repartition("block").sortWithinPartitions("block", "kind")
+    return met.mapInArrow(run, f"asked long, id {kind}, row long, rank double")
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, first_blocks: int = FIRST_BLOCKS, seen: dict | None = None) -> DataFrame:
     """``query_id``, ``place`` (from 1), ``id``, ``rank``: the k documents of the highest rank for each query, ties to the
     smaller id. ``queries``: query_id, query; ``index``: as ``build`` makes it, read from where it was written.
     ``seen``, if given, gets how many blocks there were, and how many were scored."""
-    asked = queries.select("query_id", tx.search_tokens(F.col("query")).alias("t")).where(F.size("t") > 0)
-    terms = written(asked.select("query_id", F.size("t").alias("terms"), F.posexplode("t").alias("number", "term")), "terms")
-    some = [r.term for r in terms.select("term").distinct().limit(LISTED_TERMS + 1).collect()]
-    own = index.where(F.col("term").isin(some)) if len(some) <= LISTED_TERMS else index
+    own_terms = queries.select("query_id", F.array_sort(tx.search_tokens(F.col("query"))).alias("t")).where(F.size("t") > 0)
+    own_terms = written(own_terms, "queries")
+    asked = written(own_terms.select("t").distinct().withColumn("asked", F.monotonically_increasing_id()), "asked")
+    words = written(asked.select(F.explode("t").alias("term")).distinct(), "words")
+    some = [r.term for r in words.limit(LISTED_TERMS + 1).collect()]
+    own = index.where(F.col("term").isin(some)) if len(some) <= LISTED_TERMS else index.join(words, "term", "left_semi")
+    terms = asked.select("asked", F.size("t").alias("terms"), F.explode("t").alias("term"))
     heads = own.select("term", "block", "most").join(terms, "term")
     bound = WEIGHT * F.least(F.min("most") * F.first("terms"), F.sum("most"))
-    bounds = heads.groupBy("query_id", "block").agg(F.count("*").alias("n"), F.first("terms").alias("m"), bound.alias("bound")).where("n = m").select("query_id", "block", "bound")
-    by_bound = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
+    bounds = heads.groupBy("asked", "block").agg(F.count("*").alias("n"), F.first("terms").alias("m"), bound.alias("bound")).where("n = m").select("asked", "block", "bound")
+    by_bound = Window.partitionBy("asked").orderBy(F.desc("bound"), "block")
     ordered = written(bounds.withColumn("turn", F.row_number().over(by_bound)), "bounds")
-    kind, id_kind = queries.schema["query_id"].dataType.simpleString(), index.schema["docs"].dataType.elementType["id"].dataType.simpleString()
-    blocks = lambda which: which.select("query_id", "block").join(terms, "query_id")
-    best = Window.partitionBy("query_id").orderBy(F.desc("rank"), "id", "row")
+    blocks = lambda which: which.select("asked", "block").join(asked, "asked")
+    best = Window.partitionBy("asked").orderBy(F.desc("rank"), "id", "row")
     top = lambda found: found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
-    first = written(top(_scored(blocks(ordered.where(F.col("turn") <= first_blocks)), own, id_kind, kind)), "first")
-    kth = first.where(F.col("place") == k).select("query_id", F.col("rank").alias("kth"))
-    left = ordered.where(F.col("turn") > first_blocks).join(kth, "query_id", "left").where("kth is null or bound >= kth - 1e-9")
+    first = written(top(_scored(blocks(ordered.where(F.col("turn") <= first_blocks)), own, k)), "first")
+    kth = first.where(F.col("place") == k).select("asked", F.col("rank").alias("kth"))
+    left = ordered.where(F.col("turn") > first_blocks).join(kth, "asked", "left").where("kth is null or bound >= kth - 1e-9")
     if seen is not None:
         seen.update(blocks=ordered.count(), scored=ordered.where(F.col("turn") <= first_blocks).count() + left.count())
-    more = _scored(blocks(left), own, id_kind, kind)
-    return top(first.drop("place").unionByName(more)).select("query_id", "place", "id", "rank")
+    more = _scored(blocks(written(left.select("asked", "block"), "left")), own, k)
+    found = top(first.drop("place").unionByName(more)).select("asked", "place", "id", "rank")
+    return own_terms.join(asked, "t").select("query_id", "asked").join(found, "asked").select("query_id", "place", "id", "rank")
 
 
 def ranks(index: DataFrame, query: str) -> DataFrame:
     """``id``, ``rank`` of all documents that have a rank for the query, as hybrid search weighs them."""
     spark = index.sparkSession
     tokens = spark.range(1).select(tx.search_tokens(F.lit(query)).alias("t")).first().t
-    wanted = index.where(F.col("term").isin(tokens)).select("term", "block").join(F.broadcast(spark.createDataFrame([(0, t, n, len(tokens)) for n, t in enumerate(tokens)], "query_id int, term string, number int, terms int")), "term")
-    kind = index.schema["docs"].dataType.elementType["id"].dataType.simpleString()
-    return _scored(wanted, index.where(F.col("term").isin(tokens)), kind, "int").select("id", "rank")
+    own = index.where(F.col("term").isin(tokens))
+    wanted = own.select("block").distinct().select(F.lit(0).cast("long").alias("asked"), "block", F.array(*map(F.lit, tokens)).cast("array<string>").alias("t"))
+    return _scored(wanted, own).select("id", "rank")
 
 
 def hybrid_top_k(store: DataFrame, index: DataFrame, query: str, distance: Column, k: int, weights: tuple[float, float] = (0.7, 0.3), doc: str = "doc_id") -> DataFrame:

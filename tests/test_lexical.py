@@ -77,3 +77,17 @@ def test_keywords_stand_behind_the_text(spark):
     assert got == [(1, 0.1), (3, 0.1), (3, 0.1), (2, round(0.1 / 3, 9))]
     empty = written(lexical.build(spark.createDataFrame([], "doc_id int, text string")), "lexical")
     assert lexical.search(empty, spark.createDataFrame([(1, "alpha")], "query_id int, query string"), 3).count() == 0
+
+
+def test_postings_are_not_moved_once_a_query(spark, docs):
+    """An index is made without an exchange, queries of the same terms are scored once, and of a block k hits go on."""
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    made = lexical.build(df, block_docs=50)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    index = written(made, "lexical")
+    asked = [(i, ("alpha beta", "beta ALPHA", "x alpha")[i % 3]) for i in range(30)]
+    seen = {}
+    got = sorted(tuple(r) for r in lexical.search(index, spark.createDataFrame(asked, "query_id int, query string"), 2, first_blocks=100, seen=seen).collect())
+    assert got == expected(docs, asked, 2) and seen["blocks"] == 2 * index.select("block").distinct().count() == seen["scored"]
+    terms = spark.createDataFrame([(0, b.block, ["alpha"]) for b in index.select("block").distinct().collect()], "asked long, block long, t array<string>")
+    assert lexical._scored(terms, index, 2).count() <= 2 * terms.count() < lexical._scored(terms, index).count()
