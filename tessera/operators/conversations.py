@@ -56,12 +56,13 @@ def ancestry(conversations: DataFrame) -> DataFrame:
     """
     rows = conversations.select("conv_id", F.col("parent_conv_id").alias("up"))
     there = rows.select(F.col("conv_id").alias("up"), F.lit(True).alias("there")).distinct()
-    first = rows.join(there, "up", "left").select("conv_id", F.when(F.col("there"), F.col("up")).alias("up"))
+    # merges at every size, as what is broadcast goes through the driver
+    first = rows.join(there.hint("merge"), "up", "left").select("conv_id", F.when(F.col("there"), F.col("up")).alias("up"))
     now = written(first.select("conv_id", "up", F.when(F.col("up").isNull(), F.col("conv_id")).alias("root"), F.col("up").isNotNull().cast("int").alias("depth")), "ancestry")
     left, before = now.where("up is not null").count(), None
     while left and left != before:  # if a round finds no root, none of the others has one
         above = now.select(F.col("conv_id").alias("up"), F.col("up").alias("next"), F.col("root").alias("top"), F.col("depth").alias("more"))
-        met = now.where("up is not null").join(above, "up").select("conv_id", F.col("next").alias("up"), F.col("top").alias("root"), (F.col("depth") + F.col("more")).alias("depth"))
+        met = now.where("up is not null").join(above.hint("merge"), "up").select("conv_id", F.col("next").alias("up"), F.col("top").alias("root"), (F.col("depth") + F.col("more")).alias("depth"))
         now = written(now.where("up is null").unionByName(met), "ancestry")
         left, before = now.where("up is not null").count(), left
     return now.select("conv_id", "root", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))

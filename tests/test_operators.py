@@ -446,3 +446,19 @@ def test_keywords_count_whole_texts(spark):
     df = docs(spark, text)
     assert indexing.keywords(df).first().keywords == ["late", "early"]
     assert indexing.keywords(df, most_chars=3000).first().keywords == ["early"]
+
+
+def test_ancestry_broadcasts_nothing(spark):
+    """What is broadcast goes through the driver, which then gets more with each round and size."""
+    from tessera.operators import conversations
+
+    made = []
+    keep = conversations.written
+    conversations.written = lambda df, name: made.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, name)
+    try:
+        rows = spark.createDataFrame([(i, i - 1 if i % 9 else None) for i in range(100)], "conv_id long, parent_conv_id long")
+        got = {r.conv_id: (r.root, r.depth) for r in conversations.ancestry(rows).collect()}
+    finally:
+        conversations.written = keep
+    assert got == {i: (i // 9 * 9, i % 9) for i in range(100)}
+    assert len(made) > 2 and not any("BroadcastHashJoin" in p for p in made)
