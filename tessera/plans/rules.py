@@ -52,8 +52,9 @@ def parsed_by_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = pick(F.lit("a.HTML"), F.lit("b.txt"), F.lit("c.htm"), F.lit("d.gif"))
     content = pick(_said("<p>", F.col("c_name"), "<p> "), _said("  ", F.col("c_name"), "\n"), _said("<h1>", F.col("c_name"), "</h1>"), F.col("c_name"))
     rows = scan(spark, sf_dir, "customer", "c_custkey", "c_name").select("c_custkey", F.encode(content, "utf-8").alias("content"), files.file_format(F.lit(None).cast("string"), name).alias("format"))
-    found, warned = markup.blocks(rows, "c_custkey", "content", F.col("format"))
-    return found.select("c_custkey", "block_type", "text").unionByName(warned.select("c_custkey", F.col("code").alias("block_type"), F.col("message").alias("text")))
+    made, warned = markup.parsed(rows, "c_custkey", "content", F.col("format")), F.col("block_type") == "WARNING"
+    kept = made.where(warned | ~F.col("block_type").isin(*markup.NO_BLOCKS))  # blocks and warnings of one pass
+    return kept.select("c_custkey", F.when(warned, F.col("path")).otherwise(F.col("block_type")).alias("block_type"), "text")
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -270,30 +270,46 @@ def parsed(df: DataFrame, doc: str, content: str, fmt: str | Column = "HTML") ->
     kind = rows.schema[doc].dataType.simpleString()
     names = [doc, "block_order", "block_id", "block_type", "path", "text", "page", "cells"]
 
-    def of_one(value, fmt: str) -> list[pa.Array]:
-        """The columns of one document's rows; whatever a parser raises becomes its warning, and no other's."""
+    def warning(e: Exception) -> list[tuple]:
+        return [(0, None, "WARNING", type(e).__name__, str(e).encode("utf-8", "replace").decode(), None, [])]
+
+    def of_one(value, fmt: str) -> list[tuple]:
+        """One document's rows; whatever a parser raises becomes its warning, and no other's."""
         if fmt not in PARSERS:
-            found = [(0, None, "WARNING", "UNSUPPORTED_FORMAT", fmt, None, [])]
-        else:
-            try:
-                if isinstance(value, bytes) and fmt in OF_TEXT:
-                    value = value.decode("utf-8", "replace")
-                found = list(PARSERS[fmt](value))
-                return [pa.array([o[c] for o in found], k) for c, k in enumerate(_KINDS)]
-            except Exception as e:  # noqa: BLE001
-                found = [(0, None, "WARNING", type(e).__name__, str(e).encode("utf-8", "replace").decode(), None, [])]
-        return [pa.array([o[c] for o in found], k) for c, k in enumerate(_KINDS)]
+            return [(0, None, "WARNING", "UNSUPPORTED_FORMAT", fmt, None, [])]
+        try:
+            if isinstance(value, bytes) and fmt in OF_TEXT:
+                value = value.decode("utf-8", "replace")
+            return list(PARSERS[fmt](value))
+        except Exception as e:  # noqa: BLE001
+            return warning(e)
+
+    def columns_of(made: list[list[tuple]]) -> list[pa.Array]:
+        return [pa.array([o[c] for found in made for o in found], k) for c, k in enumerate(_KINDS)]
+
+    def checked(found: list[tuple]) -> list[tuple]:
+        try:
+            columns_of([found])
+        except Exception as e:  # noqa: BLE001
+            return warning(e)
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), 64):
                 part = batch.slice(i, 64)
-                made = [(row, of_one(value, fmt)) for row, (value, fmt) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)) if value is not None]
-                at = [row for row, columns in made for _ in range(len(columns[0]))]
-                columns = [pa.concat_arrays([c[n] for _, c in made]) if made else pa.array([], k) for n, k in enumerate(_KINDS)]
+                rows = [row for row, ok in enumerate(part.column(1).is_valid().to_pylist()) if ok]
+                made = [of_one(part.column(1)[row].as_py(), part.column(2)[row].as_py()) for row in rows]
+                try:
+                    columns = columns_of(made)
+                except Exception:  # noqa: BLE001  one that Arrow can't hold: it becomes a warning
+                    columns = columns_of(made := [checked(found) for found in made])
+                at = [row for row, found in zip(rows, made, strict=True) for _ in found]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), *columns], names=names)
 
-    return rows.mapInArrow(run, f"{doc} {kind}, {BLOCKS}")
+    # a small table is one file and few splits, however long its documents take: they are dealt to all tasks
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n).mapInArrow(run, f"{doc} {kind}, {BLOCKS}")
 
 
 def blocks(df: DataFrame, doc: str, content: str, fmt: str | Column = "HTML") -> tuple[DataFrame, DataFrame]:

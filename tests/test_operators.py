@@ -448,6 +448,19 @@ def test_keywords_count_whole_texts(spark):
     assert indexing.keywords(df, most_chars=3000).first().keywords == ["early"]
 
 
+def test_parsing_is_dealt_to_tasks_and_a_bad_document_is_its_own_warning(spark, monkeypatch):
+    """One file is one split: without dealing, one task parses all documents."""
+    from tessera.sources import markup
+
+    monkeypatch.setitem(markup.PARSERS, "BAD", lambda raw: [(0, "b0", "PARAGRAPH", "p", {"no": "text"}, None, [])])
+    rows = [(i, f"<p>{i}</p>", "HTML") for i in range(200)] + [(900, "x", "BAD"), (901, None, "HTML"), (902, "x", "NONE")]
+    df = spark.createDataFrame(rows, "id int, raw string, fmt string").coalesce(1)
+    made = markup.parsed(df, "id", "raw", F.col("fmt"))
+    assert made.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = {r.id: (r.block_type, r.text) for r in made.collect()}
+    assert len(got) == 202 and got[7] == ("PARAGRAPH", "7") and got[900][0] == "WARNING" and got[902] == ("WARNING", "NONE")
+
+
 def test_ancestry_broadcasts_nothing(spark):
     """What is broadcast goes through the driver, which then gets more with each round and size."""
     from tessera.operators import conversations
