@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,19 +82,21 @@ def word_lines(words: DataFrame, doc: str = "doc_id", order: str | None = None)
     begins a line. A word without a box belongs to the latest line. Inside a line words go from left to right. A
     confidence below 0 is none, one above 1 a percentage.
 
-    The fold is per document: a small loop inside Arrow tasks that holds the lines' upper and lower ends as arrays.
+    The fold is per document: a small loop inside Arrow tasks that holds the lines' upper and lower ends as arrays. Lines are
+    put together there too, so words are moved once, to their document.
     """
     sure = F.when(F.col("confidence") < 0, None).when(F.col("confidence") > 1, F.col("confidence") / 100).otherwise(F.col("confidence"))
     rank = F.col(order) if order else F.when(F.col("y").isNull() | F.col("height").isNull(), 1).otherwise(0)
-    one = F.struct(rank.alias("rank"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "text", sure.alias("confidence"))
+    one = F.struct(rank.alias("rank"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "text", sure.cast("double").alias("confidence"))
     listed = words.where("trim(text) <> ''").groupBy(doc).agg(F.array_sort(F.collect_list(one)).alias("w"))
-    schema = T.StructType([*listed.schema.fields, T.StructField("line", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([listed.schema[doc], *T._parse_datatype_string("line int, text string, confidence double, least_confidence double, top int").fields])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
             boxes, sizes = lists.flatten(), np.diff(np.asarray(lists.offsets))
-            y, height = (boxes.field(boxes.type.get_field_index(c)) for c in ("y", "height"))
+            field = lambda c: boxes.field(boxes.type.get_field_index(c))
+            y, height = field("y"), field("height")
             boxed = np.asarray(y.is_valid()) & np.asarray(height.is_valid())
             top = np.asarray(y.fill_null(0), np.int64)
             bottom = top + np.asarray(height.fill_null(0), np.int64)
@@ -101,13 +104,25 @@ def word_lines(words: DataFrame, doc: str = "doc_id", order: str | None = None)
             for size in sizes.tolist():
                 begin, end = end, end + size
                 line[begin:end] = lines_of(top[begin:end], bottom[begin:end], boxed[begin:end])
-            column = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(line))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=schema.fieldNames())
-
-    folded = listed.mapInArrow(fold, schema)
-    placed = folded.select(doc, F.posexplode(F.arrays_zip("w", "line")).alias("at", "z")).select(doc, "at", "z.line", "z.w.*")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("x", F.lit(0)), "at", "text"))), lambda t: tx.trimmed(t["text"]))
-    return placed.groupBy(doc, "line").agg(F.array_join(ordered, " ").alias("text"), F.avg("confidence").alias("confidence"), F.min("confidence").alias("least_confidence"), F.min("y").alias("top"))
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((np.asarray(field("x").fill_null(0)), line, owner))  # words at one place stay in their order
+            owner, line = owner[order], line[order]
+            begins = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (line[1:] != line[:-1])][: len(order)])
+            texts = pc.utf8_trim(field("text").take(pa.array(order)), "".join(map(chr, range(33))))
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[begins, len(order)].astype(np.int32)), texts), " ")
+            sure = field("confidence").take(pa.array(order))
+            known, of = np.asarray(sure.is_valid()), np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, len(order)]))
+            n = np.bincount(of[known], minlength=len(begins))
+            mean = np.bincount(of[known], np.asarray(sure.fill_null(0))[known], len(begins)) / np.maximum(n, 1)
+            least = np.full(len(begins), np.nan)
+            np.fmin.at(least, of[known], np.asarray(sure.fill_null(0))[known])
+            placed, upper = np.asarray(y.is_valid())[order], np.full(len(begins), np.iinfo(np.int32).max, np.int64)
+            np.minimum.at(upper, of[placed], top[order][placed])
+            some = np.bincount(of[placed], minlength=len(begins)) > 0
+            columns = [batch.column(0).take(pa.array(owner[begins])), pa.array(line[begins]), joined, pa.array(mean, mask=n == 0), pa.array(least, mask=n == 0), pa.array(upper.astype(np.int32), mask=~some)]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+
+    return listed.mapInArrow(fold, schema)
 
 
 def lines_of(top: np.ndarray, bottom: np.ndarray, boxed: np.ndarray) -> np.ndarray:

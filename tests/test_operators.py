@@ -475,3 +475,13 @@ def test_ancestry_broadcasts_nothing(spark):
         conversations.written = keep
     assert got == {i: (i // 9 * 9, i % 9) for i in range(100)}
     assert len(made) > 2 and not any("BroadcastHashJoin" in p for p in made)
+
+
+def test_words_are_moved_once(spark):
+    """Lines are put together where words were placed: a second exchange moved every word again."""
+    rows = [(1, "b", 0.5, 50, 0, 9, 10), (1, " a ", None, 5, 1, 9, 10), (1, "low", 90.0, 0, 40, 9, 10), (1, "boxless", -1.0, None, None, None, None), (2, "x", -1.0, None, None, None, None)]
+    words = spark.createDataFrame(rows, "doc_id int, text string, confidence double, x int, y int, width int, height int")
+    made = pages_text.word_lines(words)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = sorted((tuple(r) for r in made.select("doc_id", "line", "text", "confidence", "least_confidence", "top").collect()), key=lambda r: r[:2])
+    assert got == [(1, 0, "a b", 0.5, 0.5, 0), (1, 1, "low boxless", 0.9, 0.9, 40), (2, 0, "x", None, None, None)]
