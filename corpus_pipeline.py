@@ -27,8 +27,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates (five words, similarity 0.8). Null and empty
-    texts are one group; rows without an id stay unless a copy without an id, or a row with one, is near."""
+    """The document of the smallest id of each group of near duplicates (five words, similarity 0.8): SimHash fingerprints
+    find candidates by multi-index hashing, and exact similarities decide. Null and empty texts are one group; rows without
+    an id stay unless a copy without an id, or a row with one, is near."""
     return drop_near_duplicates(docs.select(*COLUMNS), k=5, similarity=0.8)
 
 

@@ -1,11 +1,17 @@
-"""Groups of texts whose shingle sets have at least a given Jaccard similarity: min-hash bands find candidates, and
-every link is the exact similarity of two texts' sets.
+"""Groups of texts whose shingle sets have at least a given Jaccard similarity: SimHash fingerprints find candidates by
+multi-index hashing (``simhash.links``), and every link is the exact similarity of two texts' sets.
 
-Texts of the same set are one node. A node is entered in a bucket for each of its bands; at similarity 0.8 two nodes
-share one of ``BANDS`` with probability 1 - (1 - 0.8 ** ROWS) ** BANDS, 0.99993. Each bucket's nodes are first
-compared with its smallest one, pair by pair, which joins most groups and grows with their size, not its square.
-Only buckets of three and more nodes that this leaves in several components are met again with their texts: there
-all nodes of different components are compared, in blocks if there are many, and links leave as verified edges.
+Texts of the same set are one node. A node's fingerprint has ``WORDS`` words of 64 bits, each cut into four segments of 16
+bits, and nodes meet where a segment is equal. At similarity 0.8 a bit differs with probability 0.1515 at most (sets have a
+cosine of 0.889), so that two nodes share one of 128 segments with probability 0.99993; sets of fewer than ``FEW`` shingles,
+whose bits differ more often (0.1875 for four shingles in five), have twice as many. Those that meet are candidates if
+their first ``CHECKED`` words differ in ``DISTANCE`` bits or fewer: 19 are expected at similarity 0.8, with a spread of 4,
+and 64 between texts that share nothing.
+
+A bucket's candidates leave it as a star around its smallest node, which is verified pair by pair; this joins most groups
+and grows with their size, not its square. Only groups of three and more candidates that this leaves in several
+components are met again with their texts: there all candidates of different components are compared, in blocks if there
+are many, and links leave as verified edges.
 
 Null and empty texts, and texts without words, have no shingles: they are one node that meets no other. Texts of fewer
 words than a shingle have their whole sequence as the only one. Repeated rows and texts of the same set get the same
@@ -16,6 +22,7 @@ component, ties cannot arise (a component is its smallest id), rows without an i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,46 +31,67 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, list_array, map_texts
+from tessera.llm.common import Scratch, expand, list_array, map_texts
 from tessera.llm.components import components
 
-BANDS, ROWS = 24, 5
+WORDS, SEGMENTS = 32, (16, 16, 16, 16)
+#: Sets of fewer shingles have twice as many words.
+FEW = 6
+#: Candidates differ in so many bits of so many words at most.
+DISTANCE, CHECKED = 40, 2
+#: Words whose segments are met at a time, so that only their entries are moved at once.
+PASS = 8
+#: A byte's bits, one in each byte of a word.
+SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").reshape(-1).view("<u8")
 #: Nodes of a bucket that one task holds with their texts; larger buckets are dealt as a grid of blocks.
 BLOCK = 256
+#: Odd multiplier that derives further hash words from a shingle's hash.
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def majorities(hashes: np.ndarray, counts: np.ndarray, words: int) -> np.ndarray:
+    """Fingerprints of sets of hashes, one row of ``words`` words each: a bit is set if it is set in over half of a set's
+    hashes. Of one half the set's first hash decides, so that small sets aren't drawn to zero. No set is empty."""
+    begin = np.cumsum(counts) - counts
+    parts = -(-counts // 255)  # so many hashes' bits can be summed in bytes
+    first = np.cumsum(parts) - parts
+    cuts = np.repeat(begin - 255 * first, parts) + 255 * np.arange(int(parts.sum()))
+    out = np.empty((len(counts), words), np.int64)
+    for w in range(words):
+        hashes = (hashes ^ (hashes >> np.uint64(31))) * MIX
+        hashes ^= hashes >> np.uint64(29)
+        lanes = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
+        sums = np.stack([np.add.reduceat(SPREAD[lanes[:, i]], cuts) for i in range(8)], axis=1).view(np.uint8)
+        total = np.add.reduceat(sums, first, axis=0, dtype=np.int32)
+        total = 2 * total + np.unpackbits(lanes[begin], axis=1, bitorder="little")
+        out[:, w] = np.packbits(total > counts[:, None], axis=1, bitorder="little").view("<i8")[:, 0]
+    return out
 
 
 def sketches(df: DataFrame, text_col: str, k: int) -> DataFrame:
-    """Adds ``node``, a hash of the text's shingle set, ``bands``, keys of buckets (a text without words has none), and
+    """Adds ``node``, a hash of the text's shingle set, ``fp``, its fingerprint (a text without words has none), and
     ``packed``, the text compressed, as it is moved."""
 
     def make():
         pack = zstandard.ZstdCompressor(level=3).compress
-        rng = np.random.default_rng(42)
-        factors = rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1) | np.uint64(1)
-        shifts = rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
-        mix = np.uint64(0x9E3779B97F4A7C15)
 
         def run(texts: list[str]) -> dict[str, pa.Array]:
             sets = [shingle_set(t, k) for t in texts]
             nodes = np.fromiter((xxhash.xxh3_64_intdigest(s) for s in sets), np.uint64, len(sets)).view(np.int64)
             counts = np.fromiter(map(len, sets), np.int64, len(sets))
-            full = np.flatnonzero(counts)
-            bands = np.zeros((len(full), BANDS), np.uint64)
-            if len(full):
-                flat, begin = np.concatenate(sets), (np.cumsum(counts) - counts)[full]
-                for i, (a, b) in enumerate(zip(factors, shifts, strict=True)):
-                    least = np.minimum.reduceat((flat ^ b) * a, begin)
-                    band = bands[:, i // ROWS]
-                    band += np.uint64(i // ROWS + 1)
-                    band ^= least
-                    band *= mix
-                    band ^= band >> np.uint64(29)
+            sizes = np.where(counts == 0, 0, np.where(counts < FEW, 2 * WORDS, WORDS))
+            prints = np.empty(int(sizes.sum()), np.int64)
+            ends = np.cumsum(sizes)
+            for size in (WORDS, 2 * WORDS):
+                if len(which := np.flatnonzero(sizes == size)):
+                    made = majorities(np.concatenate([sets[i] for i in which]), counts[which], size)
+                    prints[expand(ends[which] - size, sizes[which])] = made.reshape(-1)
             packed = pa.array([pack(t.encode("utf-8", "surrogatepass")) for t in texts], pa.binary())
-            return {"node": pa.array(nodes), "bands": list_array(bands.view(np.int64).reshape(-1), (counts > 0) * BANDS, pa.int64()), "packed": packed}
+            return {"node": pa.array(nodes), "fp": list_array(prints, sizes, pa.int64()), "packed": packed}
 
         return run
 
-    return map_texts(df, text_col, make, "node long, bands array<long>, packed binary")
+    return map_texts(df, text_col, make, "node long, fp array<long>, packed binary")
 
 
 def unpacked(packed: bytes) -> str:
@@ -112,12 +140,21 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFr
 
 
 def across(rows: DataFrame, k: int, least: float) -> DataFrame:
-    """Edges that join the components which nodes of one bucket and cell are in, as far as they are similar. ``rows``:
-    key, cell, side (0, 1, or 2 where a block meets itself), node, label, packed."""
+    """Edges that join the components which candidates of one group and cell are in, as far as they are similar. ``rows``:
+    key, cell, side (0, 1, or 2 where a block meets itself), node, label, packed, checked (words of the fingerprint)."""
 
     def joined(group: list[tuple]) -> list[tuple[int, int]]:
+        if not group:
+            return []
         root = {g[2]: g[2] for g in group}
-        sets = [shingle_set(unpacked(g[3]), k) for g in group]
+        side, label = (np.array([g[i] for g in group]) for i in (0, 2))
+        f = np.array([g[4] for g in group], np.int64).view(np.uint64)
+        bits = sum(np.bitwise_count(f[:, None, w] ^ f[None, :, w]).astype(np.int16) for w in range(f.shape[1]))
+        meet = (bits <= DISTANCE) & (label[:, None] != label[None, :]) & ((side[:, None] == 2) | (side[:, None] != side[None, :]))
+
+        @cache
+        def words(i: int) -> np.ndarray:
+            return shingle_set(unpacked(group[i][3]), k)
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -126,12 +163,11 @@ def across(rows: DataFrame, k: int, least: float) -> DataFrame:
             return x
 
         out = []
-        for i, (side, a, x, _) in enumerate(group):
-            for j in range(i):
-                other, b, y, _ = group[j]
-                if (side == 2 or side != other) and find(x) != find(y) and similar(sets[i], sets[j], least):
-                    root[find(x)] = find(y)
-                    out.append((a, b))
+        for i, j in zip(*(x.tolist() for x in np.nonzero(np.tril(meet, -1))), strict=True):
+            x, y = find(group[i][2]), find(group[j][2])
+            if x != y and similar(words(i), words(j), least):
+                root[x] = y
+                out.append((group[i][1], group[j][1]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,38 +182,42 @@ def across(rows: DataFrame, k: int, least: float) -> DataFrame:
             yield _edges(out)
         yield _edges(joined(group))
 
-    return rows.select("key", "cell", "side", "node", "label", "packed").repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(run, "a long, b long")
+    return rows.select("key", "cell", "side", "node", "label", "packed", "checked").repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(run, "a long, b long")
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
     """``id_col`` and ``component_id``, the smallest id that links reach, itself included, for each row."""
+    from tessera.llm.simhash import links
+
     own = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     scratch = Scratch()
     prints = scratch.stored(sketches(own, "text", k).drop("text"), "sketches")
     ids = scratch.stored(prints.select("id", "node"), "ids")
-    distinct = scratch.stored(prints.groupBy("node").agg(F.first("bands").alias("bands")), "nodes")
-    entered = distinct.select("node", F.explode("bands").alias("key"))
-    buckets = scratch.stored(entered.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"), "buckets")
-    entries = scratch.stored(entered.join(buckets.hint("merge"), "key"), "entries")
-    scratch.discard(buckets, distinct)
-    pairs = scratch.stored(entries.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    met = scratch.stored(entries.select("node").distinct(), "met")
+    distinct = scratch.stored(prints.groupBy("node").agg(F.first("fp").alias("fp")).where(F.size("fp") > 0), "nodes")
+    met = [links(distinct, DISTANCE, CHECKED, SEGMENTS, radius=0, by=range(w, w + PASS), scratch=scratch) for w in range(0, WORDS, PASS)]
+    met.append(links(distinct.where(F.size("fp") > WORDS), DISTANCE, CHECKED, SEGMENTS, radius=0, by=range(WORDS, 2 * WORDS), scratch=scratch))
+    passes = [scratch.stored(m, "met") for m in met]
+    scratch.discard(distinct)
+    pairs = scratch.stored(reduce(DataFrame.union, passes).distinct(), "pairs")
+    scratch.discard(*passes)
+    near = scratch.own(components(pairs))
     # a merge at every size: how many nodes met others has no bound, so none of it is broadcast
-    texts = scratch.stored(prints.join(met.hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("packed").alias("packed")), "texts")
+    own_text = prints.join(near.select("node").hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("packed").alias("packed"), F.first(F.slice("fp", 1, CHECKED)).alias("checked"))
+    texts = scratch.stored(own_text, "texts")
     scratch.discard(prints)
     edges = scratch.stored(verified(pairs, texts, k, similarity), "verified")
-    scratch.discard(pairs, met)
+    scratch.discard(pairs)
     roots = scratch.own(components(edges))
-    labelled = scratch.stored(entries.where("n > 2").join(roots, "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("label")), "labelled")
-    open_ = scratch.stored(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "open")
-    left = labelled.join(open_, "key", "left_semi").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    labelled = scratch.stored(near.select("node", F.col("root").alias("key")).join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("label")), "labelled")
+    open_ = scratch.stored(labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 2 and low < high").select("key", "n"), "open")
+    left = labelled.join(open_, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     left = left.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") > F.col("other")).cast("int"))
     cell = F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")
     more = across(left.select("key", cell.alias("cell"), side.alias("side"), "node", "label").join(texts, "node"), k, similarity)
     more = scratch.stored(more, "across")
-    scratch.discard(texts, entries, labelled, open_)
+    scratch.discard(texts, near, labelled, open_)
     found = scratch.own(components(edges.unionByName(more))) if not more.isEmpty() else roots
     least = ids.groupBy("node").agg(F.min("id").alias("least"))
     rooted = scratch.stored(least.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")

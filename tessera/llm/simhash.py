@@ -37,6 +37,8 @@ WIDE, MANY = (32, 32), 1 << 26
 BLOCK = 4096
 #: Ids of documents that stay, up to which they are sent to all tasks (16 MB).
 SENT_IDS = 1 << 20
+#: One node of so many tells the sizes of buckets in which entries meet each other.
+SHARE = 16
 #: Pairs compared at a time.
 PAIRS = 2_000_000
 #: Odd multipliers that derive further hash words from a shingle's hash.
@@ -109,15 +111,17 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[label[other]], nodes[other]
 
 
-def links(prints: DataFrame, max_distance: int, words: int = 1, segments: tuple[int, ...] = SEGMENTS, block: int = BLOCK, radius: int = 1) -> DataFrame:
+def links(prints: DataFrame, max_distance: int, words: int = 1, segments: tuple[int, ...] = SEGMENTS, block: int = BLOCK, radius: int = 1, by: range | None = None, scratch: Scratch | None = None) -> DataFrame:
     """Edges (a, b) between nodes that connect all distinct fingerprints which a look-up finds at ``max_distance``
-    or fewer differing bits. ``prints``: node long, fp array<long>, one row per fingerprint; ``radius`` is 1 or 2.
+    or fewer differing bits. ``prints``: node long, fp array<long>, one row per fingerprint; ``radius`` is 0, 1 or 2.
+    The first ``words`` words are compared; ``by`` are the words that are cut into segments, if not the same ones (a
+    shorter fingerprint is entered under those that it has). ``scratch`` owns what is stored on the way.
 
     Complete if ``max_distance`` is below ``radius`` + 1 times the number of segments; else pairs beyond that are found
     as far as one of their segments is as close.
     """
     spark = prints.sparkSession
-    shapes = [(w, sum(segments[:s]), width, w * len(segments) + s) for w in range(words) for s, width in enumerate(segments)]
+    shapes = [(w, sum(segments[:s]), width, w * len(segments) + s) for w in by or range(words) for s, width in enumerate(segments)]
     fps = [F.get("fp", F.lit(w)).alias(f"f{w}") for w in range(words)]
 
     def value(w: int, shift: int, width: int) -> F.Column:
@@ -134,16 +138,23 @@ def links(prints: DataFrame, max_distance: int, words: int = 1, segments: tuple[
         masks = F.array(*[F.lit(1 << j).cast("long") for j in range(width)])
         return F.transform(F.filter(masks, lambda m: v.bitwiseAND(m) != 0) if radius == 1 else masks, lambda m: key(seg, v.bitwiseXOR(m)))
 
-    balls = F.concat(entered, *[flipped(*x) for x in shapes])
-    rows = prints.select("node", F.explode(entered if radius == 1 else balls).alias("key"), F.lit(0).cast("byte").alias("kind"), *fps)
-    probes = prints.select("node", F.explode(balls).alias("key"), F.lit(1).cast("byte").alias("kind"), *fps)
-    sizes = stored(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "buckets")
-    both = rows.unionByName(probes)
+    if radius == 0:  # a row is entry and look-up: it meets those before it in its bucket
+        both = rows = prints.select("node", F.explode(entered).alias("key"), F.lit(0).cast("byte").alias("kind"), *fps).where("key is not null")
+        # how buckets are dealt doesn't change what is found, so a share of the nodes tells which are large
+        counted, share = rows.where(F.pmod("node", F.lit(SHARE)) == 0), SHARE
+    else:
+        balls = F.concat(entered, *[flipped(*x) for x in shapes])
+        rows = prints.select("node", F.explode(entered if radius == 1 else balls).alias("key"), F.lit(0).cast("byte").alias("kind"), *fps)
+        probes = prints.select("node", F.explode(balls).alias("key"), F.lit(1).cast("byte").alias("kind"), *fps)
+        both, counted, share = rows.unionByName(probes), rows, 1
+    sizes = (scratch.stored if scratch else stored)(counted.groupBy("key").agg((F.count("*") * share).alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "buckets")
     if hot := sizes.count():
         dealt = both.join(F.broadcast(sizes) if hot <= 100_000 else sizes, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         own, every = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
         dealt = dealt.withColumn("other", F.explode(every))
         row, column = F.when(F.col("kind") == 0, own).otherwise(F.col("other")), F.when(F.col("kind") == 0, F.col("other")).otherwise(own)
+        if radius == 0:
+            row, column = F.least(own, "other"), F.greatest(own, "other")
         both = dealt.withColumn("cell", row * F.col("blocks") + column).drop("blocks", "other")
     else:
         both = both.withColumn("cell", F.lit(0))
@@ -155,6 +166,7 @@ def links(prints: DataFrame, max_distance: int, words: int = 1, segments: tuple[
             k, cell, kind, node, *f = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ["key", "cell", "kind", "node", *names])
             f = np.stack(f, axis=1).view(np.uint64)
             head = np.append(True, (k[1:] != k[:-1]) | (cell[1:] != cell[:-1]))
+            old = 0
             if kept is not None and len(k) and (k[0], cell[0]) == kept[0]:
                 old = len(kept[1])
                 k, cell, kind = (np.concatenate([np.full(old, x, y.dtype), y]) for x, y in ((k[0], k), (cell[0], cell), (0, kind)))
@@ -168,9 +180,11 @@ def links(prints: DataFrame, max_distance: int, words: int = 1, segments: tuple[
             last = begin[-1]
             mine = slice(last, last + in_table[-1])
             kept = ((k[-1], cell[-1]), node[mine].copy(), f[mine].copy())
-            p = np.flatnonzero((kind == 1) & (in_table[group] > 0))
-            per = in_table[group[p]]
-            part = (np.cumsum(per) - 1) // PAIRS
+            met = np.arange(len(k)) - begin[group] if radius == 0 else np.where(kind == 1, in_table[group], 0)
+            met[:old] = 0
+            p = np.flatnonzero(met)
+            per = met[p]
+            part = (np.cumsum(per) - 1) // (PAIRS // words)
             for q in np.split(np.arange(len(p)), np.flatnonzero(np.diff(part)) + 1):
                 if not len(q):
                     continue
@@ -204,7 +218,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``df`` whose id is the smallest of their component, whole and with all columns. Links are exact
-    similarities of shingle sets (``near_copies``), as a fingerprint's distance only estimates them. Of rows with the
+    similarities of shingle sets (``near_copies``) among what multi-index hashing finds, as a fingerprint's distance only
+    estimates them. Of rows with the
     same id and text one stays; rows without an id stay unless they have such a copy or a row with an id is near."""
     groups = similar_groups(df, id_col, text_col, k, similarity)
     stay = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("stays"))

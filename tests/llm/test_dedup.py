@@ -149,6 +149,55 @@ def test_links_are_exact_similarities(spark):
     assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_copies_are_found_by_fingerprints(spark, monkeypatch):
+    """Candidates come from multi-index hashing alone, and pairs of a similarity of just 0.8 are among them: 80 of 100
+    shingles, and four of five. Fingerprints are majorities, at a tie the least hash's bits."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    texts = []
+    for _ in range(400):
+        head, few = [word() for _ in range(84)], [word() for _ in range(9)]
+        texts += [" ".join(head + [word() for _ in range(10)]), " ".join(head + [word() for _ in range(10)]), " ".join(few), " ".join(few[:8])]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    asked, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a, **k: asked.append(k["by"]) or links(*a, **k))
+    got = {r.doc_id: r.component_id for r in near_copies.similar_groups(df).collect()}
+    assert got == {i: i // 2 * 2 for i in range(len(texts))} and {w for ws in asked for w in ws} == set(range(2 * near_copies.WORDS))
+    sets = [np.sort(np.array([rng.getrandbits(64) for _ in range(n)], np.uint64)) for n in (1, 2, 5, 300, 255, 511)]
+    made = near_copies.majorities(np.concatenate(sets), np.array([len(s) for s in sets]), 3)
+    for s, row in zip(sets, made, strict=True):
+        h = s
+        for w in range(3):
+            h = (h ^ (h >> np.uint64(31))) * near_copies.MIX
+            h = h ^ (h >> np.uint64(29))
+            ints = [int(x) for x in h]
+            votes = [2 * sum(x >> b & 1 for x in ints) + (ints[0] >> b & 1) > len(ints) for b in range(64)]
+            assert int(row[w]) & (1 << 64) - 1 == sum(1 << b for b, v in enumerate(votes) if v)
+
+
+@pytest.mark.parametrize("block", [4096, 20])
+def test_equal_segments_meet_in_blocks(spark, block, monkeypatch):
+    """Of radius 0 each pair of a bucket is compared, in blocks where the bucket is large and across Arrow batches."""
+    monkeypatch.setattr(simhash, "SHARE", 1)
+    rng = random.Random(5)
+    seed, prints = rng.getrandbits(64), set()
+    while len(prints) < 150:
+        prints.add((seed ^ rng.getrandbits(48) << 16) - (1 << 63))
+    prints = sorted(prints)
+    df = spark.createDataFrame([(p, [p]) for p in prints], "node long, fp array<long>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        edges = simhash.links(df, 14, segments=(16,), block=block, radius=0)
+        found = {r.node: r.root for r in components.components(edges).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    label = groups([p & (1 << 64) - 1 for p in prints], 14)
+    least = {}
+    for p, g in zip(prints, label, strict=True):
+        least[g] = min(least.get(g, p), p)
+    assert len(least) < 150 and all(found.get(p, p) == least[g] for p, g in zip(prints, label, strict=True))
+
+
 def brute(texts, size):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(b[i : i + size] for b in raw for i in range(len(b) - size + 1))
