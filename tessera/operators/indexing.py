@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,13 +136,53 @@ def cleaned(df: DataFrame, make: Callable[[], Callable[[list[str]], list[str]]],
 
 
 def keywords(df: DataFrame, doc: str = "doc_id", text: str = "text", n: int = 10, most_chars: int | None = None) -> DataFrame:
-    """The n most frequent terms of each text, a deterministic stand-in for a model: counts are aggregated per term, so
-    texts of any number spread over tasks. ``most_chars`` is for a model that takes only a text's first characters."""
+    """The n most frequent terms of each text, a deterministic stand-in for a model. A document of one row is counted where
+    its text is, and none of its terms is moved; of documents of several rows counts are aggregated per term, so that rows
+    of any number spread over tasks. ``most_chars`` is for a model that takes only a text's first characters."""
     read = F.col(text) if most_chars is None else F.substring(text, 1, most_chars)
     tokens = F.filter(F.split(F.lower(read), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 2)
-    counted = df.select(doc, F.explode(tokens).alias("term")).groupBy(doc, "term").agg(F.count("*").alias("n"))
-    top = counted.groupBy(doc).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), "term"))), 1, n).alias("t"))
-    return top.select(doc, F.transform("t", lambda x: x["term"]).alias("keywords"))
+    said = df.select(doc, tokens.alias("terms"))
+    kind = df.schema[doc].dataType
+    schema = T.StructType([T.StructField(doc, kind), T.StructField("keywords", T.ArrayType(T.StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                yield pa.RecordBatch.from_arrays([part.column(0), most_frequent(part.column(1), n)], names=[doc, "keywords"])
+
+    def counted(rows: DataFrame) -> DataFrame:
+        each = rows.select(doc, F.explode("terms").alias("term")).groupBy(doc, "term").agg(F.count("*").alias("n"))
+        top = each.groupBy(doc).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), "term"))), 1, n).alias("t"))
+        return top.select(doc, F.transform("t", lambda x: x["term"]).alias("keywords"))
+
+    # ids alone are moved to find those of several rows
+    several = df.groupBy(doc).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(doc).alias("_several"))
+    if several.isEmpty():
+        return said.mapInArrow(run, schema).where(F.size("keywords") > 0)
+    several = written(several, "several")
+    same = said[doc].eqNullSafe(several["_several"])
+    once = said.join(several, same, "left_anti").mapInArrow(run, schema).where(F.size("keywords") > 0)
+    return once.unionByName(counted(said.join(several, same, "left_semi")))
+
+
+def most_frequent(terms: pa.ListArray, n: int) -> pa.ListArray:
+    """Each list's n most frequent terms, the most frequent first, ties by the terms' bytes; a null list has none."""
+    sizes = np.asarray(terms.value_lengths().fill_null(0))
+    coded = terms.flatten().dictionary_encode()
+    by_bytes = pc.array_sort_indices(coded.dictionary)
+    words = coded.dictionary.take(by_bytes)
+    place = np.empty(len(words), np.int64)
+    place[np.asarray(by_bytes)] = np.arange(len(words))
+    key = np.repeat(np.arange(len(sizes)), sizes) * max(len(words), 1) + place[np.asarray(coded.indices)]
+    key, counts = np.unique(key, return_counts=True)
+    row, term = np.divmod(key, max(len(words), 1))
+    order = np.lexsort((term, -counts, row))
+    row, term = row[order], term[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < n
+    lengths = np.bincount(row[kept], minlength=len(sizes))
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), words.take(pa.array(term[kept])))
 
 
 def index_documents(docs: DataFrame, make: Callable[[], Embed], strategy: str = "recursive", sizes: chunking.Sizes = chunking.Sizes(), object_type: str = "document") -> DataFrame:

@@ -448,6 +448,31 @@ def test_keywords_count_whole_texts(spark):
     assert indexing.keywords(df, most_chars=3000).first().keywords == ["early"]
 
 
+def test_keywords_of_single_rows_are_not_moved(spark):
+    """Terms of documents of one row stay where they are; rows of one id, and of none, are counted together."""
+    from collections import Counter
+
+    from tessera.operators import indexing
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["Abc", "abd", "éèê", "zzz", "of", "Ünï", "\U00010400xy", "\uff41xy", "x1y"]) for _ in range(rng.randint(0, 40))) for _ in range(150)]
+    single = [*enumerate(texts), (900, None), (901, ""), (None, "one two two")]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+    def want(rows):
+        counts = {}
+        for i, t in rows:
+            counts.setdefault(i, Counter()).update(w for w in (t or "").lower().split() if len(w) > 2)
+        return {i: sorted(c, key=lambda w: (-c[w], w))[:3] for i, c in counts.items() if c}
+
+    made = indexing.keywords(frame(single), n=3)
+    assert "hashpartitioning" not in made._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: r.keywords for r in made.collect()} == want(single)
+    several = [*single, (None, "two three"), *((i, texts[i + 1]) for i in range(0, 40, 2))]
+    got = indexing.keywords(frame(several), n=3).collect()
+    assert len(got) == len(want(several)) and {r.doc_id: r.keywords for r in got} == want(several)
+
+
 def test_parsing_is_dealt_to_tasks_and_a_bad_document_is_its_own_warning(spark, monkeypatch):
     """One file is one split: without dealing, one task parses all documents."""
     from tessera.sources import markup
