@@ -27,10 +27,20 @@ def neighbours(hits: DataFrame, chunks: DataFrame, hops: int = 1, scope: tuple[s
     return seen.groupBy("hit_id", *key).agg(F.min("away").alias("away"))
 
 
-def siblings(hits: DataFrame, chunks: DataFrame, by: str, scope: tuple[str, ...] = ("object_type", "object_id")) -> DataFrame:
-    """The chunks that share the hit's value of ``by`` (a parent or a section) in its object, hits included."""
+def single(hits: DataFrame, chunks: DataFrame, scope: tuple[str, ...] = ("object_type", "object_id")) -> bool:
+    """If each hit has one chunk and each chunk one row. What their joins give is distinct then as it is; to make it so
+    would hold all of it in the tasks' memory. Keys alone are moved to tell."""
+    repeated = lambda df, *key: not df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    return not repeated(hits, "hit_id", *scope) and not repeated(chunks, *scope, "chunk_id")
+
+
+def siblings(hits: DataFrame, chunks: DataFrame, by: str, scope: tuple[str, ...] = ("object_type", "object_id"), once: bool | None = None) -> DataFrame:
+    """The chunks that share the hit's value of ``by`` (a parent or a section) in its object, hits included. ``once``: what
+    ``single`` says, if it is known."""
     own = hits.join(chunks.select(*scope, "chunk_id", by), [*scope, "chunk_id"]).select("hit_id", *scope, "chunk_id", by)
     others = own.where(f"{by} is not null and {by} <> ''").select("hit_id", *scope, by).join(chunks.select(*scope, "chunk_id", by), [*scope, by]).select("hit_id", *scope, "chunk_id")
+    if single(hits, chunks, scope) if once is None else once:  # others hold the hit's own chunk, unless it has no value
+        return others.unionByName(own.where(f"{by} is null or {by} = ''").select("hit_id", *scope, "chunk_id"))
     return others.unionByName(own.select("hit_id", *scope, "chunk_id")).distinct()
 
 
@@ -38,16 +48,17 @@ def expanded(hits: DataFrame, chunks: DataFrame, hops: int = 1) -> DataFrame:
     """Each hit by the way its chunk prefers: a table stays alone, then its parent's chunks, then its section's, else
     its neighbours."""
     scope = ("object_type", "object_id")
+    once = single(hits, chunks, scope)
     own = hits.join(chunks.select(*scope, "chunk_id", "chunk_type", "parent_chunk_id", "section"), [*scope, "chunk_id"])
     base = own.select("hit_id", *scope, "chunk_id", "chunk_type", "parent_chunk_id", "section")
     way = F.when(F.col("chunk_type") == "table", "table").when(F.col("parent_chunk_id").isNotNull(), "parent").when(F.coalesce("section", F.lit("")) != "", "section").otherwise("window")
     routed = base.withColumn("way", way)
     pick = lambda w: routed.where(F.col("way") == w).select("hit_id", *scope, "chunk_id")
-    parts = [pick("table"), siblings(pick("parent"), chunks, "parent_chunk_id"), siblings(pick("section"), chunks, "section"), neighbours(pick("window"), chunks, hops).drop("away")]
+    parts = [pick("table"), siblings(pick("parent"), chunks, "parent_chunk_id", once=once), siblings(pick("section"), chunks, "section", once=once), neighbours(pick("window"), chunks, hops).drop("away")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.distinct()
+    return out if once else out.distinct()
 
 
 def packed(hits: DataFrame, group: str, order: list, max_chunks: int = MAX_CHUNKS, max_chars: int = MAX_CHARS) -> DataFrame:

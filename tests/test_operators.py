@@ -448,6 +448,23 @@ def test_keywords_count_whole_texts(spark):
     assert indexing.keywords(df, most_chars=3000).first().keywords == ["early"]
 
 
+def test_siblings_of_single_chunks_are_not_made_distinct(spark):
+    """Where hits and chunks are single, joins give distinct rows; repeated ones still come once."""
+    rows = [("t", o, f"{o}-{n}", "child", None if n % 3 == 0 else "" if n == 4 else f"p{n // 4}", "s", None, None) for o in ("1", "2") for n in range(12)]
+    schema = "object_type string, object_id string, chunk_id string, chunk_type string, parent_chunk_id string, section string, prev_chunk_id string, next_chunk_id string"
+
+    def want(rows):
+        mate = lambda a, b: a[:2] == b[:2] and (a[2] == b[2] or (a[4] and a[4] == b[4]))
+        return sorted({(a[1] + a[2], a[1], b[2]) for a in rows for b in rows if mate(a, b)})
+
+    for made, plain in ((rows, True), ([*rows, rows[1], ("t", "1", "1-1", "child", "p1", "s", None, None)], False)):
+        chunks = spark.createDataFrame(made, schema)
+        hits = chunks.select(F.concat("object_id", "chunk_id").alias("hit_id"), "object_type", "object_id", "chunk_id")
+        got = context.siblings(hits, chunks, "parent_chunk_id")
+        assert ("Aggregate" not in got._jdf.queryExecution().executedPlan().toString()) == plain
+        assert sorted((r.hit_id, r.object_id, r.chunk_id) for r in got.collect()) == want(made)
+
+
 def test_keywords_of_single_rows_are_not_moved(spark):
     """Terms of documents of one row stay where they are; rows of one id, and of none, are counted together."""
     from collections import Counter
