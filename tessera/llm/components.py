@@ -41,7 +41,8 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen, before = state, scratch
         scratch = Scratch()
-        now = scratch.stored(_stars(_stars(now, True, before), False, before), "edges")
+        # a small star reads its edges twice, so they are written
+        now = scratch.stored(_stars(before.stored(_stars(now, True, before), "large"), False, before), "edges")
         before.discard(*before.tables)
     nodes = now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
     return scratch.result(nodes, "components")

@@ -5,11 +5,13 @@ Texts of the same set are one node. A node's fingerprint has ``WORDS`` words of
 bits, and nodes meet where a segment is equal. At similarity 0.8 a bit differs with probability 0.1515 at most (sets have a
 cosine of 0.889), so that two nodes share one of 128 segments with probability 0.99993; sets of fewer than ``FEW`` shingles,
 whose bits differ more often (0.1875 for four shingles in five), have twice as many. Those that meet are candidates if
-their first ``CHECKED`` words differ in ``DISTANCE`` bits or fewer: 19 are expected at similarity 0.8, with a spread of 4,
-and 64 between texts that share nothing.
+their first ``CHECKED`` words differ in ``DISTANCE`` bits or fewer: 39 are expected at similarity 0.8, with a spread of 6
+(48 and 6 for four shingles in five), and 128 between texts that share nothing.
 
-A bucket's candidates leave it as a star around its smallest node, which is verified pair by pair; this joins most groups
-and grows with their size, not its square. Only groups of three and more candidates that this leaves in several
+At first a bucket's nodes meet its first node only, under a few segments. What that connects gets one label, and nodes of
+one label do not meet in the passes over all segments; of what meets there one pair leaves a bucket for each two labels that
+it connects. So a large group of near copies leaves some pairs for each node, not one for each of 128 buckets. These pairs
+are verified one by one, which joins most groups. Only groups of three and more candidates that this leaves in several
 components are met again with their texts: there all candidates of different components are compared, in blocks if there
 are many, and links leave as verified edges.
 
@@ -38,9 +40,11 @@ WORDS, SEGMENTS = 32, (16, 16, 16, 16)
 #: Sets of fewer shingles have twice as many words.
 FEW = 6
 #: Candidates differ in so many bits of so many words at most.
-DISTANCE, CHECKED = 40, 2
-#: Words whose segments are met at a time, so that only their entries are moved at once.
-PASS = 8
+DISTANCE, CHECKED = 76, 4
+#: Words whose segments are met at a time, so that only their entries are moved at once; and before that by stars.
+PASS, FIRST = 8, 2
+#: Passes after each of which nodes get the labels of what is connected by then. More save links, but take as long as they save.
+NAMED = 1
 #: A byte's bits, one in each byte of a word.
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").reshape(-1).view("<u8")
 #: Nodes of a bucket that one task holds with their texts; larger buckets are dealt as a grid of blocks.
@@ -143,7 +147,7 @@ def across(rows: DataFrame, k: int, least: float) -> DataFrame:
     """Edges that join the components which candidates of one group and cell are in, as far as they are similar. ``rows``:
     key, cell, side (0, 1, or 2 where a block meets itself), node, label, packed, checked (words of the fingerprint)."""
 
-    def joined(group: list[tuple]) -> list[tuple[int, int]]:
+    def linked(group: list[tuple]) -> list[tuple[int, int]]:
         if not group:
             return []
         root = {g[2]: g[2] for g in group}
@@ -176,15 +180,21 @@ def across(rows: DataFrame, k: int, least: float) -> DataFrame:
             out = []
             for key, cell, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key, cell) != at:
-                    out += joined(group)
+                    out += linked(group)
                     at, group = (key, cell), []
                 group.append(tuple(row))
             yield _edges(out)
-        yield _edges(joined(group))
+        yield _edges(linked(group))
 
     return rows.select("key", "cell", "side", "node", "label", "packed", "checked").repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(run, "a long, b long")
 
 
+def joined(near: DataFrame | None, edges: list[DataFrame]) -> DataFrame:
+    """Components of the edges and of what is connected already."""
+    known = [near.select(F.col("root").alias("a"), F.col("node").alias("b"))] if near else []
+    return components(reduce(DataFrame.union, edges + known))
+
+
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
     """``id_col`` and ``component_id``, the smallest id that links reach, itself included, for each row."""
     from tessera.llm.simhash import links
@@ -194,14 +204,20 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     prints = scratch.stored(sketches(own, "text", k).drop("text"), "sketches")
     ids = scratch.stored(prints.select("id", "node"), "ids")
     distinct = scratch.stored(prints.groupBy("node").agg(F.first("fp").alias("fp")).where(F.size("fp") > 0), "nodes")
-    met = [links(distinct, DISTANCE, CHECKED, SEGMENTS, radius=0, by=range(w, w + PASS), scratch=scratch) for w in range(0, WORDS, PASS)]
-    met.append(links(distinct.where(F.size("fp") > WORDS), DISTANCE, CHECKED, SEGMENTS, radius=0, by=range(WORDS, 2 * WORDS), scratch=scratch))
-    passes = [scratch.stored(m, "met") for m in met]
+    # stars first: what is connected is not compared again, so links and comparisons of large groups grow with their size
+    named, near, passes, new = distinct.withColumn("label", F.col("node")), None, [], []
+    for words in [range(FIRST)] + [range(w, w + PASS) for w in range(0, WORDS, PASS)] + [range(WORDS, 2 * WORDS)]:
+        some = named.where(F.size("fp") > WORDS) if words.start == WORDS else named
+        new.append(scratch.stored(links(some, DISTANCE, CHECKED, SEGMENTS, radius=0, by=words, scratch=scratch, star=not passes).distinct(), "met"))
+        passes.append(new[-1])
+        if len(passes) <= NAMED:
+            near, new = scratch.own(joined(near, new)), []
+            # a merge at every size: how many nodes met others has no bound, so none of it is broadcast
+            named = scratch.stored(distinct.join(near.hint("merge"), "node", "left").select("node", "fp", F.coalesce("root", "node").alias("label")), "named")
     scratch.discard(distinct)
+    near = scratch.own(joined(near, new))
     pairs = scratch.stored(reduce(DataFrame.union, passes).distinct(), "pairs")
     scratch.discard(*passes)
-    near = scratch.own(components(pairs))
-    # a merge at every size: how many nodes met others has no bound, so none of it is broadcast
     own_text = prints.join(near.select("node").hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("packed").alias("packed"), F.first(F.slice("fp", 1, CHECKED)).alias("checked"))
     texts = scratch.stored(own_text, "texts")
     scratch.discard(prints)

@@ -111,12 +111,34 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[label[other]], nodes[other]
 
 
-def links(prints: DataFrame, max_distance: int, words: int = 1, segments: tuple[int, ...] = SEGMENTS, block: int = BLOCK, radius: int = 1, by: range | None = None, scratch: Scratch | None = None) -> DataFrame:
+def _tree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the links (a, b), none of a node with itself, make a spanning forest: fewer than there are nodes."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    left, taken, label = np.arange(len(a)), [], np.arange(len(nodes))
+    while len(left):
+        x, y = label[a[left]], label[b[left]]
+        first = np.full(len(nodes), len(left))
+        np.minimum.at(first, x, np.arange(len(left)))
+        np.minimum.at(first, y, np.arange(len(left)))
+        took = np.unique(first[first < len(left)])
+        taken.append(left[took])
+        label = _labels(x[took], y[took], len(nodes))[label]
+        left = left[label[a[left]] != label[b[left]]]
+    return np.concatenate(taken)
+
+
+def links(prints: DataFrame, max_distance: int, words: int = 1, segments: tuple[int, ...] = SEGMENTS, block: int = BLOCK, radius: int = 1, by: range | None = None, scratch: Scratch | None = None, star: bool = False) -> DataFrame:
     """Edges (a, b) between nodes that connect all distinct fingerprints which a look-up finds at ``max_distance``
     or fewer differing bits. ``prints``: node long, fp array<long>, one row per fingerprint; ``radius`` is 0, 1 or 2.
     The first ``words`` words are compared; ``by`` are the words that are cut into segments, if not the same ones (a
     shorter fingerprint is entered under those that it has). ``scratch`` owns what is stored on the way.
 
+    Of radius 0 nodes of one ``label``, a column that ``prints`` may have, count as connected: only those of different
+    labels are compared, and of what is found one link between those that it connects leaves a bucket. A large bucket in
+    which few rows lack the most frequent label is dealt by its rows, to which those few are added; others become a grid.
+    ``star`` compares the rows of a bucket, or of a part of a large one, with its first row only.
+
     Complete if ``max_distance`` is below ``radius`` + 1 times the number of segments; else pairs beyond that are found
     as far as one of their segments is as close.
     """
@@ -139,7 +161,8 @@ def links(prints: DataFrame, max_distance: int, words: int = 1, segments: tuple[
         return F.transform(F.filter(masks, lambda m: v.bitwiseAND(m) != 0) if radius == 1 else masks, lambda m: key(seg, v.bitwiseXOR(m)))
 
     if radius == 0:  # a row is entry and look-up: it meets those before it in its bucket
-        both = rows = prints.select("node", F.explode(entered).alias("key"), F.lit(0).cast("byte").alias("kind"), *fps).where("key is not null")
+        label = F.col("label" if "label" in prints.columns else "node").alias("label")
+        both = rows = prints.select("node", F.explode(entered).alias("key"), F.lit(0).cast("byte").alias("kind"), label, *fps).where("key is not null")
         # how buckets are dealt doesn't change what is found, so a share of the nodes tells which are large
         counted, share = rows.where(F.pmod("node", F.lit(SHARE)) == 0), SHARE
     else:
@@ -147,30 +170,42 @@ def links(prints: DataFrame, max_distance: int, words: int = 1, segments: tuple[
         rows = prints.select("node", F.explode(entered if radius == 1 else balls).alias("key"), F.lit(0).cast("byte").alias("kind"), *fps)
         probes = prints.select("node", F.explode(balls).alias("key"), F.lit(1).cast("byte").alias("kind"), *fps)
         both, counted, share = rows.unionByName(probes), rows, 1
-    sizes = (scratch.stored if scratch else stored)(counted.groupBy("key").agg((F.count("*") * share).alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "buckets")
-    if hot := sizes.count():
+    if radius == 0:
+        of_label = counted.groupBy("key", "label").agg((F.count("*") * share).alias("m"))
+        counts = of_label.groupBy("key").agg(F.sum("m").alias("n"), F.max("m").alias("most"), F.max_by("label", "m").alias("common"))
+        common = F.when(F.col("n") - F.col("most") <= block, F.col("common")).alias("common")
+    else:
+        counts, common = counted.groupBy("key").agg((F.count("*") * share).alias("n")), F.lit(None).cast("long").alias("common")
+    sizes = (scratch.stored if scratch else stored)(counts.where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"), common), "buckets")
+    if (hot := sizes.count()) and star:
+        # parts differ from segment to segment, so that their stars meet
+        dealt = both.join(F.broadcast(sizes) if hot <= 100_000 else sizes, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        both = dealt.withColumn("cell", F.pmod(F.xxhash64("node", "key"), F.col("blocks"))).drop("blocks", "common")
+    elif hot:
         dealt = both.join(F.broadcast(sizes) if hot <= 100_000 else sizes, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         own, every = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
+        whole = F.col("common").isNotNull() if radius == 0 else F.lit(False)  # the rows of the common label need not meet
+        if radius == 0:
+            every = F.when(whole & (F.col("label") == F.col("common")), F.array(own)).otherwise(every)
         dealt = dealt.withColumn("other", F.explode(every))
         row, column = F.when(F.col("kind") == 0, own).otherwise(F.col("other")), F.when(F.col("kind") == 0, F.col("other")).otherwise(own)
         if radius == 0:
             row, column = F.least(own, "other"), F.greatest(own, "other")
-        both = dealt.withColumn("cell", row * F.col("blocks") + column).drop("blocks", "other")
+        both = dealt.withColumn("cell", F.when(whole, F.col("other")).otherwise(row * F.col("blocks") + column)).drop("blocks", "other", "common")
     else:
         both = both.withColumn("cell", F.lit(0))
     names = [f"f{w}" for w in range(words)]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
         for batch in batches:
-            k, cell, kind, node, *f = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ["key", "cell", "kind", "node", *names])
+            k, cell, kind, node, label, *f = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ["key", "cell", "kind", "node", "label" if radius == 0 else "node", *names])
             f = np.stack(f, axis=1).view(np.uint64)
             head = np.append(True, (k[1:] != k[:-1]) | (cell[1:] != cell[:-1]))
             old = 0
             if kept is not None and len(k) and (k[0], cell[0]) == kept[0]:
                 old = len(kept[1])
                 k, cell, kind = (np.concatenate([np.full(old, x, y.dtype), y]) for x, y in ((k[0], k), (cell[0], cell), (0, kind)))
-                node, f = np.concatenate([kept[1], node]), np.concatenate([kept[2], f])
+                node, f, label = np.concatenate([kept[1], node]), np.concatenate([kept[2], f]), np.concatenate([kept[3], label])
                 head = np.concatenate([[True], np.zeros(old, bool), head[1:]]) if old else head
             if not len(k):
                 continue
@@ -178,9 +213,14 @@ def links(prints: DataFrame, max_distance: int, words: int = 1, segments: tuple[
             begin = np.flatnonzero(head)
             in_table = np.bincount(group[kind == 0], minlength=len(begin))
             last = begin[-1]
-            mine = slice(last, last + in_table[-1])
-            kept = ((k[-1], cell[-1]), node[mine].copy(), f[mine].copy())
-            met = np.arange(len(k)) - begin[group] if radius == 0 else np.where(kind == 1, in_table[group], 0)
+            mine = slice(last, last + (1 if star else in_table[-1]))
+            kept = ((k[-1], cell[-1]), node[mine].copy(), f[mine].copy(), label[mine].copy())
+            if radius == 0:  # those before it that have another label
+                begins = head | np.append(True, label[1:] != label[:-1])
+                met = np.flatnonzero(begins)[np.cumsum(begins) - 1] - begin[group]
+                met = np.minimum(met, 1) if star else met
+            else:
+                met = np.where(kind == 1, in_table[group], 0)
             met[:old] = 0
             p = np.flatnonzero(met)
             per = met[p]
@@ -195,10 +235,16 @@ def links(prints: DataFrame, max_distance: int, words: int = 1, segments: tuple[
                 a, b = a[other], b[other]
                 near = np.bitwise_count(f[a] ^ f[b]).sum(axis=1) <= max_distance
                 if near.any():
-                    x, y = _forest(node[a[near]], node[b[near]])
+                    a, b = a[near], b[near]
+                    if radius == 0:
+                        tree = _tree(label[a], label[b])
+                        x, y = node[a[tree]], node[b[tree]]
+                    else:
+                        x, y = _forest(node[a], node[b])
                     yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
-    return both.repartition("key", "cell").sortWithinPartitions("key", "cell", "kind").mapInArrow(run, "a long, b long")
+    order = ["key", "cell", "label"] if radius == 0 else ["key", "cell", "kind"]
+    return both.repartition("key", "cell").sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, max_distance: int = 4, words: int = 1) -> DataFrame:

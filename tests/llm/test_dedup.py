@@ -198,6 +198,67 @@ def test_equal_segments_meet_in_blocks(spark, block, monkeypatch):
     assert len(least) < 150 and all(found.get(p, p) == least[g] for p, g in zip(prints, label, strict=True))
 
 
+@pytest.mark.parametrize("block", [4096, 20])
+@pytest.mark.parametrize("common", [True, False])
+def test_labels_are_connected_already(spark, block, common, monkeypatch):
+    """Nodes of one label aren't compared, and a bucket leaves no more links than connect its labels; a large bucket of one
+    label is dealt by its rows. What links and labels connect is what brute force connects with the labels."""
+    monkeypatch.setattr(simhash, "SHARE", 1)
+    rng = random.Random(6)
+    seed, prints = rng.getrandbits(64), set()
+    while len(prints) < 150:
+        prints.add((seed ^ rng.getrandbits(48) << 16) - (1 << 63))
+    prints = sorted(prints)
+    label = {p: (prints[0] if i % 10 and i < 149 else p) if common else prints[i % 7] for i, p in enumerate(prints)}
+    df = spark.createDataFrame([(p, [p], label[p]) for p in prints], "node long, fp array<long>, label long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        edges = [tuple(r) for r in simhash.links(df, 18, segments=(16,), block=block, radius=0).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    unsigned = lambda p: p & (1 << 64) - 1
+    assert edges and all(label[a] != label[b] and (unsigned(a) ^ unsigned(b)).bit_count() <= 18 for a, b in edges)
+
+    def connected(pairs):
+        root = {p: p for p in prints}
+
+        def find(a):
+            while root[a] != a:
+                a = root[a]
+            return a
+
+        for a, b in [*pairs, *label.items()]:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+        return [find(p) for p in prints]
+
+    every = [(a, b) for i, a in enumerate(prints) for b in prints[:i] if (unsigned(a) ^ unsigned(b)).bit_count() <= 18]
+    assert connected(edges) == connected(every)
+
+
+def test_trees_connect_what_links_connect():
+    rng = np.random.default_rng(3)
+    for n, m in ((2, 1), (30, 20), (30, 200), (400, 380)):
+        a = rng.integers(0, n, m)
+        b = (a + rng.integers(1, n, m)) % n
+        tree = simhash._tree(a * 3, b * 3)
+        assert (simhash._labels(a[tree], b[tree], n) == simhash._labels(a, b, n)).all()
+        assert len(tree) == n - len(np.unique(simhash._labels(a, b, n)))
+
+
+def test_candidates_of_a_group_grow_with_its_size(spark, monkeypatch):
+    """Near copies of one text leave some pairs for each of them, not one for each bucket that they meet in."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    base, asked, verified = [word() for _ in range(200)], [], near_copies.verified
+    texts = [" ".join(word() if rng.random() < 0.005 else w for w in base) for _ in range(300)]
+    monkeypatch.setattr(near_copies, "verified", lambda pairs, *a: asked.append(pairs.count()) or verified(pairs, *a))
+    made, components_of = [], near_copies.components
+    monkeypatch.setattr(near_copies, "components", lambda edges: made.append(edges.count()) or components_of(edges))
+    got = near_copies.similar_groups(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"))
+    assert got.where("component_id = 0").count() >= 280 and asked[0] <= 8 * len(texts) and sum(made) <= 25 * len(texts)
+
+
 def brute(texts, size):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(b[i : i + size] for b in raw for i in range(len(b) - size + 1))
