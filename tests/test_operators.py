@@ -527,3 +527,55 @@ def test_words_are_moved_once(spark):
     assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     got = sorted((tuple(r) for r in made.select("doc_id", "line", "text", "confidence", "least_confidence", "top").collect()), key=lambda r: r[:2])
     assert got == [(1, 0, "a b", 0.5, 0.5, 0), (1, 1, "low boxless", 0.9, 0.9, 40), (2, 0, "x", None, None, None)]
+
+
+def test_lines_of_many_documents_are_folded_together(spark):
+    """Against the rule word by word: chains of boxes, boxes without height, words without a box, repeated rows of one page."""
+    import numpy as np
+
+    rng = random.Random(5)
+
+    def plain(words):
+        lines = []
+        for y, h in words:
+            at = max(len(lines) - 1, 0)
+            if y is not None and h is not None:
+                meets = [n for n, (u, w) in enumerate(lines) if min(w, y + h) - max(u, y) > 0 and min(w, y + h) - max(u, y) >= min(w - u, h) // 2]
+                at = meets[0] if meets else len(lines)
+                if meets:
+                    lines[at] = (min(lines[at][0], y), max(lines[at][1], y + h))
+                else:
+                    lines.append((y, y + h))
+            elif not lines:
+                lines.append((0, 0))
+            yield at
+
+    docs = [[(rng.choice([None, rng.randrange(high), rng.randrange(high), -3]), rng.choice([None, 0, -2, 5, 9, 20, 90])) for _ in range(rng.choice([1, 2, 7, 60, 300]))] for high in [10, 100, 1000] * 12]
+    top, height = ([w[c] for d in docs for w in d] for c in (0, 1))
+    boxed = np.array([a is not None and b is not None for a, b in zip(top, height, strict=True)])
+    upper, lower = np.array([a or 0 for a in top]), np.array([(a or 0) + (b or 0) for a, b in zip(top, height, strict=True)])
+    owner = np.repeat(np.arange(len(docs)), list(map(len, docs)))
+    among, number = pages_text.lines_of(owner, upper, lower, boxed)
+    want = [list(plain(d)) for d in docs]
+    assert number.tolist() == [n for d in want for n in d]
+    assert among.max() + 1 == sum(max(d) + 1 for d in want) == len(set(zip(owner.tolist(), number.tolist(), strict=True)))
+    rows = [(i, n, f"w{n}", 0.5, n, y, 9, h) for i, d in enumerate(docs) for n, (y, h) in enumerate(d)]
+    words = spark.createDataFrame(rows, "doc_id int, i int, text string, confidence double, x int, y int, width int, height int").repartition(3)
+    got = {(r.doc_id, r.line): r.text for r in pages_text.word_lines(words, order="i").collect()}
+    assert got == {(i, at): " ".join(f"w{n}" for n, x in enumerate(d) if x == at) for i, d in enumerate(want) for at in d}
+    # parts of a page in several rows are one page, and no word of it is moved by itself
+    parts = words.groupBy("doc_id", (F.col("i") % 2).alias("part")).agg(*[F.expr(f"transform(array_sort(collect_list(struct(i, {c} AS v))), x -> x.v)").alias(c) for c in ("i", *pages_text.WORD)])
+    made = pages_text.page_lines(pages_text.dealt(parts.drop("part")), order="i")
+    assert {(r.doc_id, r.line): r.text for r in made.collect()} == got
+
+
+def test_a_long_page_is_one_run():
+    import numpy as np
+    import pyarrow as pa
+
+    column = [1] * 3 + [2] * 40 + [None] * 5 + [3]
+    batches = [pa.RecordBatch.from_pydict({"doc": pa.array(column[i : i + 4], pa.int64())}) for i in range(0, len(column), 4)]
+    parts = list(pages_text.whole_runs(iter(batches), least=6))
+    assert len(parts) > 1 and [x for p, _ in parts for x in p.column(0).to_pylist()] == column
+    assert [n for _, ends in parts for n in np.diff(ends, prepend=0).tolist()] == [3, 40, 5, 1]
+    assert all(len(p) == ends[-1] for p, ends in parts)
