@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import access
 from tessera.functions import text as tx
 from tessera.operators import chunking, context, indexing, paging, relational
-from tessera.plans.chunks import SOURCE, _fixed_sql, _normalised
+from tessera.plans.chunks import SOURCE, _fixed_sql, _normalised, word_pages
 from tessera.plans.registry import query
 from tessera.plans.search import CLEAN
 from tessera.session import fresh_folder, scan
@@ -153,15 +153,9 @@ SELECT doc_id * 100000 + i // 200 AS page_id, CAST(i % 200 // 4 * 2 + i % 2 AS I
 def ocr_lines_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All words as boxes in order, four a group: the second is lower than the first, the third overlaps the first again,
     and the fourth, without a box, belongs to the latest line."""
-    docs = scan(spark, sf_dir, "documents", "doc_id", F.filter(F.split("text", "[ \n\t\r]+"), lambda w: w != "").alias("w"))
-    i, own = F.col("i") % 200, F.col("i") % 4
-    placed = lambda c: F.when(own < 3, c).cast("int")
-    boxes = docs.select("doc_id", F.posexplode("w").alias("i", "text")).select(
-        (F.col("doc_id") * 100000 + F.floor(F.col("i") / 200)).alias("page_id"), "text", F.lit(0.9).alias("confidence"), "i",
-        placed(own * 50 + 10).alias("x"), placed(F.floor(i / 4) * 50 + F.element_at(F.array(*map(F.lit, (0, 15, 16, 0))), (own + 1).cast("int"))).alias("y"),
-        F.lit(40).alias("width"), placed(F.element_at(F.array(*map(F.lit, (20, 20, 6, 0))), (own + 1).cast("int"))).alias("height"),
-    )
-    return pages_text.word_lines(boxes, "page_id", order="i").select("page_id", "line", "text")
+    boxed = lambda i, own: (own * 50 + 10, i // 4 * 50 + (0, 15, 16)[own], 40, (20, 20, 6)[own])
+    places = [(0.9, *(boxed(i, i % 4) if i % 4 < 3 else (None, None, 40, None))) for i in range(200)]
+    return pages_text.page_lines(word_pages(spark, sf_dir, places), "page_id", order="i").select("page_id", "line", "text")
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN (SELECT string_agg(CAST((c_custkey + i) % 100 AS VARCHAR), ' ' ORDER BY i) FROM range(1, 10) r(i)) || ', end'

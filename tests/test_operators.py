@@ -579,3 +579,13 @@ def test_a_long_page_is_one_run():
     assert len(parts) > 1 and [x for p, _ in parts for x in p.column(0).to_pylist()] == column
     assert [n for _, ends in parts for n in np.diff(ends, prepend=0).tolist()] == [3, 40, 5, 1]
     assert all(len(p) == ends[-1] for p, ends in parts)
+
+
+def test_ocr_pages_are_moved_as_texts(spark):
+    """Words were moved one by one with their boxes: each row of that exchange was a word."""
+    from tessera.plans import chunks, rules
+
+    for made in (chunks.ocr_lines, rules.ocr_lines_overlapping):
+        plan = made(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        moved = plan[plan.index("Exchange") :].splitlines()[1]
+        assert plan.count("Exchange") == 1 and "said" in moved and "height" not in moved
