@@ -91,3 +91,45 @@ def test_postings_are_not_moved_once_a_query(spark, docs):
     assert got == expected(docs, asked, 2) and seen["blocks"] == 2 * index.select("block").distinct().count() == seen["scored"]
     terms = spark.createDataFrame([(0, b.block, ["alpha"]) for b in index.select("block").distinct().collect()], "asked long, block long, t array<string>")
     assert lexical._scored(terms, index, 2).count() <= 2 * terms.count() < lexical._scored(terms, index).count()
+
+
+def test_queries_of_a_block_are_scored_together_and_weak_documents_not_at_all(monkeypatch):
+    """Each query was scored by itself in each block, with all documents that have its terms."""
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 3, i]), [rng.choice("abcdefg") for _ in range(rng.choice([3, 9, 60]))]) for i in range(120)]
+    block = lexical.postings([pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array(range(7, 127)), pa.array([r[1] for r in rows])], names=["id", "row", "words"])])
+    queries = [rng.sample("abcdefgz", n) for n in (1, 1, 2, 2, 2, 2, 3, 3, 4, 7)]
+    pairs, covers = [], lexical.covers
+    monkeypatch.setattr(lexical, "covers", lambda *a: pairs.append(a[-1]) or covers(*a))
+
+    def got(k, kth=None):
+        asks = pa.RecordBatch.from_arrays([pa.array(queries), pa.array(range(len(queries))), pa.array([kth] * len(queries), pa.float64())], names=["t", "asked", "kth"])
+        made = [r for b in lexical.best_of(7, [block.slice(0, 3), block.slice(3)], [asks.slice(0, 4), asks.slice(4)], k) for r in zip(*b.to_pydict().values(), strict=True)]
+        return sorted(made, key=lambda r: (r[0], -r[3], r[1] is not None, r[1] or 0, r[2]))
+
+    def want(k):
+        found = [(q, i, n + 7, rank(w, set(t))) for q, t in enumerate(queries) for n, (i, w) in enumerate(rows)]
+        found = sorted((r for r in found if r[3]), key=lambda r: (r[0], -r[3], r[1] is not None, r[1] or 0, r[2]))
+        return [r for r in found if k is None or sum(x[0] == r[0] for x in found[: found.index(r)]) < k]
+
+    assert got(None) == want(None) and len(pairs) <= 4
+    assert got(2) == want(2)
+    every = sum(pairs) // 2
+    pairs.clear()
+    assert [r for r in got(2, 1.0) if r[3] >= 1] == [r for r in want(2) if r[3] >= 1] and sum(pairs) < every / 2
+    for size in (1, 50):
+        monkeypatch.setattr(lexical, "CANDIDATES", size)
+        monkeypatch.setattr(lexical, "OCCURRENCES", size)
+        assert got(None) == want(None) and got(2) == want(2)
+
+
+def test_long_documents_are_a_block(spark):
+    """Blocks of documents of all lengths have nearly the same bounds, so that none was left out."""
+    docs = [(i, "alpha beta " * (200 if i % 10 == 0 else 2)) for i in range(200)]
+    index = written(lexical.build(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), block_docs=20), "lexical")
+    assert sorted(r.most for r in index.where("term = 'alpha'").collect()) == [2] * 9 + [200]
+    seen = {}
+    got = sorted(tuple(r) for r in lexical.search(index, spark.createDataFrame([(1, "alpha beta")], "query_id int, query string"), 5, seen=seen, first_blocks=1).collect())
+    assert got == expected(docs, [(1, "alpha beta")], 5) and seen == {"blocks": 10, "scored": 1}
