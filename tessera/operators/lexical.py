@@ -128,7 +128,8 @@ def _scored(wanted: DataFrame, index: DataFrame, k: int | None = None) -> DataFr
     kind = index.schema["ids"].dataType.elementType.simpleString()
     least = (F.col("kth") if "kth" in wanted.columns else F.lit(None)).cast("double").alias("kth")
     asks = wanted.select("block", F.lit(1).alias("kind"), "asked", "t", least, *[F.lit(None).cast(index.schema[c].dataType).alias(c) for c in ("term", "ids", "at", "counts", "positions")])
-    terms = index.join(wanted.select("block", F.explode("t").alias("term")).distinct(), ["block", "term"], "left_semi")
+    # what is written has a known size, so that Spark can leave the postings where they are for this
+    terms = index.join(written(wanted.select("block").distinct(), "near"), "block", "left_semi")
     given = terms.select("block", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("asked"), F.lit(None).cast("array<string>").alias("t"), F.lit(None).cast("double").alias("kth"), "term", "ids", "at", "counts", "positions")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,6 +208,29 @@ def _parts(sizes: np.ndarray, most: int) -> Iterator[slice]:
 
 def _ranks(posting: np.ndarray, n: np.ndarray, terms: np.ndarray, places: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The ranks of documents whose terms stand ``n`` times each, at the places of ``posting``."""
+    rank = (WEIGHT * n.sum(1)).round(9)  # each place of a single term is a cover
+    two, more = np.flatnonzero(terms == 2), np.flatnonzero(terms > 2)
+    if len(two):
+        rank[two] = _ranks_of_two(posting[two, :2], n[two, :2], places, first)
+    if len(more):
+        rank[more] = _ranks_of_more(posting[more], n[more], terms[more], places, first)
+    return rank
+
+
+def _ranks_of_two(posting: np.ndarray, n: np.ndarray, places: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The same of two terms each: covers are places that follow each other and are not of one term."""
+    often = n.ravel()
+    begins = np.cumsum(often) - often
+    place = places[np.arange(int(often.sum())) + np.repeat(first[posting.ravel()] - begins, often)]
+    bits = int(place.max(initial=0)).bit_length() + 1
+    key = np.sort(np.repeat((np.arange(len(n))[:, None] << bits | np.arange(2)).ravel(), often) + (place << 1))
+    pair = key >> bits
+    cover = np.flatnonzero(((key[1:] ^ key[:-1]) & 1).astype(bool) & (pair[1:] == pair[:-1])) + 1
+    gap = (key[cover] >> 1) - (key[cover - 1] >> 1)
+    return np.bincount(pair[cover], WEIGHT / gap, len(n)).round(9)
+
+
+def _ranks_of_more(posting: np.ndarray, n: np.ndarray, terms: np.ndarray, places: np.ndarray, first: np.ndarray) -> np.ndarray:
     pairs, slots = n.shape
     often = n.ravel()
     cell = np.repeat(np.arange(pairs * slots), often)
@@ -257,7 +281,9 @@ def search(index: DataFrame, queries: DataFrame, k: int, first_blocks: int = FIR
     blocks = lambda which: which.join(asked, "asked")
     best = Window.partitionBy("asked").orderBy(F.desc("rank"), "id", "row")
     top = lambda found: found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
-    first = written(top(_scored(blocks(ordered.where(F.col("turn") <= first_blocks).select("asked", "block")), own, k)), "first")
+    begun = blocks(ordered.where(F.col("turn") <= first_blocks).select("asked", "block"))
+    few = own.join(written(begun.select("block", F.explode("t").alias("term")).distinct(), "few"), ["block", "term"], "left_semi")
+    first = written(top(_scored(begun, few, k)), "first")
     kth = first.where(F.col("place") == k).select("asked", F.col("rank").alias("kth"))
     left = ordered.where(F.col("turn") > first_blocks).join(kth, "asked", "left").where("kth is null or bound >= kth - 1e-9")
     if seen is not None:

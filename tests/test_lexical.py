@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import lexical
 from tessera.session import written
@@ -101,8 +102,8 @@ def test_queries_of_a_block_are_scored_together_and_weak_documents_not_at_all(mo
     rows = [(rng.choice([None, 3, i]), [rng.choice("abcdefg") for _ in range(rng.choice([3, 9, 60]))]) for i in range(120)]
     block = lexical.postings([pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array(range(7, 127)), pa.array([r[1] for r in rows])], names=["id", "row", "words"])])
     queries = [rng.sample("abcdefgz", n) for n in (1, 1, 2, 2, 2, 2, 3, 3, 4, 7)]
-    pairs, covers = [], lexical.covers
-    monkeypatch.setattr(lexical, "covers", lambda *a: pairs.append(a[-1]) or covers(*a))
+    pairs, ranks = [], lexical._ranks
+    monkeypatch.setattr(lexical, "_ranks", lambda *a: pairs.append(len(a[0])) or ranks(*a))
 
     def got(k, kth=None):
         asks = pa.RecordBatch.from_arrays([pa.array(queries), pa.array(range(len(queries))), pa.array([kth] * len(queries), pa.float64())], names=["t", "asked", "kth"])
@@ -133,3 +134,11 @@ def test_long_documents_are_a_block(spark):
     seen = {}
     got = sorted(tuple(r) for r in lexical.search(index, spark.createDataFrame([(1, "alpha beta")], "query_id int, query string"), 5, seen=seen, first_blocks=1).collect())
     assert got == expected(docs, [(1, "alpha beta")], 5) and seen == {"blocks": 10, "scored": 1}
+
+
+def test_postings_are_moved_to_their_block_alone(spark, docs):
+    """The join that leaves out other blocks moved all postings of all queries once more."""
+    index = written(lexical.build(spark.createDataFrame(docs, "doc_id long, text string").repartition(2), block_docs=50), "lexical")
+    wanted = written(index.select(F.lit(0).cast("long").alias("asked"), "block", F.array(F.lit("alpha")).alias("t")).distinct(), "wanted")
+    plan = lexical._scored(wanted, index, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(block") == 1 == plan.count("Exchange hashpartitioning") and "SortMergeJoin" not in plan
